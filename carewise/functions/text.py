@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from carewise.functions.rulebook import SNIPPET_LENGTH
 
@@ -27,14 +28,21 @@ MAY_CHANGE = (
 )
 
 
-@F.pandas_udf("string")
-def _unescape_and_compose(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> str | None:
-        if text is None:
-            return None
-        return unicodedata.normalize("NFKC", html.unescape(text).replace("�", "'"))
+@lru_cache(maxsize=1)
+def _unescape_and_compose():
+    """The Arrow UDF; defined inside, so that executors need not have this package.
+
+    Marked nondeterministic so that Catalyst evaluates it, and the cleaner above it, once:
+    a filter on cleaned text would otherwise be pushed down as a copy of the whole cleaner.
+    """
+
+    def one(text: str) -> str:
+        return unicodedata.normalize("NFKC", html.unescape(text).replace("\ufffd", "'"))
 
-    return texts.map(one, na_action="ignore")
+    def decode(texts: pd.Series) -> pd.Series:
+        return texts.map(one, na_action="ignore")
+
+    return F.pandas_udf(decode, StringType()).asNondeterministic()
 
 
 def decode_text(text: Column) -> Column:
@@ -43,7 +51,7 @@ def decode_text(text: Column) -> Column:
     Spark has no built-in for the first and the last. Only rows that may change send
     their text to Python; the others send null and keep the native expression.
     """
-    decoded = _unescape_and_compose(F.when(text.rlike(MAY_CHANGE), text))
+    decoded = _unescape_and_compose()(F.when(text.rlike(MAY_CHANGE), text))
     return F.coalesce(decoded, F.translate(text, "�", "'"))
 
 
@@ -79,6 +87,11 @@ def end_sentence(text: Column) -> Column:
     return F.when(text.rlike(r"[.!?]\z"), text).otherwise(F.concat(text, F.lit(".")))
 
 
+def fixed(number: Column, places: int) -> Column:
+    """The number with a fixed count of decimals, rounded by its exact value, ties to even."""
+    return F.call_function("format_number", number, F.lit("0." + "0" * places))
+
+
 def is_blank(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike(rf"\A[{SPACES}]*\z")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
 from carewise.functions.cascade import first_match, found
-from carewise.functions.text import strip_spaces
+from carewise.functions.text import fixed, strip_spaces
 
 DEFAULT_AUDIT_CONFIDENCE = 0.8
 
@@ -33,7 +33,7 @@ def intent_review(lowered: Column, intent: Column, confidence: Column, intents:
             (found(lowered, R.AUDIT_DISPUTE) & ~intent.isin(*R.BILLING_INTENTS),
              review(R.WARNING, F.format_string(R.AUDIT_MISSED_DISPUTE, intent), 60)),
             (confidence < R.AUDIT_LOW_CONFIDENCE,
-             review(R.WARNING, F.format_string(R.AUDIT_UNSURE, confidence), 65)),
+             review(R.WARNING, F.format_string(R.AUDIT_UNSURE, fixed(confidence, 2)), 65)),
         ],
         review(R.PASS, R.AUDIT_INTENT_OK, 100),
     )

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from carewise.functions.rulebook import ALPHABETIC_RUN, DENIED_MESSAGES, MIN_MESSAGE_LENGTH
 from carewise.functions.text import clean_text
-from carewise.session import broadcast_if_small, stored
+from carewise.session import broadcast_if_small, filter_computed, stored
 
 HOT_PARENT_REPLIES = 1_000_000
+HOT_PARENTS = 1_000
 
 
 def turns_to_tweets(turns: DataFrame, brand_account: str) -> DataFrame:
@@ -66,23 +67,22 @@ def pair_replies(
 ) -> DataFrame:
     """Every brand reply with the inbound tweet it answers; other replies are dropped.
 
-    A tweet with more than ``hot_parent_replies`` replies would fill one join task. Those
-    tweets are few (rows / limit at most), so they are found first by a count and joined by
-    a size-checked broadcast, while the rest goes through the shuffle join.
+    A tweet with more than ``hot_parent_replies`` replies would fill one join task. A count
+    over the ids alone finds the hottest of them; they are joined by a size-checked broadcast
+    and the rest, none of which is left with a large share, goes through the shuffle join.
     """
     replies = brand_replies(tweets, brand_account)
-    counts = replies.groupBy("customer_tweet_id").agg(F.count(F.lit(1)).alias("n"))
-    hot_ids = stored(counts.filter(F.col("n") > hot_parent_replies).select("customer_tweet_id"), "hot-parents")
-    hot_ids, marked = broadcast_if_small(hot_ids)
     parents = customer_tweets(tweets, null_inbound_is_customer)
-    if not marked or hot_ids.isEmpty():
+    counts = replies.groupBy("customer_tweet_id").agg(F.count(F.lit(1)).alias("n"))
+    hottest = counts.filter(F.col("n") > hot_parent_replies).orderBy(F.col("n").desc()).limit(HOT_PARENTS).collect()
+    if not hottest:
         return replies.join(parents, "customer_tweet_id")
-    hot_tweets = tweets.join(hot_ids, F.col("tweet_id") == F.col("customer_tweet_id"), "left_semi")
-    hot_parents = stored(customer_tweets(hot_tweets, null_inbound_is_customer), "hot-parent-rows")
-    hot_parents, _ = broadcast_if_small(hot_parents)
-    cold = replies.join(hot_ids, "customer_tweet_id", "left_anti").join(parents, "customer_tweet_id")
-    hot = replies.join(hot_ids, "customer_tweet_id", "left_semi").join(hot_parents, "customer_tweet_id")
-    return cold.unionByName(hot)
+    ids = [row["customer_tweet_id"] for row in hottest]
+    is_hot = F.col("customer_tweet_id").isin(ids)
+    hot_tweets = tweets.filter(F.col("tweet_id").isin(ids))
+    hot_parents, _ = broadcast_if_small(stored(customer_tweets(hot_tweets, null_inbound_is_customer), "hot-parents"))
+    cold = replies.filter(~is_hot).join(parents, "customer_tweet_id")
+    return cold.unionByName(replies.filter(is_hot).join(hot_parents, "customer_tweet_id"))
 
 
 def is_substantive(text: Column, min_len: int = MIN_MESSAGE_LENGTH) -> Column:
@@ -90,13 +90,14 @@ def is_substantive(text: Column, min_len: int = MIN_MESSAGE_LENGTH) -> Column:
     return (F.char_length(text) >= min_len) & text.rlike(ALPHABETIC_RUN)
 
 
+def is_denied(message: Column) -> Column:
+    """One of the messages that say nothing."""
+    return F.lower(message).isin(*DENIED_MESSAGES)
+
+
 def is_valid_conversation(message: Column, reply: Column, min_len: int = MIN_MESSAGE_LENGTH) -> Column:
     """Both sides substantive and the message not one of the denied ones."""
-    return (
-        is_substantive(message, min_len)
-        & is_substantive(reply, min_len)
-        & ~F.lower(message).isin(*DENIED_MESSAGES)
-    )
+    return is_substantive(message, min_len) & is_substantive(reply, min_len) & ~is_denied(message)
 
 
 def first_per_message(pairs: DataFrame, message: str = "customer_message", order: str = "support_tweet_id") -> DataFrame:
@@ -146,8 +147,8 @@ def valid_unique_conversations(
         brand_replies(tweets, brand_account)
         .withColumn("support_reply", clean_text(F.col("reply_text")))
         .drop("reply_text")
-        .filter(is_substantive(F.col("support_reply"), min_len))
     )
+    replies = filter_computed(replies, is_substantive(F.col("support_reply"), min_len))
     earliest = W.partitionBy("customer_tweet_id").orderBy("support_tweet_id", "support_reply")
     replies = replies.withColumn("_n", F.row_number().over(earliest)).filter(F.col("_n") == 1).drop("_n")
     pairs = (
@@ -155,5 +156,6 @@ def valid_unique_conversations(
         .withColumn("customer_message", clean_text(F.col("message_text")))
         .drop("message_text")
     )
-    valid = pairs.filter(is_valid_conversation(F.col("customer_message"), F.col("support_reply"), min_len))
+    message = F.col("customer_message")
+    valid = filter_computed(pairs, is_substantive(message, min_len) & ~is_denied(message))
     return conversation_columns(first_per_message(valid))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
 from carewise.functions.cascade import first_match, found
+from carewise.functions.text import fixed
 
 
 def decision(what: str, reason: Column | str, confidence: float) -> Column:
@@ -19,7 +20,7 @@ def decision(what: str, reason: Column | str, confidence: float) -> Column:
 
 def escalation_of(lowered: Column, intent: Column, confidence: Column, low_confidence: float = R.LOW_CONFIDENCE) -> Column:
     """The decision struct; an intent or a pattern can trigger each of the first four arms."""
-    low_reason = F.format_string(R.REASON_LOW_CONFIDENCE, confidence)
+    low_reason = F.format_string(R.REASON_LOW_CONFIDENCE, fixed(confidence, 2))
     return first_match(
         [
             ((intent == R.SAFETY) | found(lowered, R.ESCALATION_SAFETY), decision(R.ESCALATE, R.REASON_SAFETY, 0.98)),

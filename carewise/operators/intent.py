@@ -110,10 +110,11 @@ def calibrated_by_model(probability: Column) -> Column:
 def disjoint_training(labelled: DataFrame, evaluation: DataFrame, message: str = "customer_message") -> DataFrame:
     """Labelled rows whose message, trimmed and lower-cased, is not in the evaluation set.
 
-    The join carries the distinct keys of the evaluation set; a message that fills a large
-    part of the labelled rows is then cut by Spark's skew handling or a broadcast.
+    The distinct keys of the evaluation set are measured: few are broadcast, many are
+    shuffled, where Spark splits a message that fills a large part of the labelled rows.
     """
-    keys = evaluation.select(comparison_key(F.col(message)).alias("_key")).distinct()
+    keys = stored(evaluation.select(comparison_key(F.col(message)).alias("_key")).distinct(), "evaluation-keys")
+    keys, _ = broadcast_if_small(keys)
     return labelled.withColumn("_key", comparison_key(F.col(message))).join(keys, "_key", "left_anti").drop("_key")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
 from carewise.functions.cascade import contains_any
+from carewise.functions.text import fixed
 
 CRITERIA = ("correctness", "groundedness", "helpfulness", "professionalism", "tone", "safety", "faithfulness")
 
@@ -48,7 +49,7 @@ def judge_replies(scored: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         "conversation_id",
         *CRITERIA,
         average.alias("average_score"),
-        F.format_string(R.JUDGE_FEEDBACK, F.col("professionalism"), F.col("groundedness")).alias("feedback"),
+        F.format_string(R.JUDGE_FEEDBACK, fixed(F.col("professionalism"), 1), fixed(F.col("groundedness"), 1)).alias("feedback"),
         *keep,
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
+from carewise.session import filter_computed
 
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
@@ -17,8 +18,9 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
 
 def confusion_counts(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """(by..., truth, predicted, n): at most labels squared rows; rows without a truth are left out."""
-    known = df.filter(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
-    return known.groupBy(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
+    pairs = df.select(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted"))
+    known = filter_computed(pairs, F.col("truth").isNotNull() & F.col("predicted").isNotNull())
+    return known.groupBy(*by, "truth", "predicted").agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -130,14 +132,15 @@ def compare_models(predictions: DataFrame, model: str, truth: str, predicted: st
 
 def failure_cases(scored: DataFrame) -> DataFrame:
     """Records whose intent or escalation differs from a known truth, with the reason."""
-    decided = F.col("escalation.decision")
+    decided = F.col("_decision")
 
     def differs(truth: Column, got: Column) -> Column:
         return F.coalesce((truth != "") & ~truth.eqNullSafe(got), F.lit(False))
 
     intent_wrong = differs(F.col("ground_truth_intent"), F.col("predicted_intent"))
     escalation_wrong = differs(F.col("ground_truth_escalation"), decided)
-    return scored.filter(intent_wrong | escalation_wrong).select(
+    rows = scored.withColumn("_decision", F.col("escalation.decision"))
+    return filter_computed(rows, intent_wrong | escalation_wrong).select(
         "conversation_id",
         "customer_message",
         "predicted_intent",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
 from carewise.functions.cascade import first_match
-from carewise.functions.text import end_sentence, snippet, strip_spaces
+from carewise.functions.text import end_sentence, fixed, snippet, strip_spaces
 
 EMPTY_CITATIONS = "array<struct<conversation_id:string,similarity_score:double,historical_snippet:string>>"
 
@@ -37,7 +37,7 @@ def _rationale(text: str, best: Column, brand: str) -> Column:
     """One fixed rationale with the best hit's id and score filled in."""
     score = F.coalesce(best["similarity_score"], F.lit(0.0))
     return F.format_string(
-        R.for_brand(text, brand), best["hit_id"].cast("string"), F.format_string("%.2f", score), F.format_string("%.4f", score)
+        R.for_brand(text, brand), best["hit_id"].cast("string"), fixed(score, 2), fixed(score, 4)
     )
 
 

@@ -55,8 +55,7 @@ def stratified_sample(
         allowed = F.when(F.col(stratum) == name, F.lit(quota)).otherwise(allowed)
     order = W.partitionBy(stratum).orderBy("_order", key)
     return (
-        df.filter(F.col(stratum).isin(*classes))
-        .withColumn("_order", seeded_order(F.col(key), seed))
+        df.withColumn("_order", seeded_order(F.col(key), seed))
         .withColumn("_n", F.row_number().over(order))
         .filter((F.col("_n") <= max(share.values())) & (F.col("_n") <= allowed))
         .drop("_order", "_n")

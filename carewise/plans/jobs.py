@@ -66,7 +66,7 @@ def build_golden(
     id_prefix: str = "GOLDEN",
 ) -> DataFrame:
     """Labelled, balanced evaluation records in shuffled order."""
-    labelled = label_conversations(conversations)
+    labelled = stored(label_conversations(conversations), "labelled")
     names = [i.name for i in R.taxonomy()] if classes is None else list(classes)
     drawn = balanced_sample(labelled, size, "intent", names, "conversation_id", seed)
     return numbered(drawn, f"{id_prefix}_%03d", "conversation_id", seed, "golden_id").select(

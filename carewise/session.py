@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
@@ -27,8 +27,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody else uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nobody else uses; all of one application lie together,
+    so that a cluster can expire them when it has ended."""
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark).rstrip('/')}/carewise/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on columns that are expensive to compute, without computing them twice.
+
+    Catalyst pushes a filter below the projection that made its columns and repeats their
+    expressions there, once per use. A partition id in the projection keeps the filter above.
+    """
+    kept = df.withColumn("_task", F.spark_partition_id())
+    return kept.filter((F.col("_task") >= 0) & condition).drop("_task")
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> tuple[DataFrame, bool]:
     """Mark a stored table for broadcast when its measured size is within ``limit``.
 

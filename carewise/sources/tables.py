@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,13 +44,23 @@ def coerce_tweets(raw: DataFrame) -> DataFrame:
 
 
 def write_tweets_csv(tweets: DataFrame, path: str) -> None:
-    tweets.select(*TWEETS.fieldNames()).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _csv_out(tweets.select(*TWEETS.fieldNames())).csv(path)
+
+
+def _csv_out(df: DataFrame) -> DataFrameWriter:
+    """Texts keep their quotes, line breaks and outer blanks."""
+    return (
+        df.write.mode("overwrite")
+        .option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+    )
 
 
 def write_conversations(conversations: DataFrame, path: str, fmt: str = "parquet") -> None:
-    writer = conversations.select(*CONVERSATIONS.fieldNames()).write.mode("overwrite")
-    if fmt == "csv":
-        writer = writer.option("header", True).option("escape", '"')
+    rows = conversations.select(*CONVERSATIONS.fieldNames())
+    writer = _csv_out(rows) if fmt == "csv" else rows.write.mode("overwrite")
     writer.format(fmt).save(path)
 
 
