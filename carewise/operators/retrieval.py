@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +13,14 @@ from pyspark.sql import functions as F
 
 from carewise.functions.text import is_blank
 from carewise.operators.tfidf import TfidfSettings, document_text, fit_vocabulary, weigh
-from carewise.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, stored
+from carewise.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, shuffle_tasks, stored
 
 TOP_K = 3
 THRESHOLD = 0.15
 ROWS_PER_CELL = 2_000
+POSTING_BYTES = 64
+PAIRS_PER_TASK = 20_000_000
+MAX_GROUPS = 32
 
 
 class Retriever(Protocol):
@@ -67,12 +72,12 @@ class ConversationIndex:
         row = spark.read.parquet(f"{path}/settings").first().asDict()
         settings = TfidfSettings(**{**row, "stop_words": tuple(row["stop_words"])})
         vocab, _ = broadcast_if_small(spark.read.parquet(f"{path}/vocab"))
-        postings = spark.read.parquet(f"{path}/postings").repartition("doc_id")
+        postings = spark.read.parquet(f"{path}/postings")
         return cls(vocab, postings, spark.read.parquet(f"{path}/corpus"), settings)
 
     def materialised(self) -> ConversationIndex:
         """The same index on stored postings, for several searches in one session."""
-        return replace(self, postings=stored(self.postings, "postings").repartition("doc_id"))
+        return replace(self, postings=stored(self.postings, "postings"))
 
     def search(
         self,
@@ -89,6 +94,7 @@ class ConversationIndex:
 
         Columns: the query key, rank, conversation_id, customer_message, support_reply,
         similarity_score (4 places). Ties go to the smaller id. Blank queries give no rows.
+        A query key must be unique, as must the key of a document.
         """
         asked = queries.select(F.col(key).alias("query_id"), F.col(text).alias("query_text"))
         asked = asked.filter(~is_blank(F.col("query_text")))
@@ -97,17 +103,18 @@ class ConversationIndex:
             vectors.select("query_id", F.col("term_id").alias("q_term"), F.col("weight").alias("q_weight")),
             "query-vectors",
         )
-        wanted, few = broadcast_if_small(wanted, broadcast_limit)
-        products = self._near(wanted) if few else self._in_cells(wanted, rows_per_cell)
-        scores = products.groupBy("query_id", "doc_id").agg(F.sum("product").alias("score"))
-        if exclude_self:
-            scores = scores.filter(F.col("query_id") != F.col("doc_id"))
-        hits = _ranked(scores.filter(F.col("score") >= threshold), top_k)
+        size = wanted.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("query_id").alias("queries")).first()
+        groups = max(1, math.ceil(size["rows"] * POSTING_BYTES / broadcast_limit))
+        if groups <= MAX_GROUPS:
+            products = self._near(wanted, groups, math.ceil(size["queries"] / groups))
+        else:
+            products = [self._in_cells(wanted, rows_per_cell)]
+        best = [self._best(each, top_k, threshold, exclude_self) for each in products]
+        hits = reduce(DataFrame.unionByName, best)
         if threshold <= 0:
             hits = _ranked(hits.drop("rank").unionByName(self._fillers(asked, hits, top_k, exclude_self)), top_k)
-        if few and threshold > 0:
-            # top_k rows per query vector, and these have just been measured
-            hits = F.broadcast(hits)
+        elif size["queries"] * top_k * POSTING_BYTES <= broadcast_limit:
+            hits = F.broadcast(hits)  # top_k rows per query that has a vector, as just measured
         return self.corpus.join(hits, "doc_id").select(
             F.col("query_id").alias(key),
             "rank",
@@ -117,16 +124,33 @@ class ConversationIndex:
             F.round("score", 4).alias("similarity_score"),
         )
 
-    def _near(self, wanted: DataFrame) -> DataFrame:
-        """Query vectors go to the postings. These stay partitioned by document, so a score is
-        summed and the top-k cut inside the task; only top-k rows per task are shuffled."""
-        return self.postings.join(wanted, F.col("term_id") == F.col("q_term")).select(
-            "query_id", "doc_id", (F.col("weight") * F.col("q_weight")).alias("product")
-        )
+    def _best(self, products: DataFrame, top_k: int, threshold: float, exclude_self: bool) -> DataFrame:
+        scores = products.groupBy("query_id", "doc_id").agg(F.sum("product").alias("score"))
+        if exclude_self:
+            scores = scores.filter(F.col("query_id") != F.col("doc_id"))
+        return _ranked(scores.filter(F.col("score") >= threshold), top_k)
+
+    def _near(self, wanted: DataFrame, groups: int, queries: int) -> list[DataFrame]:
+        """Query vectors go to the postings, in groups that fit a broadcast.
+
+        Postings stay partitioned by document, so a score is summed and the top-k cut inside
+        the task: only top-k rows per task are shuffled, never pairs. The number of partitions
+        bounds the (query, document) pairs of a task; all groups reuse the one shuffle.
+        """
+        docs = self.vocab.agg(F.coalesce(F.max("n_docs"), F.lit(0)).alias("n")).first()["n"]
+        tasks = max(shuffle_tasks(self.corpus.sparkSession), math.ceil(docs * queries / PAIRS_PER_TASK))
+        postings = self.postings.repartition(tasks, "doc_id")
+        group = F.pmod(F.xxhash64("query_id"), F.lit(groups))
+        return [
+            postings.join(
+                F.broadcast(wanted if groups == 1 else wanted.filter(group == g)), F.col("term_id") == F.col("q_term")
+            ).select("query_id", "doc_id", (F.col("weight") * F.col("q_weight")).alias("product"))
+            for g in range(groups)
+        ]
 
     def _in_cells(self, wanted: DataFrame, rows_per_cell: int) -> DataFrame:
-        """Both sides are large: a frequent term is cut into cells by query and by document, so
-        that no task meets more than ``rows_per_cell`` rows of a term on either side."""
+        """More queries than groups can hold: a frequent term is cut into cells by query and by
+        document, so that no task meets more than ``rows_per_cell`` rows of a term on either side."""
         asked = wanted.groupBy("q_term").agg(F.count(F.lit(1)).alias("qf"))
         cells = self.vocab.join(asked, F.col("term_id") == F.col("q_term")).select(
             F.col("term_id").alias("cell_term"),

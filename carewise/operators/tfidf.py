@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carewise.functions.text import english_stop_words, ngrams, tokens
-from carewise.session import broadcast_if_small, new_folder, stored
+from carewise.session import broadcast_if_small, new_folder, shuffle_tasks, stored
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,10 @@ def document_text(message: Column, reply: Column) -> Column:
 
 def term_counts(docs: DataFrame, key: str, text: str, settings: TfidfSettings) -> DataFrame:
     """(key, term, tf). The texts are shuffled once by key; counting, and every later step
-    per document, then runs where the document is."""
-    words = docs.select(F.col(key), F.col(text).alias("_text")).repartition(F.col(key)).select(
+    per document, then runs where the document is. The number of tasks is given, because
+    texts grow many times when they are cut into terms."""
+    texts = docs.select(F.col(key), F.col(text).alias("_text"))
+    words = texts.repartition(shuffle_tasks(docs.sparkSession), F.col(key)).select(
         F.col(key), tokens(F.col("_text"), settings.stop_words, settings.strip_accents).alias("_words")
     )
     terms = words.select(F.col(key), F.explode(ngrams(F.col("_words"), settings.low, settings.high)).alias("term"))
@@ -61,6 +63,7 @@ def vocabulary(docs: DataFrame, key: str, text: str, settings: TfidfSettings) ->
         (F.row_number().over(W.orderBy("term")) - 1).alias("term_id"),
         "df",
         "cf",
+        total.alias("n_docs"),
         (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1.0).alias("idf"),
     )
 

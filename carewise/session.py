@@ -33,6 +33,12 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/carewise/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def shuffle_tasks(spark: SparkSession) -> int:
+    """The number of shuffle partitions the user has set, for steps whose work is not in
+    proportion to their bytes and which should keep that number."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a parquet table in the shared folder and read it back, which cuts its lineage."""
     path = new_folder(df.sparkSession, name)

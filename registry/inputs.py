@@ -94,9 +94,16 @@ def dirty_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(prefix, F.col("text"), F.lit(" \t")).alias("raw"))
 
 
+@lru_cache(maxsize=4)
+def _stored_pairs(application: str, sf_dir: str) -> DataFrame:
+    paired = pair_replies(tweets(SparkSession.active(), sf_dir), BRAND_ACCOUNT)
+    return stored(clean_pairs(paired), "pairs")
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned customer messages with the replies to them."""
-    return clean_pairs(pair_replies(tweets(spark, sf_dir), BRAND_ACCOUNT))
+    """Cleaned customer messages with the replies to them, as the stored table that labelling,
+    indexing and scoring read."""
+    return _stored_pairs(spark.sparkContext.applicationId, sf_dir)
 
 
 def _number() -> F.Column:
