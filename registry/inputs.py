@@ -72,6 +72,18 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns_to_tweets(table(spark, sf_dir, "conversations"), BRAND_ACCOUNT)
 
 
+def _phrase(number: F.Column) -> F.Column:
+    return F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.pmod(number, F.lit(len(PHRASES))) + 1).cast("int"))
+
+
+def phrased_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tweet table with a phrase in front of every customer text."""
+    turns = table(spark, sf_dir, "conversations")
+    phrase = _phrase(F.col("conv_id") * 8 + F.col("turn"))
+    text = F.when(F.col("role") == "user", F.concat(phrase, F.lit(" "), F.col("text"))).otherwise(F.col("text"))
+    return turns_to_tweets(turns.withColumn("text", text), BRAND_ACCOUNT)
+
+
 def doubled_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tweet a second time under other ids, so that each message comes twice."""
     once = tweets(spark, sf_dir)
@@ -113,12 +125,11 @@ def _number() -> F.Column:
 
 def phrased(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs with a phrase in front of each whole message; ``fault`` numbers the fault."""
-    phrase = F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (F.pmod(_number(), F.lit(len(PHRASES))) + 1).cast("int"))
     return pairs(spark, sf_dir).select(
         "conversation_id",
         "customer_tweet_id",
         "support_tweet_id",
-        F.concat(phrase, F.lit(" "), F.col("customer_message")).alias("customer_message"),
+        F.concat(_phrase(_number()), F.lit(" "), F.col("customer_message")).alias("customer_message"),
         "support_reply",
         F.pmod(_number(), F.lit(FAULTS)).alias("fault"),
     )

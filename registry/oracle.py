@@ -540,13 +540,17 @@ TWEET_COLUMNS = """conv_id * 100 + turn AS tweet_id, CASE WHEN role = 'assistant
   CASE WHEN role = 'assistant' AND turn > 0 THEN conv_id * 100 + turn - 1 ELSE -1 END AS in_response_to_tweet_id"""
 PAIR_COLUMNS = """conversation_id, customer_tweet_id, support_tweet_id, customer_message, support_reply,
   CAST(length(customer_message) AS INTEGER) AS char_length_customer, CAST(length(support_reply) AS INTEGER) AS char_length_reply"""
-UNIQUE = PAIRS + f""",
+def unique(source: str) -> str:
+    return f"""
 conversations_kept AS (
-  SELECT * FROM pairs WHERE {VALID.format(n=20)}
+  SELECT * FROM {source} WHERE {VALID.format(n=20)}
   QUALIFY row_number() OVER (PARTITION BY lower(customer_message) ORDER BY support_tweet_id) = 1
 )"""
 
 
+UNIQUE = PAIRS + "," + unique("pairs")
+
+
 def long_rows(source: str, section: str, names: dict[str, str]) -> str:
     return " UNION ALL ".join(
         f"SELECT {q(section)} AS section, {q(metric)} AS metric, CAST({column} AS DOUBLE) AS value FROM {source}" for column, metric in names.items()
@@ -628,7 +632,7 @@ classified AS (
   FROM matched
 ), {escalated('classified', 'decided')}, {replied('decided', 'hits', 'grounded')} {FLAT_SCORED} grounded"""
     return {
-        "intent_decisions": f"""WITH {UNIQUE}, matched AS ({_keyword('conversations_kept')}),
+        "intent_decisions": f"""WITH {PHRASED}, {unique('phrased')}, matched AS ({_keyword('conversations_kept')}),
 classified AS (SELECT m.*, k.customer_message FROM matched m JOIN conversations_kept k USING (conversation_id)),
 {escalated('classified', 'decided')} SELECT predicted_intent AS intent, decision, count(*) AS n FROM decided GROUP BY ALL""",
         "scan_tweets_csv": f"SELECT {TWEET_COLUMNS} FROM conversations",

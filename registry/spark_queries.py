@@ -50,7 +50,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def intent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns to pairs, cleaned, valid, unique, matched, decided and counted."""
-    conversations = valid_unique_conversations(inputs.tweets(spark, sf_dir), inputs.BRAND_ACCOUNT)
+    conversations = valid_unique_conversations(inputs.phrased_tweets(spark, sf_dir), inputs.BRAND_ACCOUNT)
     decided = jobs.escalate(keyword_baseline(conversations))
     return decided.groupBy(
         F.col("predicted_intent").alias("intent"), F.col("escalation.decision").alias("decision")
@@ -422,7 +422,7 @@ def intent_priority_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trained(application: str, sf_dir: str) -> jobs.TrainingResult:
     spark = SparkSession.active()
     labelled = label_conversations(inputs.phrased(spark, sf_dir))
-    golden = label_conversations(jobs.build_golden(inputs.phrased(spark, sf_dir), 60, SEED).select("conversation_id", "customer_message"))
+    golden = label_conversations(jobs.build_golden(inputs.phrased(spark, sf_dir), 20, SEED).select("conversation_id", "customer_message"))
     return jobs.train_and_evaluate(labelled, golden)
 
 
