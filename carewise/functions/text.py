@@ -28,7 +28,6 @@ MAY_CHANGE = (
 )
 
 
-@lru_cache(maxsize=1)
 def _unescape_and_compose():
     """The Arrow UDF; defined inside, so that executors need not have this package.
 
@@ -84,7 +83,7 @@ def snippet(text: Column, length: int = SNIPPET_LENGTH) -> Column:
 
 def end_sentence(text: Column) -> Column:
     """Add a full stop unless the text ends in terminal punctuation."""
-    return F.when(text.rlike(r"[.!?]\z"), text).otherwise(F.concat(text, F.lit(".")))
+    return F.concat(text, F.when(text.rlike(r"[.!?]\z"), "").otherwise("."))
 
 
 def fixed(number: Column, places: int) -> Column:

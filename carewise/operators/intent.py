@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
@@ -18,6 +19,7 @@ from carewise.session import broadcast_if_small, stored
 
 CLASSIFIER_TERMS = 8000
 INVERSE_REGULARISATION = 3.0
+TOLERANCE = 1e-4
 MAX_CLASSES = 1_000
 KEYWORD_CONFIDENCE = 0.85
 DEFAULT_CONFIDENCE = 0.40
@@ -121,8 +123,9 @@ def disjoint_training(labelled: DataFrame, evaluation: DataFrame, message: str =
 def class_weights(labelled: DataFrame, label: str = "intent") -> DataFrame:
     """Balanced weight n / (k * n_c) of every class."""
     counts = labelled.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.struct(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("classes"))).scalar()
-    return counts.select("label", "n", (totals["rows"] / (totals["classes"] * F.col("n"))).alias("weight"))
+    classes = W.partitionBy()  # one row per class
+    share = F.sum("n").over(classes) / (F.count(F.lit(1)).over(classes) * F.col("n"))
+    return counts.select("label", "n", share.alias("weight"))
 
 
 def keyword_baseline(df: DataFrame, message: str = "customer_message", default: str = R.GENERAL) -> DataFrame:
@@ -212,6 +215,7 @@ class IntentModel:
             elasticNetParam=0.0,
             standardization=False,
             maxIter=max_iter,
+            tol=TOLERANCE,
         ).fit(table)
         matrix = fitted.coefficientMatrix.toArray()
         intercepts = [float(x) for x in fitted.interceptVector.toArray()]

@@ -39,6 +39,7 @@ class ConversationIndex:
     postings: DataFrame  # (doc_id, term_id, weight)
     corpus: DataFrame  # (doc_id, customer_message, support_reply)
     settings: TfidfSettings
+    scratch: str | None = None  # where searches keep their tables; by default each in a new folder
 
     @classmethod
     def fit(cls, conversations: DataFrame, settings: TfidfSettings | None = None, key: str = "conversation_id") -> ConversationIndex:
@@ -102,6 +103,7 @@ class ConversationIndex:
         wanted = stored(
             vectors.select("query_id", F.col("term_id").alias("q_term"), F.col("weight").alias("q_weight")),
             "query-vectors",
+            self.scratch,
         )
         size = wanted.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("query_id").alias("queries")).first()
         groups = max(1, math.ceil(size["rows"] * POSTING_BYTES / broadcast_limit))
@@ -157,7 +159,7 @@ class ConversationIndex:
             F.ceil(F.col("qf") / rows_per_cell).cast("int").alias("q_cells"),
             F.ceil(F.col("df") / rows_per_cell).cast("int").alias("d_cells"),
         )
-        cells, _ = broadcast_if_small(stored(cells, "term-cells"))
+        cells, _ = broadcast_if_small(stored(cells, "term-cells", self.scratch))
         left = self.postings.join(cells, F.col("term_id") == F.col("cell_term")).select(
             "doc_id", "term_id", "weight",
             F.pmod(F.xxhash64("doc_id"), F.col("d_cells")).cast("int").alias("d_cell"),

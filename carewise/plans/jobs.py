@@ -21,6 +21,7 @@ from carewise.operators.intent import (
     keyword_baseline,
     label_conversations,
     random_baseline,
+    taxonomy_table,
 )
 from carewise.operators.judge import CRITERIA, judge_means, judge_replies
 from carewise.operators.metrics import accuracy, binary_prf, compare_models, confusion_counts, macro_prf, weighted_prf
@@ -28,7 +29,9 @@ from carewise.operators.replies import ground_replies
 from carewise.operators.retrieval import THRESHOLD, TOP_K, ConversationIndex, Retriever
 from carewise.operators.sampling import balanced_sample, numbered, sample_n
 from carewise.operators.tfidf import TfidfSettings
+from carewise.operators.topics import discover_topics
 from carewise.session import stored
+from carewise.sources.tables import write_metrics
 
 GOLDEN_SIZE = 200
 GROUND_TRUTH = {
@@ -138,18 +141,30 @@ def audit_batch(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return audit_rollup(audit_items(scored, keep=by), by)
 
 
+def export_taxonomy(
+    conversations: DataFrame, path: str, intents: Sequence[R.Intent] | None = None, **topic_options
+) -> None:
+    """Write the taxonomy, the leading terms of the discovered clusters and a one-row summary."""
+    rows = taxonomy_table(conversations.sparkSession, intents)
+    write_metrics(rows, f"{path}/intents")
+    write_metrics(discover_topics(conversations, **topic_options), f"{path}/clusters")
+    summary = conversations.agg(F.count(F.lit(1)).alias("source_conversations"))
+    total = len(R.taxonomy() if intents is None else intents)
+    write_metrics(summary.select(F.lit(total).alias("total_intents"), "source_conversations"), f"{path}/meta")
+
+
 @dataclass(frozen=True)
 class TrainingResult:
     model: IntentModel
     metrics: DataFrame  # accuracy, macro_f1, train_size, test_size
 
 
-def train_and_evaluate(labelled: DataFrame, evaluation: DataFrame, seed_path: str | None = None, max_iter: int = 1000) -> TrainingResult:
+def train_and_evaluate(labelled: DataFrame, evaluation: DataFrame, path: str | None = None, max_iter: int = 1000) -> TrainingResult:
     """Train on what the evaluation set does not hold, then measure on it."""
     training = stored(disjoint_training(labelled, evaluation), "training")
     model = IntentModel.fit(training, max_iter=max_iter)
-    if seed_path is not None:
-        model.save(seed_path)
+    if path is not None:
+        model.save(path)
     predicted = model.classify(evaluation, "conversation_id", "customer_message")
     confusion = stored(confusion_counts(predicted, "intent", "predicted_intent"), "confusion")
     right = accuracy(confusion).select(

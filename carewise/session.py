@@ -39,10 +39,13 @@ def shuffle_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a parquet table in the shared folder and read it back, which cuts its lineage."""
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+def stored(df: DataFrame, name: str, scratch: str | None = None) -> DataFrame:
+    """Write ``df`` as a parquet table and read it back, which cuts its lineage.
+
+    It gets a new folder in the shared one, or replaces the table of that name in ``scratch``.
+    """
+    path = new_folder(df.sparkSession, name) if scratch is None else f"{scratch.rstrip('/')}/{name}"
+    df.write.mode("error" if scratch is None else "overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -18,12 +18,18 @@ def _number(text: str) -> F.Column:
     return F.coalesce(F.expr(f"try_cast(`{text}` AS BIGINT)"), F.expr(f"try_cast(try_cast(`{text}` AS DOUBLE) AS BIGINT)"))
 
 
-def read_tweets_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """Scan a tweet CSV; texts may span lines, rows without a numeric id are skipped."""
+def read_tweets_csv(
+    spark: SparkSession, path: str, max_rows: int | None = None, multi_line: bool = True
+) -> DataFrame:
+    """Scan a tweet CSV; rows without a numeric id are skipped.
+
+    Texts may span lines, for which a file must be read as a whole. Where none does, set
+    ``multi_line`` to False: large files are then split among the tasks.
+    """
     raw = (
         spark.read.schema(_as_text(TWEETS))
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )

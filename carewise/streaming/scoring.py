@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from carewise.operators.audit import audit_items
-from carewise.operators.retrieval import Retriever
+from carewise.operators.retrieval import ConversationIndex, Retriever
 from carewise.plans.jobs import Classifier, score_messages
 
 SCORED_COLUMNS = (
@@ -41,7 +43,10 @@ def start_scoring(
 
     Top-k needs a window over a query's hits, which a stateless stream lacks, so batches are
     scored whole. A batch overwrites its own folder: after a restart it is written again, not twice.
+    Batches follow one another, so the tables of a search are replaced by those of the next.
     """
+    if isinstance(index, ConversationIndex):
+        index = replace(index, scratch=f"{checkpoint.rstrip('/')}-scratch")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # classified and searched

@@ -84,6 +84,15 @@ def phrased_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns_to_tweets(turns.withColumn("text", text), BRAND_ACCOUNT)
 
 
+def stream_messages(turns: DataFrame) -> DataFrame:
+    """Cleaned customer turns, phrases in front, of a stream or a table."""
+    phrase = _phrase(F.col("conv_id") * 8 + F.col("turn"))
+    return turns.filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("conversation_id"),
+        F.concat(phrase, F.lit(" "), clean_text(F.col("text"))).alias("customer_message"),
+    )
+
+
 def doubled_tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tweet a second time under other ids, so that each message comes twice."""
     once = tweets(spark, sf_dir)

@@ -269,7 +269,7 @@ _safety = f"regexp_matches({_low}, {q(AUDIT_SAFETY)})"
 _billing = f"(predicted_intent IN ({BILLING}) OR {found(_low, R.AUDIT_BILLING)})"
 _safe_any = f"(predicted_intent = 'Safety Concern' OR {_safety})"
 
-AUDITED = SCORED + "," + _arm_table("intent_review", "scored", [
+REVIEWS = _arm_table("intent_review", "scored", [
     (f"predicted_intent NOT IN ({listed(i.name for i in R.taxonomy())})", "FAIL",
      around("Predicted intent '", "predicted_intent", "' is not in approved taxonomy."), 0),
     (f"{_safety} AND predicted_intent <> 'Safety Concern'", "FAIL",
@@ -303,16 +303,18 @@ items AS (
   JOIN grounding_review g USING (conversation_id)
 )"""
 
+AUDITED = SCORED + "," + REVIEWS
+
 
 def rollup(source: str, by: str = "") -> str:
     """The acceptance report from (verdict, hundredths, three statuses)."""
-    keys = f"{by}, " if by else ""
-    group = f"GROUP BY {by}" if by else ""
+    return f", {rollup_counts(source, by)} {report(by)}"
 
-    def status(count: str, percent: int) -> str:
-        return f"CASE WHEN {count} * 100 > total_reviewed * {percent} THEN 'FAIL' WHEN {count} > 0 THEN 'WARNING' ELSE 'PASS' END"
 
-    return f""",
+def rollup_counts(source: str, by: str = "") -> str:
+    keys = f"{by}, " if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    return f"""
 counts AS (
   SELECT {keys}count(*) AS total_reviewed, CAST(sum(hundredths) AS BIGINT) AS s,
          count(*) FILTER (item_verdict = 'FAIL') AS discrepancies,
@@ -323,7 +325,16 @@ counts AS (
 ),
 gated AS (
   SELECT *, (s * 2 + total_reviewed * 10) // (total_reviewed * 20) AS tenths FROM counts
-)
+)"""
+
+
+def report(by: str = "") -> str:
+    keys = f"{by}, " if by else ""
+
+    def status(count: str, percent: int) -> str:
+        return f"CASE WHEN {count} * 100 > total_reviewed * {percent} THEN 'FAIL' WHEN {count} > 0 THEN 'WARNING' ELSE 'PASS' END"
+
+    return f"""
 SELECT {keys}CASE WHEN tenths >= 85 AND discrepancies * 100 <= total_reviewed * 5 THEN 'APPROVED' ELSE 'FLAGGED' END AS audit_status,
        {status('intent_failures', 10)} AS intent_review, {status('grounding_failures', 5)} AS grounding_review,
        {status('escalation_failures', 5)} AS escalation_review, CAST(tenths / 10 AS DOUBLE) AS overall_score,
@@ -598,6 +609,21 @@ items AS (
 )"""
 
 
+def _stream_score() -> str:
+    """What the stream writes: every customer turn scored by keywords and audited."""
+    return f"""WITH {PAIRS}, {INDEX},
+messages AS (
+  SELECT CAST(conv_id * 100 + turn AS VARCHAR) AS conversation_id,
+         ([{listed(PHRASES)}])[(conv_id * 8 + turn) % {len(PHRASES)} + 1] || ' ' || {clean('text')} AS customer_message
+  FROM conversations WHERE role = 'user'
+),
+asked AS (SELECT conversation_id AS query_id, customer_message AS query FROM messages), {search('asked', 'hits')},
+keyword AS ({_keyword('messages')}),
+classified AS (SELECT k.*, m.customer_message FROM keyword k JOIN messages m USING (conversation_id)),
+{escalated('classified', 'decided')}, {replied('decided', 'hits', 'scored')}, {REVIEWS}
+SELECT conversation_id, s.predicted_intent, intent_confidence, decision, is_grounded, item_verdict, item_score FROM scored s JOIN items USING (conversation_id)"""
+
+
 def _keyword(source: str) -> str:
     return f"""SELECT conversation_id, coalesce(rule, 'General Inquiry') AS predicted_intent,
   CAST(CASE WHEN rule IS NULL THEN 0.4 ELSE 0.85 END AS DOUBLE) AS intent_confidence
@@ -713,5 +739,8 @@ SELECT event_id, round(least(CAST(0.96 AS DOUBLE), greatest(CAST(0.88 AS DOUBLE)
 c AS (SELECT intent, count(*) AS n FROM labelled GROUP BY intent)
 SELECT priority, default_escalation, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n, count(*) AS intents FROM taxonomy LEFT JOIN c USING (intent) GROUP BY ALL""",
         "score_batch_keywords": keyword_scored,
+        "stream_score": _stream_score(),
+        "stream_audit_window": f"""WITH {EVENT_ITEMS}, {rollup_counts('items', 'window_start, window_end')},
+reports AS ({report('window_start, window_end')}) SELECT * FROM reports WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
         "audit_window": f"WITH {EVENT_ITEMS} {rollup('items', 'window_start, window_end')}",
     }

@@ -485,10 +485,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All customer turns as a stream, scored against the index and audited."""
     schema = inputs.table(spark, sf_dir, "conversations").schema
     turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
-    messages = turns.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("conversation_id"),
-        clean_text(F.col("text")).alias("customer_message"),
-    )
+    messages = inputs.stream_messages(turns)
     path = new_folder(spark, "stream-scored")
     index = _index(spark, sf_dir).materialised()
     start_scoring(messages, KeywordModel(), index, path, f"{path}-checkpoint").awaitTermination()

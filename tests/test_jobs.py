@@ -73,6 +73,7 @@ def test_stream_equals_batch(spark, phrased, index, tmp_path):
     start_scoring(stream, KeywordModel(), index, out, str(tmp_path / "state")).awaitTermination()
     written = read_scored_stream(spark, out)
     assert written.select("batch_id").distinct().count() == 3
+    assert sorted(p.name for p in tmp_path.glob("state-scratch/*")) == ["query-vectors"]
     expected = score_and_audit(messages, KeywordModel(), index)
     assert sorted(map(str, written.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
     # a restart finds nothing new and writes nothing twice
@@ -93,6 +94,13 @@ def test_monitor_equals_batch_on_closed_windows(spark, tmp_path):
     assert got.count() >= batch.count() - 2 and got.filter(F.col("audit_status") == "FLAGGED").count() > 0
 
 
+def test_taxonomy_export(spark, phrased, tmp_path):
+    jobs.export_taxonomy(phrased, str(tmp_path / "t"), clusters=3, starts=1)
+    assert spark.read.json(str(tmp_path / "t" / "intents")).count() == 11
+    assert spark.read.json(str(tmp_path / "t" / "clusters")).select("cluster").distinct().count() == 3
+    assert tuple(spark.read.json(str(tmp_path / "t" / "meta")).select("total_intents", "source_conversations").first()) == (11, phrased.count())
+
+
 def test_own_classifier_fits_the_scoring_job(spark, phrased, index):
     class Always:
         def classify(self, messages, key, text):
