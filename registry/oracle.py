@@ -597,6 +597,13 @@ dirty AS (
   FROM conversations
 )"""
 
+# The entities that occur in the pages; the ampersand last, so that nothing is unescaped twice.
+PLAIN_PAGES = """
+plain_pages AS (
+  SELECT page_id, regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g') AS plain
+  FROM pages
+)"""
+
 EVENT_ITEMS = """
 items AS (
   SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end,
@@ -669,6 +676,7 @@ classified AS (SELECT m.*, k.customer_message FROM matched m JOIN conversations_
 SELECT intent, ord, description, keywords, default_escalation, priority, (SELECT count(*) FROM matched WHERE rule = intent) AS matched,
        (SELECT count(*) FROM phrased) AS source_conversations FROM taxonomy""",
         "clean_text": f"WITH {DIRTY}, c AS (SELECT conv_id, turn, {clean('raw')} AS cleaned FROM dirty) SELECT conv_id, turn, cleaned, CAST(length(cleaned) AS INTEGER) AS length FROM c",
+        "clean_unescape": f"WITH {PLAIN_PAGES} SELECT page_id, {clean('plain')} AS cleaned FROM plain_pages",
         "valid_conversations": f"WITH {PAIRS} SELECT conversation_id, {VALID.format(n=150)} AS valid_150, {VALID.format(n=20)} AS valid_20 FROM pairs",
         "paired_replies": f"WITH {PAIRS} SELECT {PAIR_COLUMNS} FROM pairs",
         "conversation_pairs": f"WITH {UNIQUE} SELECT {PAIR_COLUMNS} FROM conversations_kept",
