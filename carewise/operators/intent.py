@@ -203,7 +203,7 @@ class IntentModel:
         docs = training.filter(F.col(label).isNotNull()).select(
             key, text, numbers[F.col(label)].alias("_label"), shares[F.col(label)].alias("_weight")
         )
-        vocab = fit_vocabulary(docs, key, text, settings)
+        vocab = fit_vocabulary(docs, text, settings)
         size = vocab.count()
         table = vector_rows(docs, key, weigh(docs, key, text, vocab, settings), size, ("_label", "_weight"))
         total = sum(r["n"] * r["weight"] for r in rows)

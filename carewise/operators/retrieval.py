@@ -19,7 +19,7 @@ TOP_K = 3
 THRESHOLD = 0.15
 ROWS_PER_CELL = 2_000
 POSTING_BYTES = 64
-PAIRS_PER_TASK = 20_000_000
+PAIRS_PER_TASK = 4_000_000
 MAX_GROUPS = 32
 
 
@@ -48,7 +48,7 @@ class ConversationIndex:
         docs = corpus.select(
             "doc_id", document_text(F.col("customer_message"), F.col("support_reply")).alias("doc_text")
         )
-        vocab = fit_vocabulary(docs, "doc_id", "doc_text", settings)
+        vocab = fit_vocabulary(docs, "doc_text", settings)
         return cls(vocab, weigh(docs, "doc_id", "doc_text", vocab, settings), corpus, settings)
 
     def save(self, path: str) -> None:

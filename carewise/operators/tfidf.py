@@ -15,6 +15,9 @@ from carewise.functions.text import english_stop_words, ngrams, tokens
 from carewise.session import broadcast_if_small, new_folder, shuffle_tasks, stored
 
 
+JOIN_FIRST_TERMS = 1_000_000
+
+
 @dataclass(frozen=True)
 class TfidfSettings:
     """What counts as a term and how terms are weighted."""
@@ -32,30 +35,54 @@ def document_text(message: Column, reply: Column) -> Column:
     return F.concat(F.coalesce(message, F.lit("")), F.lit(" "), F.coalesce(reply, F.lit("")))
 
 
-def term_counts(docs: DataFrame, key: str, text: str, settings: TfidfSettings) -> DataFrame:
-    """(key, term, tf). The texts are shuffled once by key; counting, and every later step
-    per document, then runs where the document is. The number of tasks is given, because
-    texts grow many times when they are cut into terms."""
+def term_stats(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame:
+    """Document frequency and corpus frequency per term.
+
+    Within a document the terms are sorted, so the first of equal ones counts the document.
+    Only sums per term are shuffled, neither texts nor (document, term) pairs.
+    """
+    words = docs.select(tokens(F.col(text), settings.stop_words, settings.strip_accents).alias("_words"))
+    ordered = words.select(F.sort_array(ngrams(F.col("_words"), settings.low, settings.high)).alias("_terms"))
+    before = F.concat(
+        F.array(F.lit(None).cast("string")), F.slice("_terms", 1, F.greatest(F.size("_terms") - 1, F.lit(0)))
+    )
+    neighbours = ordered.select(F.inline(F.arrays_zip(F.col("_terms").alias("term"), before.alias("before"))))
+    return (
+        neighbours.filter(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(
+            F.count(F.when(~F.col("term").eqNullSafe(F.col("before")), 1)).alias("df"),
+            F.count(F.lit(1)).alias("cf"),
+        )
+    )
+
+
+def term_counts(docs: DataFrame, key: str, text: str, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
+    """(key, term_id, tf, idf) for the terms of ``docs`` that ``vocab`` holds.
+
+    The texts are shuffled once by key; counting, and every later step per document, then
+    runs where the document is. The number of tasks is given, because texts grow many times
+    when they are cut into terms. Unknown terms are dropped before counting, for which the
+    vocabulary is broadcast; one too large for that is joined after counting.
+    """
     texts = docs.select(F.col(key), F.col(text).alias("_text"))
     words = texts.repartition(shuffle_tasks(docs.sparkSession), F.col(key)).select(
         F.col(key), tokens(F.col("_text"), settings.stop_words, settings.strip_accents).alias("_words")
     )
     terms = words.select(F.col(key), F.explode(ngrams(F.col("_words"), settings.low, settings.high)).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_stats(counts: DataFrame) -> DataFrame:
-    """Document frequency and corpus frequency per term."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    known = vocab.select("term", "term_id", "idf")
+    if settings.max_features > JOIN_FIRST_TERMS:
+        return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).join(known, "term").drop("term")
+    return terms.join(known, "term").groupBy(key, "term_id").agg(F.count(F.lit(1)).alias("tf"), F.max("idf").alias("idf"))
 
 
-def vocabulary(docs: DataFrame, key: str, text: str, settings: TfidfSettings) -> DataFrame:
+def vocabulary(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame:
     """The most frequent terms with their inverse document frequency, numbered by term.
 
     Ties are cut by term, so the table does not depend on partitioning. It has
     ``max_features`` rows at most.
     """
-    stats = term_stats(term_counts(docs, key, text, settings)).filter(F.col("df") >= settings.min_df)
+    stats = term_stats(docs, text, settings).filter(F.col("df") >= settings.min_df)
     kept = stats.orderBy(F.col("cf").desc(), "term").limit(settings.max_features)
     total = docs.agg(F.count(F.lit(1))).scalar()
     return kept.select(
@@ -70,16 +97,16 @@ def vocabulary(docs: DataFrame, key: str, text: str, settings: TfidfSettings) ->
 
 def weigh(docs: DataFrame, key: str, text: str, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
     """Unit-length vectors of ``docs`` over ``vocab``; terms outside it are ignored."""
-    counts = term_counts(docs, key, text, settings)
+    counts = term_counts(docs, key, text, vocab, settings)
     tf = F.lit(1.0) + F.log(F.col("tf").cast("double")) if settings.sublinear_tf else F.col("tf").cast("double")
-    raw = counts.join(vocab, "term").select(F.col(key), "term_id", (tf * F.col("idf")).alias("_raw"))
+    raw = counts.select(F.col(key), "term_id", (tf * F.col("idf")).alias("_raw"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))
     return raw.select(F.col(key), "term_id", (F.col("_raw") / norm).alias("weight"))
 
 
-def fit_vocabulary(docs: DataFrame, key: str, text: str, settings: TfidfSettings) -> DataFrame:
+def fit_vocabulary(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame:
     """The vocabulary as a stored table, marked for broadcast if its measured size allows."""
-    return broadcast_if_small(stored(vocabulary(docs, key, text, settings), "vocabulary"))[0]
+    return broadcast_if_small(stored(vocabulary(docs, text, settings), "vocabulary"))[0]
 
 
 def vector_rows(

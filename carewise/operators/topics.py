@@ -30,7 +30,7 @@ def discover_topics(
     """(cluster, rank, term, weight) for the heaviest terms of each centroid; the best of
     ``starts`` runs is taken."""
     settings = settings or topic_settings()
-    vocab = fit_vocabulary(docs, key, text, settings)
+    vocab = fit_vocabulary(docs, text, settings)
     table = vector_rows(docs, key, weigh(docs, key, text, vocab, settings), vocab.count())
     models = [KMeans(k=clusters, seed=seed + i, featuresCol="features").fit(table) for i in range(starts)]
     best = min(models, key=lambda m: m.summary.trainingCost)

@@ -18,7 +18,7 @@ from carewise.operators.conversations import clean_pairs, pair_replies, turns_to
 from carewise.operators.escalation import escalate
 from carewise.operators.intent import KeywordModel, label_conversations
 from carewise.operators.replies import ground_replies
-from carewise.session import stored
+from carewise.session import shuffle_tasks, stored
 
 BRAND_ACCOUNT = "brand_support"
 
@@ -117,8 +117,10 @@ def dirty_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=4)
 def _stored_pairs(application: str, sf_dir: str) -> DataFrame:
-    paired = pair_replies(tweets(SparkSession.active(), sf_dir), BRAND_ACCOUNT)
-    return stored(clean_pairs(paired), "pairs")
+    spark = SparkSession.active()
+    cleaned = clean_pairs(pair_replies(tweets(spark, sf_dir), BRAND_ACCOUNT))
+    # rules and terms cost much more than reading, so the table gets a file per task
+    return stored(cleaned.repartition(shuffle_tasks(spark), "support_tweet_id"), "pairs")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

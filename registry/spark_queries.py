@@ -33,7 +33,7 @@ from carewise.operators.intent import (
 )
 from carewise.operators.retrieval import ConversationIndex
 from carewise.operators.sampling import balanced_sample, sample_n, stratified_sample
-from carewise.operators.tfidf import TfidfSettings, term_counts, term_stats
+from carewise.operators.tfidf import TfidfSettings, term_stats
 from carewise.operators.topics import discover_topics
 from carewise.plans import jobs
 from carewise.session import new_folder
@@ -344,8 +344,7 @@ def train_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- features, retrieval ---
 
 def term_stats_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = term_counts(inputs.table(spark, sf_dir, "documents"), "doc_id", "text", TfidfSettings(high=1))
-    return term_stats(counts)
+    return term_stats(inputs.table(spark, sf_dir, "documents"), "text", TfidfSettings(high=1))
 
 
 def _index(spark: SparkSession, sf_dir: str) -> ConversationIndex:

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 
 from carewise.operators import retrieval as RT
-from carewise.operators.tfidf import TfidfSettings, term_counts, term_stats, vocabulary
+from carewise.operators import tfidf as TF
+from carewise.operators.tfidf import TfidfSettings, term_stats, vocabulary
 
 STOPS = ("i", "my", "in", "the", "on", "up", "us", "we", "will", "a", "to", "and", "of", "it", "is")
 
@@ -99,13 +100,15 @@ def corpus():
     return docs, asked
 
 
-@pytest.mark.parametrize("kind", ["near", "groups", "cells", "many tasks", "no self", "small vocabulary", "raw counts"])
+@pytest.mark.parametrize("kind", ["near", "groups", "cells", "many tasks", "no self", "small vocabulary", "raw counts", "join last"])
 def test_search_equals_brute_force(spark, corpus, kind, monkeypatch):
     docs, asked = corpus
     settings = TfidfSettings(stop_words=STOPS, **{
         "small vocabulary": {"max_features": 40, "min_df": 2}, "raw counts": {"sublinear_tf": False}
     }.get(kind, {}))
     options = {"groups": {"broadcast_limit": 5_000}, "cells": {"broadcast_limit": 100, "rows_per_cell": 7}, "no self": {"exclude_self": True}}.get(kind, {})
+    if kind == "join last":
+        monkeypatch.setattr(TF, "JOIN_FIRST_TERMS", 10)
     if kind == "many tasks":
         monkeypatch.setattr(RT, "PAIRS_PER_TASK", 150)
     index = RT.ConversationIndex.fit(conversations(spark, [(k, m, r) for k, (m, r) in docs.items()]), settings)
@@ -142,8 +145,8 @@ def test_scores_are_summed_where_the_document_is(spark, corpus):
 def test_term_statistics(spark):
     docs = spark.createDataFrame([(1, "fare fare trip"), (2, "trip app"), (3, "")], "k int, t string")
     settings = TfidfSettings(high=1, stop_words=(), max_features=2)
-    stats = {r["term"]: (r["df"], r["cf"]) for r in term_stats(term_counts(docs, "k", "t", settings)).collect()}
+    stats = {r["term"]: (r["df"], r["cf"]) for r in term_stats(docs, "t", settings).collect()}
     assert stats == {"fare": (1, 2), "trip": (2, 2), "app": (1, 1)}
-    vocab = {r["term"]: r for r in vocabulary(docs, "k", "t", settings).collect()}
+    vocab = {r["term"]: r for r in vocabulary(docs, "t", settings).collect()}
     assert sorted(vocab) == ["fare", "trip"] and vocab["trip"]["term_id"] == 1
     assert vocab["fare"]["idf"] == pytest.approx(math.log(4 / 2) + 1) and vocab["fare"]["n_docs"] == 3
