@@ -8,9 +8,39 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def guarded(pattern: str) -> str:
+    """A pattern of the form \\b(one|two)\\b with a look at the first letter in front.
+
+    Most words of a text start no alternative. The guard rejects them by one character
+    instead of trying every alternative, which nearly halves the time of a cascade. A pattern
+    of another form, or one whose alternatives do not all start with a fixed character, stays.
+    """
+    if not (pattern.startswith(r"\b(") and pattern.endswith(r")\b")) or "[" in pattern:
+        return pattern
+    inner = pattern[3:-3]
+    starts, depth, at = [0], 0, 0
+    while at < len(inner):
+        if inner[at] == "\\":
+            at += 1
+        elif inner[at] in "()":
+            depth += 1 if inner[at] == "(" else -1
+            if depth < 0:  # the outer brackets are not one group
+                return pattern
+        elif inner[at] == "|" and depth == 0:
+            starts.append(at + 1)
+        at += 1
+    firsts = set()
+    for start in starts:
+        first, after = inner[start:start + 1], inner[start + 1:start + 2]
+        if not first.isalnum() or after in ("?", "*", "{"):
+            return pattern
+        firsts.add(first)
+    return rf"\b(?=[{''.join(sorted(firsts))}])({inner})\b"
+
+
 def found(text: Column, pattern: str) -> Column:
     """True where ``pattern`` occurs in ``text``, with Unicode word classes."""
-    return text.rlike("(?U)" + pattern)
+    return text.rlike("(?U)" + guarded(pattern))
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

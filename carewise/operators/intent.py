@@ -46,7 +46,9 @@ def taxonomy_table(spark: SparkSession, intents: Sequence[R.Intent] | None = Non
 
 def intents_from_table(table: DataFrame) -> tuple[R.Intent, ...]:
     """A user's own taxonomy table (the columns of ``taxonomy_table``) as rules."""
-    rows = table.orderBy("ord").limit(MAX_CLASSES).collect()
+    rows = table.orderBy("ord").limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"a taxonomy has {MAX_CLASSES} intents at most")
     return tuple(
         R.Intent(r["intent"], r["description"], tuple(r["keywords"]), r["regex"], r["default_escalation"], r["priority"])
         for r in rows

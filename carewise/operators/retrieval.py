@@ -49,7 +49,8 @@ class ConversationIndex:
             "doc_id", document_text(F.col("customer_message"), F.col("support_reply")).alias("doc_text")
         )
         vocab = fit_vocabulary(docs, "doc_text", settings)
-        return cls(vocab, weigh(docs, "doc_id", "doc_text", vocab, settings), corpus, settings)
+        postings = weigh(docs, "doc_id", "doc_text", vocab, settings, shuffle_tasks(corpus.sparkSession))
+        return cls(vocab, postings, corpus, settings)
 
     def save(self, path: str) -> None:
         spark = self.corpus.sparkSession

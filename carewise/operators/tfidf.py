@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carewise.functions.text import english_stop_words, ngrams, tokens
-from carewise.session import broadcast_if_small, new_folder, shuffle_tasks, stored
+from carewise.session import broadcast_if_small, new_folder, stored
 
 
 JOIN_FIRST_TERMS = 1_000_000
@@ -57,16 +57,19 @@ def term_stats(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame
     )
 
 
-def term_counts(docs: DataFrame, key: str, text: str, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
+def term_counts(
+    docs: DataFrame, key: str, text: str, vocab: DataFrame, settings: TfidfSettings, tasks: int | None = None
+) -> DataFrame:
     """(key, term_id, tf, idf) for the terms of ``docs`` that ``vocab`` holds.
 
     The texts are shuffled once by key; counting, and every later step per document, then
-    runs where the document is. The number of tasks is given, because texts grow many times
-    when they are cut into terms. Unknown terms are dropped before counting, for which the
+    runs where the document is. Spark sizes the tasks, unless their number is given for a
+    large table, whose texts grow many times when they are cut into terms. Unknown terms are dropped before counting, for which the
     vocabulary is broadcast; one too large for that is joined after counting.
     """
     texts = docs.select(F.col(key), F.col(text).alias("_text"))
-    words = texts.repartition(shuffle_tasks(docs.sparkSession), F.col(key)).select(
+    placed = texts.repartition(F.col(key)) if tasks is None else texts.repartition(tasks, F.col(key))
+    words = placed.select(
         F.col(key), tokens(F.col("_text"), settings.stop_words, settings.strip_accents).alias("_words")
     )
     terms = words.select(F.col(key), F.explode(ngrams(F.col("_words"), settings.low, settings.high)).alias("term"))
@@ -95,9 +98,11 @@ def vocabulary(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame
     )
 
 
-def weigh(docs: DataFrame, key: str, text: str, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
+def weigh(
+    docs: DataFrame, key: str, text: str, vocab: DataFrame, settings: TfidfSettings, tasks: int | None = None
+) -> DataFrame:
     """Unit-length vectors of ``docs`` over ``vocab``; terms outside it are ignored."""
-    counts = term_counts(docs, key, text, vocab, settings)
+    counts = term_counts(docs, key, text, vocab, settings, tasks)
     tf = F.lit(1.0) + F.log(F.col("tf").cast("double")) if settings.sublinear_tf else F.col("tf").cast("double")
     raw = counts.select(F.col(key), "term_id", (tf * F.col("idf")).alias("_raw"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))

@@ -4,15 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from carewise.sources.schemas import CONVERSATIONS, SCORED, TWEETS
 
 
-def _as_text(schema: T.StructType) -> T.StructType:
-    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-
-
 def _number(text: str) -> F.Column:
     """A whole number, also when it is written as a float; null where it is neither."""
     return F.coalesce(F.expr(f"try_cast(`{text}` AS BIGINT)"), F.expr(f"try_cast(try_cast(`{text}` AS DOUBLE) AS BIGINT)"))
@@ -21,17 +16,18 @@ def _number(text: str) -> F.Column:
 def read_tweets_csv(
     spark: SparkSession, path: str, max_rows: int | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """Scan a tweet CSV; rows without a numeric id are skipped.
+    """Scan a tweet CSV by its column names; rows without a numeric id are skipped.
 
+    All columns are read as text and cast, so nothing is inferred; others are not parsed.
     Texts may span lines, for which a file must be read as a whole. Where none does, set
     ``multi_line`` to False: large files are then split among the tasks.
     """
     raw = (
-        spark.read.schema(_as_text(TWEETS))
-        .option("header", True)
+        spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
+        .select(*TWEETS.fieldNames())
     )
     return coerce_tweets(raw if max_rows is None else raw.limit(max_rows))
 

@@ -8,7 +8,6 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carewise.functions import rulebook as R
 from carewise.functions.text import clean_text
 from carewise.operators import agreement, audit, judge, metrics
 from carewise.operators.conversations import (

@@ -99,3 +99,22 @@ def test_csv_round_trip_and_coercion(spark, tmp_path):
     raw = spark.createDataFrame([("7", "a", "True", "t", "x", "3.0"), ("x", "a", "False", "t", "x", ""), ("8.0", "a", "?", "t", "x", None)],
                                 "tweet_id string, author_id string, inbound string, created_at string, text string, in_response_to_tweet_id string")
     assert [(r[0], r[2], r[5]) for r in tables.coerce_tweets(raw).orderBy("tweet_id").collect()] == [(7, True, 3), (8, None, None)]
+
+
+def test_csv_columns_go_by_name(spark, tmp_path):
+    path = tmp_path / "tweets.csv"
+    path.write_text(
+        "author_id,tweet_id,inbound,created_at,text,response_tweet_id,in_response_to_tweet_id\n"
+        'a,1,True,Tue Oct 31,"two\nlines, ""quoted""",2,\n'
+        "desk,2,False,Tue Oct 31,answer,,1.0\n"
+    )
+    rows = sorted(tuple(r) for r in tables.read_tweets_csv(spark, str(path)).collect())
+    assert rows == [(1, "a", True, "Tue Oct 31", 'two\nlines, "quoted"', None), (2, "desk", False, "Tue Oct 31", "answer", 1)]
+
+
+def test_copies_are_cut_before_the_shuffle(spark):
+    plan = C.valid_unique_conversations(tweets(spark, sample_rows()), "desk")._jdf.queryExecution().executedPlan().toString()
+    lines = [line for line in plan.splitlines() if "WindowGroupLimit" in line or "Exchange hash" in line]
+    for at, line in enumerate(lines):
+        if "Exchange" in line:  # the plan lists a node before its input
+            assert "Partial" in lines[at + 1] and "Final" in lines[at - 1]

@@ -1,9 +1,13 @@
 """The rule sets on the 27 phrases and on hand-made cases."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
+from carewise.functions.cascade import guarded
 from carewise.operators import audit, escalation, intent, judge, metrics, replies
 from registry.inputs import PHRASES
 
@@ -106,6 +110,28 @@ def test_alternatives_beside_non_word_characters(spark):
     assert column(reviewed, "s") == ["PASS", "FAIL", "FAIL", "FAIL"]
 
 
+def test_guard_keeps_every_match():
+    patterns = [i.regex for i in R.taxonomy()] + [r.pattern for r in R.label_rules() if r.pattern]
+    patterns += [getattr(R, name) for name in dir(R) if isinstance(getattr(R, name), str) and getattr(R, name).startswith(r"\b(")]
+    assert sum(guarded(p) != p for p in patterns) > 20 and guarded(R.AUDIT_BANNED) == R.AUDIT_BANNED
+    words = sorted({w for p in patterns for w in re.findall(r"[a-z0-9'$*-]+", p)} | {"$12", "20", "x", "über", "safetyx"})
+    rng = random.Random(3)
+    texts = list(PHRASES) + [" ".join(rng.choices(words, k=8)) for _ in range(3000)]
+    texts += [alternative for p in patterns for alternative in re.sub(r"[()?\\b]", "", p).split("|")]
+    for pattern in patterns:
+        plain, quick = re.compile(pattern), re.compile(guarded(pattern))
+        assert [bool(plain.search(t)) for t in texts] == [bool(quick.search(t)) for t in texts]
+
+
+@pytest.mark.parametrize("pattern", [r"\b(a?b|c)\b", r"\b(a|(b|c)d)\b", r"\b(a|)\b", r"\b[ab]\b", "(?i)word", r"\b(a)|(b)\b", r"\b(a|\$5)\b"])
+def test_guard_leaves_other_forms_alone(pattern):
+    assert guarded(pattern) == pattern
+
+
+def test_guard_form():
+    assert guarded(r"\b(ab|c(d|e)?|a\|f)\b") == r"\b(?=[ac])(ab|c(d|e)?|a\|f)\b"
+
+
 def test_word_edges_are_unicode(spark):
     rows = spark.createDataFrame([(0, "cafésafety first"), (1, "safety first"), (2, "SAFETY!")], "i int, customer_message string")
     assert column(intent.with_rule_intent(rows), "rule_intent") == [None, R.SAFETY, R.SAFETY]

@@ -64,8 +64,8 @@ def test_fold_accents(spark):
 
 
 def test_tokens_and_ngrams(spark):
-    words = one_column(spark, ["The app's fare, a_b x 42 é über"], lambda c: X.tokens(c, ("the",)))
-    assert words == [["app", "fare", "a_b", "42", "uber"]]
+    words = one_column(spark, ["The app's fare, a_b x 42 é naïve"], lambda c: X.tokens(c, ("the",)))
+    assert words == [["app", "fare", "a_b", "42", "naive"]]
     runs = one_column(spark, ["one two three", "one", ""], lambda c: X.ngrams(X.tokens(c), 1, 3))
     assert runs == [["one", "two", "three", "one two", "two three", "one two three"], ["one"], []]
     bigrams = one_column(spark, ["one two three"], lambda c: X.ngrams(X.tokens(c), 2, 2))
