@@ -7,6 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from carewise.functions.text import SPACES, WORD
+
+# A word edge by letters, numbers and the underscore: combining marks, variation selectors and
+# joiners, which stand around many emoji, are no word characters.
+EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+
 
 def guarded(pattern: str) -> str:
     """A pattern of the form \\b(one|two)\\b with a look at the first letter in front.
@@ -39,8 +45,14 @@ def guarded(pattern: str) -> str:
 
 
 def found(text: Column, pattern: str) -> Column:
-    """True where ``pattern`` occurs in ``text``, with Unicode word classes."""
-    return text.rlike("(?U)" + guarded(pattern))
+    """True where ``pattern`` occurs in ``text``, which is lower-cased already.
+
+    Edges, digits and white space are those of Unicode text; a pattern with capitals is one
+    of a user's own rules and matches in either case.
+    """
+    flags = "(?d)" if pattern == pattern.lower() else "(?diu)"
+    spelt = guarded(pattern).replace(r"\b", EDGE).replace(r"\d", r"\p{Nd}").replace(r"\s", f"[{SPACES}]")
+    return text.rlike(flags + spelt)
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:

@@ -9,7 +9,6 @@ from collections.abc import Sequence
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -123,10 +122,6 @@ def fold_accents(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, *_accent_table())).otherwise(text)
 
 
-def english_stop_words() -> list[str]:
-    return StopWordsRemover.loadDefaultStopWords("english")
-
-
 def tokens(text: Column, stop_words: Sequence[str] = (), strip_accents: bool = True) -> Column:
     """Lower-cased words of two or more characters without the stop words, in order."""
     lowered = F.lower(F.coalesce(text, F.lit("")))

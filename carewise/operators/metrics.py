@@ -17,10 +17,12 @@ def label_counts(df: DataFrame, label: str) -> DataFrame:
 
 
 def confusion_counts(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., truth, predicted, n): at most labels squared rows; rows without a truth are left out."""
-    pairs = df.select(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted"))
-    known = filter_computed(pairs, F.col("truth").isNotNull() & F.col("predicted").isNotNull())
-    return known.groupBy(*by, "truth", "predicted").agg(
+    """(by..., truth, predicted, n): at most labels squared rows; rows without a truth are left out.
+
+    A missing prediction stays as null: it counts for the support of its truth and is a miss.
+    """
+    known = df.filter(F.col(truth).isNotNull())
+    return known.groupBy(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
@@ -53,6 +55,7 @@ def class_sums(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     sums = (
         confusion.select(*by, F.inline(sides))
+        .filter(F.col("label").isNotNull())
         .groupBy(*by, "label")
         .agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hits").alias("hits"))
     )
@@ -115,7 +118,10 @@ def classification_report(confusion: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(confusion: DataFrame) -> DataFrame:
-    """The full label grid with zeros; truth and predicted range over the same sorted labels."""
+    """The full label grid with zeros; truth and predicted range over the same sorted labels.
+
+    A missing prediction has no column, so a row's sum may be below the support of its truth.
+    """
     both = F.array_union(F.collect_set("truth"), F.collect_set("predicted"))
     labels = confusion.agg(F.sort_array(both).alias("labels"))
     grid = labels.select("labels", F.explode("labels").alias("truth")).select(

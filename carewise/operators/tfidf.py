@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -11,10 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carewise.functions.text import english_stop_words, ngrams, tokens
+from carewise.functions.rulebook import STOP_WORDS
+from carewise.functions.text import ngrams, tokens
 from carewise.session import broadcast_if_small, new_folder, stored
 
-
 JOIN_FIRST_TERMS = 1_000_000
 
 
@@ -28,7 +28,7 @@ class TfidfSettings:
     min_df: int = 1
     sublinear_tf: bool = True
     strip_accents: bool = True
-    stop_words: Sequence[str] = field(default_factory=lambda: tuple(english_stop_words()))
+    stop_words: Sequence[str] = STOP_WORDS
 
 
 def document_text(message: Column, reply: Column) -> Column:

@@ -1,7 +1,7 @@
 """Inputs that Spark derives from the given tables.
 
 The texts of ``conversations`` are pseudo-words that hit almost no rule, so every customer
-message gets one of 27 phrases in front; scored records get a fault by a key modulus, so
+message gets one of 29 phrases in front; scored records get a fault by a key modulus, so
 that every arm of the audit and of the judge is reached. All tables are used whole.
 """
 
@@ -50,6 +50,8 @@ PHRASES = (
     "i dispute an unauthorized charge",
     "danger on the road tonight",
     "my wallet is gone and he is abusive",
+    "\u26a0\ufe0fpolice came to the car park",
+    "\u200daccident\ufe0f on the bridge tonight",
 )
 
 # Faults on scored records by fault number (key modulo 97): from, to, what changes.
@@ -229,10 +231,11 @@ def label_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many rows with several classes: the return flag against one derived from the line number."""
+    """Many rows with several classes: the return flag against one derived from the line number,
+    with no prediction for every eleventh order."""
+    flag = F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R"), F.lit("X")), (F.col("l_linenumber") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("truth"),
-        F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R"), F.lit("X")), (F.col("l_linenumber") % 4 + 1).cast("int")).alias("predicted"),
+        F.col("l_returnflag").alias("truth"), F.when(F.col("l_orderkey") % 11 != 0, flag).alias("predicted")
     )
 
 

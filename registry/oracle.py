@@ -7,12 +7,6 @@ blanks as ASCII only, so word edges and spaces are written as explicit classes.
 
 from __future__ import annotations
 
-import zipfile
-from functools import lru_cache
-from pathlib import Path
-
-import pyspark
-
 from carewise.functions import rulebook as R
 from carewise.functions.text import SPACES
 from registry.inputs import FAULTS, PHRASES, REPLY_FAULTS
@@ -398,14 +392,14 @@ answers AS (
   SELECT CASE WHEN toxic = 1 THEN 'toxic' ELSE 'clean' END AS truth, CASE WHEN n_chars < 200 THEN 'toxic' ELSE 'clean' END AS predicted
   FROM labels JOIN documents USING (doc_id)
 )"""
-LINE_FLAGS = "answers AS (SELECT l_returnflag AS truth, (['A', 'N', 'R', 'X'])[l_linenumber % 4 + 1] AS predicted FROM lineitem)"
+LINE_FLAGS = "answers AS (SELECT l_returnflag AS truth, CASE WHEN l_orderkey % 11 <> 0 THEN (['A', 'N', 'R', 'X'])[l_linenumber % 4 + 1] END AS predicted FROM lineitem)"
 INTENT_ANSWERS = "answers AS (SELECT ground_truth_intent AS truth, predicted_intent AS predicted FROM scored WHERE ground_truth_intent IS NOT NULL)"
 
 
 def per_class(source: str = "answers", name: str = "per_class", by: str = "") -> str:
     keys = f"{by}, " if by else ""
     return f"""
-{name}_labels AS (SELECT {keys}truth AS label FROM {source} UNION SELECT {keys}predicted FROM {source}),
+{name}_labels AS (SELECT {keys}truth AS label FROM {source} UNION SELECT {keys}predicted FROM {source} WHERE predicted IS NOT NULL),
 {name}_hits AS (
   SELECT {'l.' + by + ', ' if by else ''}label, count(*) FILTER (truth = label) AS support, count(*) FILTER (predicted = label) AS called,
          count(*) FILTER (truth = label AND predicted = label) AS hits
@@ -490,16 +484,8 @@ LANGUAGES = ("de", "en", "es", "fr")
 GOLDEN = PHRASED + "," + labelled("phrased") + "," + balanced("labelled", 100, "intent", [i.name for i in R.taxonomy()], "conversation_id")
 
 
-@lru_cache(maxsize=1)
-def stop_words() -> list[str]:
-    """Spark's own English list, read from the file that Spark ships."""
-    jar = next((Path(pyspark.__file__).parent / "jars").glob("spark-mllib_*.jar"))
-    with zipfile.ZipFile(jar) as archive:
-        return archive.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split("\n")
-
-
 def terms(source: str, key: str, text: str, name: str, bigrams: bool = True) -> str:
-    stops = listed(w for w in stop_words() if w)
+    stops = listed(R.STOP_WORDS)
     pairs_of_words = f"""
   UNION ALL SELECT {key}, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM {name}_words""" if bigrams else ""
     return f"""

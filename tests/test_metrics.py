@@ -35,6 +35,16 @@ def test_averages_by_hand(confusion):
     assert set(report) == {"a", "b", "c", "d", "accuracy", "macro avg", "weighted avg"}
 
 
+def test_a_missing_prediction_is_a_miss(spark):
+    rows = [("a", "a"), ("a", "b"), ("a", None), ("b", "b")]
+    counts = metrics.confusion_counts(spark.createDataFrame(rows, "t string, p string"), "t", "p")
+    assert metrics.accuracy(counts).first().asDict() == {"accuracy": 0.5, "support": 4}
+    classes = {r["label"]: r for r in metrics.per_class(counts).collect()}
+    assert set(classes) == {"a", "b"}
+    assert classes["a"]["recall"] == pytest.approx(1 / 3) and classes["a"]["support"] == 3
+    assert classes["a"]["precision"] == 1.0
+
+
 def test_matrix_has_the_full_grid(confusion):
     grid = {(r["truth"], r["predicted"]): r["n"] for r in metrics.confusion_matrix(confusion).collect()}
     assert len(grid) == 16 and sum(grid.values()) == 12 and grid["a", "b"] == 2 and grid["c", "c"] == 0

@@ -1,4 +1,4 @@
-"""The rule sets on the 27 phrases and on hand-made cases."""
+"""The rule sets on the 29 phrases and on hand-made cases."""
 
 import random
 import re
@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
-from carewise.functions.cascade import guarded
+from carewise.functions.cascade import found, guarded
 from carewise.operators import audit, escalation, intent, judge, metrics, replies
 from registry.inputs import PHRASES
 
@@ -49,6 +49,8 @@ D D E4 PASS PASS E4 PASS PASS
 - G E2 WARNING PASS E2 WARNING PASS
 - G E5 FAIL PASS A6r FAIL FAIL
 L L E4 PASS WARNING E4 PASS WARNING
+S S E1 PASS PASS E1 PASS PASS
+S S E1 PASS PASS E1 PASS PASS
 """.split("\n")[1:-1]
 
 
@@ -266,3 +268,14 @@ def test_failures(spark):
     got = {r["conversation_id"]: r["reason"] for r in metrics.failure_cases(rows).collect()}
     assert got == {"2": R.FAILURE_INTENT, "3": R.FAILURE_ESCALATION, "5": R.FAILURE_INTENT}
     assert [r["conversation_id"] for r in metrics.top_failures(rows, 2).collect()] == ["2", "3"]
+
+
+@pytest.mark.parametrize("text", ["\u26a0\ufe0fpolice came", "police\ufe0f came", "\u200dpolice came", "e\u0301 police\u0301 came"])
+def test_marks_and_joiners_are_word_edges(spark, text):
+    one = spark.createDataFrame([(text,)], "t string").select(found(F.col("t"), R.ESCALATION_SAFETY).alias("hit"))
+    assert one.first()["hit"]
+
+
+def test_own_patterns_match_in_either_case(spark):
+    one = spark.createDataFrame([("my bag is LOST".lower(),)], "t string")
+    assert one.select(found(F.col("t"), r"\b(Bag|Case) is LOST\b").alias("hit")).first()["hit"]
