@@ -58,7 +58,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct(),
         "edges",
     )
-    before = None
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
@@ -73,10 +72,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         now = stored(small, "small-star")
-        # stars only: no node is the smaller end of one edge and the larger end of another
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before or state["n"] == 0:
+        # done when every node that is not a smallest one has a single edge, to a smallest one
+        ends = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        open_ = ends.filter("n > 1").select("u").unionByName(now.select(F.col("v").alias("u")).distinct().join(ends, "u", "left_semi"))
+        if not open_.take(1):
             break
-        before = state
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return stored(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carewise.llm.common import read
+from carewise.llm.exact_dedup import exact_duplicates
 from carewise.llm.line_dedup import LineIndex
+from carewise.llm.ngram_join import similar_components
 
 # The share of documents that makes a line boilerplate is given as a number of documents.
 LINE_LIMIT = 10
@@ -37,10 +39,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(read(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op9_exact_dedup": OP9_SQL,
 }
