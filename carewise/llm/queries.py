@@ -9,6 +9,9 @@ from carewise.llm.common import read
 from carewise.llm.exact_dedup import exact_duplicates
 from carewise.llm.line_dedup import LineIndex
 from carewise.llm.ngram_join import similar_components
+from carewise.llm.packing import pack_documents
+from carewise.llm.quality import page_sites, quality
+from carewise.llm.secrets_crf import find_secrets, learn
 
 # The share of documents that makes a line boilerplate is given as a number of documents.
 LINE_LIMIT = 10
@@ -39,10 +42,41 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+# A document is kept when it is at least this likely to be good.
+GOOD = 0.5
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = quality(docs, read(spark, sf_dir, "labels"), page_sites(read(spark, sf_dir, "pages")))
+    return rated.drop("text_key").withColumn("kept", F.col("p_good") >= GOOD)
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_secrets(docs, learn(docs)).select("doc_id", "secrets")
+
+    def count(kind: str):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("secrets", lambda s: s["kind"] != "crf")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
        sha256(coalesce(text, '')) AS text_sha256
@@ -73,7 +107,10 @@ FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY do
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_secret_scans": op7_secret_scans,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL = {

@@ -1,27 +1,80 @@
-"""The corpus pipeline: documents through five operators, each reading what the last one wrote."""
+"""The corpus pipeline: documents through five operators, each reading what the last one wrote.
+
+Rows are judged by id and text together, so documents that repeat an id stay apart. Texts change
+in the stages of line dedup and secrets; n_chars follows them.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from carewise.llm.line_dedup import LineIndex
-from carewise.llm.queries import LINE_LIMIT
-from carewise.session import stored
+from carewise.llm.ngram_join import similar_components
+from carewise.llm.packing import pack_documents
+from carewise.llm.quality import page_sites, quality
+from carewise.llm.queries import GOOD, LINE_LIMIT
+from carewise.llm.secrets_crf import find_secrets, learn, redact
+from carewise.session import broadcast_if_small, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Near duplicates share this part of their word 5-grams.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
+def _documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The columns of documents, with the given text and its length."""
+    size = F.char_length(text).cast("long")
+    return docs.select("doc_id", F.col(text).alias("text"), "lang", "source", F.coalesce(size, F.lit(0).cast("long")).alias("n_chars"))
+
+
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents without the rows of ``rejected`` (doc_id, text_key)."""
+    gone, _ = broadcast_if_small(stored(rejected.distinct(), "rejected"))
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["_key"] == gone["text_key"])
+    return keyed.join(gone, same, "left_anti").select(*COLUMNS)
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are more likely bad than good go."""
+    labels, pages = (spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("labels", "pages"))
+    rated = quality(docs, labels, page_sites(pages))
+    return _without(docs, rated.filter(F.col("p_good") < GOOD).select("doc_id", "text_key"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in many of these documents go from all of them."""
-    kept = LineIndex.build(docs, LINE_LIMIT).drop_lines(docs)
-    return kept.selectExpr("doc_id", "kept_text AS text", "lang", "source", "cast(char_length(kept_text) as bigint) AS n_chars")
+    return _documents(LineIndex.build(docs, LINE_LIMIT).drop_lines(docs), "kept_text")
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    groups = similar_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    gone = stored(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
+    marked, _ = broadcast_if_small(gone)
+    return docs.join(marked, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark."""
+    return _documents(redact(find_secrets(docs, learn(docs))))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences."""
+    return pack_documents(docs)
 
 
 STAGES = [
+    ("quality classifier", quality_classifier),
     ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
 ]
 
-# The first stage is a trained model, which SQL cannot state.
+# The first and the fourth stage are trained models, which SQL cannot state.
 ORACLE_SQL = None
 
 
