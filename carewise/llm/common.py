@@ -44,38 +44,63 @@ def map_texts(docs: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch |
     return docs.mapInArrow(run, schema)
 
 
+EDGE_BLOCK = 1 << 18
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) replaced, block by block, by edges to the smallest node each is connected with."""
+
+    def flat(block: list[tuple]) -> pa.RecordBatch:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for u, v in block:
+            a, b = root(u), root(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        pairs = [(x, root(x)) for x in parent if root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.int64()), pa.array([r for _, r in pairs], pa.int64())], ["u", "v"])
+
+    def run(batches):
+        held: list[tuple] = []
+        for batch in batches:
+            held += zip(batch.column("u").to_pylist(), batch.column("v").to_pylist())
+            if len(held) >= EDGE_BLOCK:
+                yield flat(held)
+                held = []
+        if held:
+            yield flat(held)
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``edges``, the component being its smallest node.
 
-    Alternates the two star steps of label contraction: larger neighbours, then smaller ones,
-    are linked to the smallest node of the neighbourhood, until nothing changes. Every round is
-    a written table, edges never get more, and a hub is aggregated before the shuffle.
+    Blocks of edges are contracted where they lie. Then the two star steps of label contraction
+    alternate with that: larger neighbours, then smaller ones, are linked to the smallest node of
+    the neighbourhood, until every node has one edge, to a smallest node. Every round is a
+    written table, edges never get more, and a hub is aggregated before the shuffle.
     """
-    spark = edges.sparkSession
-    now = stored(
-        edges.filter(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct(),
-        "edges",
-    )
+    start = edges.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    now = stored(_contracted(start), "edges")
     while True:
-        both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ends = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+        inner = now.select(F.col("v").alias("u")).distinct().join(ends, "u", "left_semi")
+        if not ends.filter("n > 1").select("u").unionByName(inner).take(1):
+            break
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stored(large.filter("u <> v").distinct(), "large-star")
         down = stored(large.groupBy("u").agg(F.min("v").alias("m")), "down")
-        small = (
-            large.join(down, "u")
-            .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-            .select("e.*")
-            .filter("u <> v")
-            .distinct()
-        )
-        now = stored(small, "small-star")
-        # done when every node that is not a smallest one has a single edge, to a smallest one
-        ends = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
-        open_ = ends.filter("n > 1").select("u").unionByName(now.select(F.col("v").alias("u")).distinct().join(ends, "u", "left_semi"))
-        if not open_.take(1):
-            break
+        small = large.join(down, "u").select("u", "v", "m")
+        small = small.select("u", F.col("m").alias("v")).unionByName(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        now = stored(_contracted(small.distinct()), "small-star")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return stored(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots), "components")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -9,6 +9,7 @@ order), so two linked sets meet in at least one list. What the join skips:
 * by answers: the overlap of a set with the centre of its neighbourhood is computed first. If x
   and y were both compared with c, then |x n y| <= min(|x n c|, |y n c|) + min(|x| - |x n c|,
   |y| - |y n c|), so most pairs follow from the answers of c without being compared;
+* by profile: sets are compared in full only if counts of their elements by first byte allow it;
 * by links: two sets that are connected already need no further comparison, since the result is
   the component of each document. Groups of near copies thus cost one comparison per member.
 
@@ -41,7 +42,6 @@ ORDERED_ELEMENTS = 1 << 18
 COUNT_BLOCK = 1 << 21
 # Rows of a centre's neighbours that one copy of the centre meets.
 NEIGHBOURS_PER_SALT = 512
-STAR_ROUNDS = 2
 PAIR_BLOCK = 1 << 20
 
 NO_SET = 0
@@ -129,35 +129,42 @@ def _ids(elements: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
+def profile_of(elements: np.ndarray) -> bytes:
+    """How many elements start with each byte; 255 stands for that many or more."""
+    return np.minimum(np.bincount((elements >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def _sets(docs: DataFrame, width: int, percent: int, seed: int) -> DataFrame:
-    """(doc_id, n, set_id, check, rare, prefix) per document; the prefix only where a task meets
-    a set for the first time, so that copies are dropped before any shuffle."""
+    """(doc_id, n, set_id, check, rare, prefix, profile) per document; prefix and profile only where
+    a task meets a set for the first time, so that copies are dropped before any shuffle."""
     shared, rank = shared_elements(docs, width, seed)
 
     def work(batches):
         met = set()
         for part in sliced(batches, most=BATCH):
-            n, ids, checks, rares, prefixes = [], [], [], [], []
+            n, ids, checks, rares, prefixes, profiles = [], [], [], [], [], []
             for elements in shingle_sets(part.column("text").to_pylist(), width, seed):
                 set_id, check = _ids(elements)
-                prefix, rare = None, 0
+                prefix, rare, profile = None, 0, None
                 if len(elements) and set_id not in met:
                     met.add(set_id)
                     length = int(prefix_length(np.int64(len(elements)), percent))
                     first, rare = ordered_prefix(elements, shared, rank, length)
                     prefix = _signed(np.ascontiguousarray(first))
+                    profile = profile_of(elements)
                 n.append(len(elements))
                 ids.append(set_id if len(elements) else None)
                 checks.append(check)
                 rares.append(rare)
                 prefixes.append(prefix)
+                profiles.append(profile)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(checks, pa.int64()),
-                 pa.array(rares, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "n", "set_id", "check", "rare", "prefix"],
+                 pa.array(rares, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(profiles, pa.binary())],
+                ["doc_id", "n", "set_id", "check", "rare", "prefix", "profile"],
             )
 
-    return docs.mapInArrow(work, "doc_id long, n long, set_id long, check long, rare long, prefix array<long>")
+    return docs.mapInArrow(work, "doc_id long, n long, set_id long, check long, rare long, prefix array<long>, profile binary")
 
 
 def _live_lists(sets: DataFrame, percent: int) -> DataFrame:
@@ -344,6 +351,27 @@ def _elements(docs: DataFrame, wanted: DataFrame, width: int, seed: int) -> Data
     return map_texts(texts, work, "set_id long, elements array<long>")
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Stored pairs (a, b) that their profiles allow to be linked: two sets have at most the
+    smaller of both counts in common for every first byte."""
+    known = sets.filter(F.col("profile").isNotNull()).select("set_id", "n", "profile")
+    sides = pairs.join(known.toDF("a", "n_a", "profile_a"), "a").join(known.toDF("b", "n_b", "profile_b"), "b")
+
+    def work(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, 256) for c in ("profile_a", "profile_b"))
+            least = np.minimum(left, right)
+            most = least.sum(axis=1, dtype=np.int64)
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            stays = (most >= needed_overlap(n_a, n_b, percent)) | (least == 255).any(axis=1)
+            yield batch.select(["a", "b"]).filter(pa.array(stays))
+
+    # several tasks may have met a set
+    return sides.select("a", "b", "n_a", "n_b", "profile_a", "profile_b").mapInArrow(work, "a long, b long").distinct()
+
+
 def _overlaps(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     """(a, b, n_a, n_b, overlap) for stored pairs.
 
@@ -351,10 +379,10 @@ def _overlaps(pairs: DataFrame, elements: DataFrame) -> DataFrame:
     past it, so a task holds one set at a time.
     """
     degrees = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / NEIGHBOURS_PER_SALT).cast("int").alias("salts")), "degrees")
+    salted = stored(pairs.join(degrees, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")), "salted")
+    sent, _ = broadcast_if_small(salted)
     partners = (
-        pairs.join(degrees, "a")
-        .select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
-        .join(elements.withColumnRenamed("set_id", "b"), "b")
+        elements.withColumnRenamed("set_id", "b").join(sent, "b")
         .select("a", "salt", F.lit(1).alias("kind"), "b", "elements")
     )
     centres = (
@@ -408,31 +436,32 @@ def similar_components(docs: DataFrame, text: str = "text", width: int = WIDTH,
         seed += 1  # two sets share their 64-bit id: hash anew
 
     lists = stored(_live_lists(sets, percent), "lists")
-    members = stored(lists.select("set_id").distinct(), "members")
-    labels = members.select("set_id", F.col("set_id").alias("component"), F.lit(NO_SET).cast("long").alias("centre"), F.lit(0).cast("long").alias("known"))
-    links = None
     elements = _Elements(docs, classes, width, seed)
-    for _ in range(STAR_ROUNDS):
-        stars = stored(_star_candidates(lists.join(stored(labels, "labels"), "set_id"), percent), "stars")
-        answers = stored(_overlaps(stars.select(F.col("other").alias("a"), F.col("set_id").alias("b")), elements.of(stars, "set_id", "other")), "answers")
-        found = answers.filter(_linked(percent)).select("a", "b")
-        links = stored(found if links is None else links.unionByName(found), "links")
-        labels = _labelled(members, links, answers)
-    rest = stored(_open_pairs(lists.join(stored(labels, "labels"), "set_id"), percent), "open-pairs")
-    if rest.take(1):
-        answers = _overlaps(rest, elements.of(rest, "a", "b"))
-        links = stored(links.unionByName(answers.filter(_linked(percent)).select("a", "b")), "links")
-    grouped = components(links)
-
-    named = classes.join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left").select(
-        "set_id", "lowest", "with_null", F.coalesce("component", "set_id").alias("component")
-    )
-    named = stored(named, "named")
-    smallest = stored(
-        named.groupBy("component").agg(F.min("lowest").alias("component_id"), F.max("with_null").alias("with_null")), "smallest"
+    apart = lists.select("*", F.col("set_id").alias("component"), F.lit(NO_SET).cast("long").alias("centre"), F.lit(0).cast("long").alias("known"))
+    stars = stored(_star_candidates(apart, percent).select(F.col("other").alias("a"), F.col("set_id").alias("b")), "stars")
+    stars = stored(_possible(stars, sets, percent), "possible-stars")
+    answers = stored(_overlaps(stars, elements.of(stars)), "answers")
+    links = answers.filter(_linked(percent)).select("a", "b")
+    grouped = stored(components(links), "components")
+
+    labels = stored(_labels(grouped, answers), "labels")
+    labelled = lists.join(labels, "set_id", "left").select(
+        *lists.columns, F.coalesce("component", "set_id").alias("component"),
+        F.coalesce("centre", F.lit(NO_SET).cast("long")).alias("centre"), F.coalesce("known", F.lit(0).cast("long")).alias("known"),
     )
-    of_set = named.select("set_id", "component").join(smallest, "component").select(
-        "set_id", F.when(~F.col("with_null"), F.col("component_id")).alias("component_id")
+    rest = stored(_possible(stored(_open_pairs(labelled, percent), "open-pairs"), sets, percent), "possible-pairs")
+    if rest.take(1):
+        found = stored(_overlaps(rest, elements.of(rest)).filter(_linked(percent)).select("a", "b"), "more-links")
+        if found.take(1):
+            old = grouped.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            grouped = stored(components(old.unionByName(found)), "components")
+
+    ids = classes.select("set_id", "lowest", "with_null")
+    joined = grouped.withColumnRenamed("node", "set_id").join(ids, "set_id")
+    smallest = stored(joined.groupBy("component").agg(F.min("lowest").alias("least"), F.max("with_null").alias("any_null")), "smallest")
+    linked = stored(grouped.withColumnRenamed("node", "set_id").join(smallest, "component").select("set_id", "least", "any_null"), "linked")
+    of_set = ids.join(linked, "set_id", "left").select(
+        "set_id", F.when(~F.coalesce("any_null", "with_null"), F.coalesce("least", "lowest")).alias("component_id")
     )
     return sets.select("doc_id", "n", "set_id").join(stored(of_set, "set-components"), "set_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -447,22 +476,18 @@ class _Elements:
         self.docs, self.width, self.seed = docs, width, seed
         self.one = classes.select("set_id", F.col("lowest").alias("_doc"))
 
-    def of(self, pairs: DataFrame, *columns: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array(*columns)).alias("set_id")).distinct()
+    def of(self, pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         wanted = stored(self.one.join(ids, "set_id"), "wanted")
-        rows = _elements(self.docs, wanted, self.width, self.seed).groupBy("set_id").agg(F.first("elements").alias("elements"))
-        return stored(rows, "elements")
+        return stored(_elements(self.docs, wanted, self.width, self.seed), "elements")
 
 
-def _labelled(members: DataFrame, links: DataFrame, answers: DataFrame) -> DataFrame:
-    """The component of every set, and its best known centre with the overlap."""
-    grouped = components(links).withColumnRenamed("node", "set_id")
+def _labels(grouped: DataFrame, answers: DataFrame) -> DataFrame:
+    """The component of every compared set, and its best known centre with the overlap."""
     both = answers.select(F.col("b").alias("set_id"), F.struct("overlap", F.col("a").alias("centre")).alias("answer")).unionByName(
         answers.select(F.col("a").alias("set_id"), F.struct(F.col("n_a").alias("overlap"), F.col("a").alias("centre")).alias("answer"))
     )
     best = both.groupBy("set_id").agg(F.max("answer").alias("answer"))
-    return members.join(grouped, "set_id", "left").join(best, "set_id", "left").select(
-        "set_id", F.coalesce("component", "set_id").alias("component"),
-        F.coalesce("answer.centre", F.lit(NO_SET).cast("long")).alias("centre"),
-        F.coalesce("answer.overlap", F.lit(0).cast("long")).alias("known"),
+    return best.join(grouped.withColumnRenamed("node", "set_id"), "set_id", "left").select(
+        "set_id", F.coalesce("component", "set_id").alias("component"), "answer.centre", F.col("answer.overlap").alias("known")
     )

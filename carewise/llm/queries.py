@@ -12,6 +12,7 @@ from carewise.llm.ngram_join import similar_components
 from carewise.llm.packing import pack_documents
 from carewise.llm.quality import page_sites, quality
 from carewise.llm.secrets_crf import find_secrets, learn
+from carewise.llm.url_filter import Rule, hosts_with_words, judge
 
 # The share of documents that makes a line boilerplate is given as a number of documents.
 LINE_LIMIT = 10
@@ -83,6 +84,38 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+URL_RULES = (
+    Rule("org", "/", "allow"),
+    Rule("example.org", "/es/", "block"),
+    Rule("example.org", "/en/1", "block"),
+    Rule("com", "/fr/", "allow"),
+    Rule("com", "/de/", "block"),
+)
+BLOCKED_WORDS = ("adult", "ads", "bets", "casino", "pills", "spam")
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    judged = judge(pages, URL_RULES, hosts_with_words(pages, BLOCKED_WORDS))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+OP3_SQL = f"""
+WITH rules(host, path, verdict) AS (VALUES {", ".join(f"('{r.host}', '{r.path}', '{r.verdict}')" for r in URL_RULES)}
+), parsed AS (
+  SELECT page_id, {LOWERED.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')")} AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), fitting AS (
+  SELECT p.*, r.host || r.path AS rule, r.verdict FROM parsed p
+  LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) = 1
+)
+SELECT page_id, host, path, rule,
+       coalesce(verdict, CASE WHEN regexp_matches(host, '(^|[.-])({"|".join(BLOCKED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitting
+"""
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(read(spark, sf_dir, "documents").select("doc_id", "text"), width=4, percent=85)
 
@@ -106,6 +139,7 @@ FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY do
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scans": op7_secret_scans,
@@ -115,6 +149,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
+    "op3_url_filters": OP3_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
 }
