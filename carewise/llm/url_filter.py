@@ -82,8 +82,8 @@ class Cascade:
 
 
 def _places(key: Column, bits: int, seed: int) -> list[Column]:
-    first, second = F.xxhash64(key, F.lit(seed)), F.xxhash64(key, F.lit(seed + 1_000_003))
-    return [F.pmod(first + second * i, F.lit(bits)) for i in range(HASHES)]
+    first, second = (F.pmod(F.xxhash64(key, F.lit(s)), F.lit(bits)) for s in (seed, seed + 1_000_003))
+    return [(first + second * i) % bits for i in range(HASHES)]
 
 
 def in_filter(key: Column, cells: bytes, seed: int) -> Column:
@@ -92,7 +92,7 @@ def in_filter(key: Column, cells: bytes, seed: int) -> Column:
     hit = F.lit(True)
     for place in _places(key, 8 * len(cells), seed):
         cell = F.ascii(F.decode(F.substring(data, (F.floor(place / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
-        hit = hit & (F.shiftright(cell, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
+        hit = hit & (F.call_function("shiftright", cell, (place % 8).cast("int")).bitwiseAND(F.lit(1)) == 1)
     return hit
 
 
@@ -101,7 +101,7 @@ def bloom_filter(keys: DataFrame, count: int, seed: int) -> bytes:
     size = max(8, -(-count * BITS_PER_KEY // 8))
     place = keys.select(F.explode(F.array(*_places(F.col("key"), 8 * size, seed))).alias("place"))
     cells = place.groupBy(F.floor(F.col("place") / 8).alias("cell")).agg(
-        F.bit_or(F.shiftleft(F.lit(1), (F.col("place") % 8).cast("int"))).alias("bits")
+        F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("place") % 8).cast("int"))).alias("bits")
     )
     out = bytearray(size)
     for row in cells.toLocalIterator():
