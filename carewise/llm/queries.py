@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carewise.llm.common import read
+from carewise.llm.edit_embedding import fingerprint_edits
 from carewise.llm.exact_dedup import exact_duplicates
 from carewise.llm.line_dedup import LineIndex
 from carewise.llm.ngram_join import similar_components
@@ -84,6 +85,10 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 URL_RULES = (
     Rule("org", "/", "allow"),
     Rule("example.org", "/es/", "block"),
@@ -139,6 +144,7 @@ FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY do
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_document_fingerprints": op2_document_fingerprints,
     "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
