@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carewise.llm import language_id
 from carewise.llm.common import read
 from carewise.llm.edit_embedding import fingerprint_edits
 from carewise.llm.exact_dedup import exact_duplicates
@@ -44,6 +45,17 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+# The fold that language identification does not learn from.
+HELD_OUT = 2
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    filters = language_id.learn(docs.filter(language_id.fold(F.col("doc_id")) != HELD_OUT))
+    found = language_id.identify(docs, filters)
+    return found.select("doc_id", (language_id.fold(F.col("doc_id")) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 # A document is kept when it is at least this likely to be good.
 GOOD = 0.5
 
@@ -147,6 +159,7 @@ QUERIES = {
     "op2_document_fingerprints": op2_document_fingerprints,
     "op3_url_filters": op3_url_filters,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scans": op7_secret_scans,
     "op9_exact_dedup": op9_exact_dedup,
