@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carewise.llm import language_id
+from carewise.llm import language_id, piece_lattice
 from carewise.llm.common import read
 from carewise.llm.edit_embedding import fingerprint_edits
 from carewise.llm.exact_dedup import exact_duplicates
@@ -83,6 +83,16 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = piece_lattice.decode(piece_lattice.encode(docs))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.concat_ws(",", F.transform("scores", lambda s: s.cast("string"))).alias("scores"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), piece_lattice.MARK, " ")).alias("round_trip"),
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -162,6 +172,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_secret_scans": op7_secret_scans,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
