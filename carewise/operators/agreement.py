@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from carewise.functions.text import snippet
 from carewise.session import stored
 
-RANK_RANGES = 64
+# Distinct values that one task ranks.
+RANGE_VALUES = 100_000
+# Scores count with this many decimals and are added as decimals, so that sums are exact.
+PLACES = 4
 COMPARISON_SNIPPET = 75
 
 
@@ -25,31 +28,43 @@ def comparisons(rated: DataFrame, first: str, second: str) -> DataFrame:
     )
 
 
+def _exact(score: str) -> Column:
+    return F.round(score, PLACES).cast(f"decimal(12,{PLACES})")
+
+
 def rater_agreement(rated: DataFrame, first: str, second: str, close: float = 0.5) -> DataFrame:
     """Sample size, both means, mean absolute difference and the share within ``close``."""
-    gap = F.abs(F.col(first) - F.col(second))
+    one, two = _exact(first), _exact(second)
+    gap = F.abs(one - two)
+
+    def mean(value: Column) -> Column:
+        return F.try_divide(F.sum(value).cast("double"), F.count(F.lit(1)))
+
     return rated.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).agg(
         F.count(F.lit(1)).alias("sample_size"),
-        F.round(F.avg(first), 2).alias("mean_first"),
-        F.round(F.avg(second), 2).alias("mean_second"),
-        F.round(F.avg(gap), 3).alias("mean_absolute_difference"),
-        F.round(F.avg(F.when(gap <= close, 1.0).otherwise(0.0)) * 100.0, 1).alias("agreement_percentage"),
+        F.round(mean(one), 2).alias("mean_first"),
+        F.round(mean(two), 2).alias("mean_second"),
+        F.round(mean(gap), 3).alias("mean_absolute_difference"),
+        F.round(mean(F.when(gap <= close, 1).otherwise(0)) * 100.0, 1).alias("agreement_percentage"),
     )
 
 
 def pearson(rated: DataFrame, first: str, second: str) -> DataFrame:
     """Pearson correlation, 3 places; null when a column is constant."""
     known = rated.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(
-        F.col(first).alias("x"), F.col(second).alias("y"), F.lit(1).cast("long").alias("n")
+        _exact(first).alias("x"), _exact(second).alias("y")
     )
     return known.agg(F.round(_correlation(), 3).alias("pearson"), F.count(F.lit(1)).alias("sample_size"))
 
 
 def _correlation() -> Column:
+    def total(value: Column) -> Column:
+        return F.sum(value).cast("double")
+
+    x, y, n = F.col("x"), F.col("y"), F.count(F.lit(1))
+    both, xx, yy = (total(v) - total(a) * total(b) / n for v, a, b in ((x * y, x, y), (x * x, x, x), (y * y, y, y)))
     varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    return F.when(varies, F.try_divide(
-        F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")
-    ))
+    return F.when(varies, F.try_divide(both, F.sqrt(xx) * F.sqrt(yy)))
 
 
 def average_ranks(counts: DataFrame, value: str) -> DataFrame:
@@ -58,14 +73,15 @@ def average_ranks(counts: DataFrame, value: str) -> DataFrame:
     Running counts go over ranges of values cut at approximate quantiles, plus the totals of
     the ranges before, so no task orders the whole table. The cuts need not be exact.
     """
-    steps = [i / RANK_RANGES for i in range(1, RANK_RANGES)]
-    cuts = counts.agg(F.percentile_approx(value, steps, 1000).alias("cuts")).first()["cuts"] or []
+    ranges = -(-counts.count() // RANGE_VALUES)
+    steps = [i / ranges for i in range(1, ranges)]
+    cuts = counts.agg(F.percentile_approx(value, steps, 1000).alias("cuts")).first()["cuts"] if steps else []
     bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]).cast("array<double>")
     ranged = counts.withColumn("_range", F.size(F.filter(bounds, lambda c: c <= F.col(value))))
     totals = ranged.groupBy("_range").agg(F.sum("n").alias("_total"))
     before = totals.select(
         "_range",
-        (F.sum("_total").over(W.orderBy("_range")) - F.col("_total")).alias("_before"),  # RANK_RANGES rows
+        (F.sum("_total").over(W.orderBy("_range")) - F.col("_total")).alias("_before"),  # a row per range
     )
     inside = F.sum("n").over(W.partitionBy("_range").orderBy(value)) - F.col("n")
     return ranged.withColumn("_inside", inside).join(F.broadcast(before), "_range").select(

@@ -8,10 +8,7 @@ from pyspark.sql import functions as F
 
 from carewise.functions.rulebook import ALPHABETIC_RUN, DENIED_MESSAGES, MIN_MESSAGE_LENGTH
 from carewise.functions.text import clean_text
-from carewise.session import broadcast_if_small, filter_computed, stored
-
-HOT_PARENT_REPLIES = 1_000_000
-HOT_PARENTS = 1_000
+from carewise.session import filter_computed, stored
 
 
 def turns_to_tweets(turns: DataFrame, brand_account: str) -> DataFrame:
@@ -59,30 +56,17 @@ def customer_tweets(tweets: DataFrame, null_inbound_is_customer: bool = True) ->
     )
 
 
-def pair_replies(
-    tweets: DataFrame,
-    brand_account: str,
-    null_inbound_is_customer: bool = True,
-    hot_parent_replies: int = HOT_PARENT_REPLIES,
-) -> DataFrame:
+def pair_replies(tweets: DataFrame, brand_account: str, null_inbound_is_customer: bool = True) -> DataFrame:
     """Every brand reply with the inbound tweet it answers; other replies are dropped.
 
-    A tweet with more than ``hot_parent_replies`` replies would fill one join task. A count
-    over the ids alone finds the hottest of them; they are joined by a size-checked broadcast
-    and the rest, none of which is left with a large share, goes through the shuffle join.
+    Only tweets that some reply names are looked at. They are stored with one row per id before
+    the join, so that Spark sees its two sides as they are and can split the replies to a
+    much-answered tweet over several tasks.
     """
     replies = brand_replies(tweets, brand_account)
-    parents = customer_tweets(tweets, null_inbound_is_customer)
-    counts = replies.groupBy("customer_tweet_id").agg(F.count(F.lit(1)).alias("n"))
-    hottest = counts.filter(F.col("n") > hot_parent_replies).orderBy(F.col("n").desc()).limit(HOT_PARENTS).collect()
-    if not hottest:
-        return replies.join(parents, "customer_tweet_id")
-    ids = [row["customer_tweet_id"] for row in hottest]
-    is_hot = F.col("customer_tweet_id").isin(ids)
-    hot_tweets = tweets.filter(F.col("tweet_id").isin(ids))
-    hot_parents, _ = broadcast_if_small(stored(customer_tweets(hot_tweets, null_inbound_is_customer), "hot-parents"))
-    cold = replies.filter(~is_hot).join(parents, "customer_tweet_id")
-    return cold.unionByName(replies.filter(is_hot).join(hot_parents, "customer_tweet_id"))
+    answered = replies.select(F.col("customer_tweet_id").alias("tweet_id")).distinct()
+    parents = customer_tweets(tweets.join(answered, "tweet_id", "left_semi"), null_inbound_is_customer)
+    return replies.join(stored(parents, "parents"), "customer_tweet_id")
 
 
 def is_substantive(text: Column, min_len: int = MIN_MESSAGE_LENGTH) -> Column:

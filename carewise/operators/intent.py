@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +19,6 @@ from carewise.session import broadcast_if_small, stored
 CLASSIFIER_TERMS = 8000
 INVERSE_REGULARISATION = 3.0
 TOLERANCE = 1e-4
-MAX_CLASSES = 1_000
 KEYWORD_CONFIDENCE = 0.85
 DEFAULT_CONFIDENCE = 0.40
 BLANK_CONFIDENCE = 0.50
@@ -45,10 +43,11 @@ def taxonomy_table(spark: SparkSession, intents: Sequence[R.Intent] | None = Non
 
 
 def intents_from_table(table: DataFrame) -> tuple[R.Intent, ...]:
-    """A user's own taxonomy table (the columns of ``taxonomy_table``) as rules."""
-    rows = table.orderBy("ord").limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"a taxonomy has {MAX_CLASSES} intents at most")
+    """A user's own taxonomy table (the columns of ``taxonomy_table``) as rules.
+
+    Rules are part of a query's plan, so the table comes to the driver.
+    """
+    rows = table.orderBy("ord").collect()
     return tuple(
         R.Intent(r["intent"], r["description"], tuple(r["keywords"]), r["regex"], r["default_escalation"], r["priority"])
         for r in rows
@@ -196,9 +195,9 @@ class IntentModel:
     ) -> IntentModel:
         settings = settings or TfidfSettings(max_features=CLASSIFIER_TERMS)
         classes = class_weights(training.filter(F.col(label).isNotNull()), label).orderBy("label")
-        rows = classes.limit(MAX_CLASSES + 1).collect()
-        if not 2 <= len(rows) <= MAX_CLASSES:
-            raise ValueError(f"the classifier needs 2 to {MAX_CLASSES} classes, not {len(rows)}")
+        rows = classes.collect()  # the labels are part of the model
+        if len(rows) < 2:
+            raise ValueError("the classifier needs two classes at least")
         labels = tuple(r["label"] for r in rows)
         numbers = F.create_map(*[F.lit(x) for i, name in enumerate(labels) for x in (name, float(i))])
         shares = F.create_map(*[F.lit(x) for r in rows for x in (r["label"], r["weight"])])
@@ -263,18 +262,20 @@ class IntentModel:
         """``messages`` with the class probabilities in the order of ``labels``."""
         vectors = weigh(messages, key, text, self.weights.select("term", "term_id", "idf"), self.settings)
         terms = vectors.join(self.weights.select("term_id", "coefficients"), "term_id")
-        sums = terms.groupBy(key).agg(*[
-            F.sum(F.col("weight") * F.col("coefficients")[i]).alias(f"_sum{i}") for i in range(len(self.labels))
-        ])
-        margins = F.array(*[
-            F.coalesce(F.col(f"_sum{i}"), F.lit(0.0)) + F.lit(b) for i, b in enumerate(self.intercepts)
-        ])
+        # in the order of terms, so that sums do not depend on the order of rows
+        own = F.sort_array(F.collect_list(F.struct("term_id", "weight", "coefficients")))
+        sums = terms.groupBy(key).agg(own.alias("_terms"))
+        intercepts = F.lit(list(self.intercepts)).cast("array<double>")
+        margins = F.aggregate(
+            F.coalesce("_terms", F.array().cast(sums.schema["_terms"].dataType)), intercepts,
+            lambda total, t: F.zip_with(total, t["coefficients"], lambda a, c: a + t["weight"] * c),
+        )
         scored = (
             messages.join(sums, key, "left")
             .withColumn("_margins", margins)
             .withColumn("_top", F.array_max("_margins"))
             .withColumn("_powers", F.transform("_margins", lambda m: F.exp(m - F.col("_top"))))
-            .withColumn("_total", reduce(lambda a, b: a + b, [F.col("_powers")[i] for i in range(len(self.labels))]))
+            .withColumn("_total", F.aggregate("_powers", F.lit(0.0), lambda a, b: a + b))
             .withColumn(name, F.transform("_powers", lambda p: p / F.col("_total")))
         )
         return scored.select(*messages.columns, name)

@@ -17,10 +17,8 @@ from carewise.session import BROADCAST_LIMIT_BYTES, broadcast_if_small, shuffle_
 
 TOP_K = 3
 THRESHOLD = 0.15
-ROWS_PER_CELL = 2_000
-POSTING_BYTES = 64
-PAIRS_PER_TASK = 4_000_000
-MAX_GROUPS = 32
+# Scores count with this many places, for the threshold as for the order.
+SCORE_PLACES = 9
 
 
 class Retriever(Protocol):
@@ -90,13 +88,16 @@ class ConversationIndex:
         threshold: float = THRESHOLD,
         exclude_self: bool = False,
         broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-        rows_per_cell: int = ROWS_PER_CELL,
     ) -> DataFrame:
         """The ``top_k`` most similar conversations per query, ranked from 1.
 
         Columns: the query key, rank, conversation_id, customer_message, support_reply,
         similarity_score (4 places). Ties go to the smaller id. Blank queries give no rows.
         A query key must be unique, as must the key of a document.
+
+        The query vectors go to the postings as broadcasts of a measured size, as many groups of
+        them one after the other as their size takes. Postings lie by document, so that scores
+        are summed and cut to ``top_k`` where the document is.
         """
         asked = queries.select(F.col(key).alias("query_id"), F.col(text).alias("query_text"))
         asked = asked.filter(~is_blank(F.col("query_text")))
@@ -106,18 +107,21 @@ class ConversationIndex:
             "query-vectors",
             self.scratch,
         )
-        size = wanted.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("query_id").alias("queries")).first()
-        groups = max(1, math.ceil(size["rows"] * POSTING_BYTES / broadcast_limit))
-        if groups <= MAX_GROUPS:
-            products = self._near(wanted, groups, math.ceil(size["queries"] / groups))
-        else:
-            products = [self._in_cells(wanted, rows_per_cell)]
-        best = [self._best(each, top_k, threshold, exclude_self) for each in products]
-        hits = reduce(DataFrame.unionByName, best)
+        groups = max(1, math.ceil(_bytes(wanted) / broadcast_limit))
+        postings = self.postings.repartition(shuffle_tasks(self.corpus.sparkSession), "doc_id")
+        if groups > 1:
+            postings = stored(postings, "postings-by-document", self.scratch)
+        group = F.pmod(F.xxhash64("query_id"), F.lit(groups))
+        parts = []
+        for g in range(groups):
+            own = wanted if groups == 1 else wanted.filter(group == g)
+            best = self._best(self._products(postings, own), top_k, threshold, exclude_self)
+            parts.append(best if groups == 1 else stored(best, f"hits-{g}", self.scratch))
+        hits = reduce(DataFrame.unionByName, parts)
         if threshold <= 0:
             hits = _ranked(hits.drop("rank").unionByName(self._fillers(asked, hits, top_k, exclude_self)), top_k)
-        elif size["queries"] * top_k * POSTING_BYTES <= broadcast_limit:
-            hits = F.broadcast(hits)  # top_k rows per query that has a vector, as just measured
+        else:
+            hits, _ = broadcast_if_small(stored(hits, "hits", self.scratch), broadcast_limit)
         return self.corpus.join(hits, "doc_id").select(
             F.col("query_id").alias(key),
             "rank",
@@ -131,47 +135,12 @@ class ConversationIndex:
         scores = products.groupBy("query_id", "doc_id").agg(F.sum("product").alias("score"))
         if exclude_self:
             scores = scores.filter(F.col("query_id") != F.col("doc_id"))
-        return _ranked(scores.filter(F.col("score") >= threshold), top_k)
-
-    def _near(self, wanted: DataFrame, groups: int, queries: int) -> list[DataFrame]:
-        """Query vectors go to the postings, in groups that fit a broadcast.
+        return _ranked(scores.withColumn("score", F.round("score", SCORE_PLACES)).filter(F.col("score") >= threshold), top_k)
 
-        Postings stay partitioned by document, so a score is summed and the top-k cut inside
-        the task: only top-k rows per task are shuffled, never pairs. The number of partitions
-        bounds the (query, document) pairs of a task; all groups reuse the one shuffle.
-        """
-        docs = self.vocab.agg(F.coalesce(F.max("n_docs"), F.lit(0)).alias("n")).first()["n"]
-        tasks = max(shuffle_tasks(self.corpus.sparkSession), math.ceil(docs * queries / PAIRS_PER_TASK))
-        postings = self.postings.repartition(tasks, "doc_id")
-        group = F.pmod(F.xxhash64("query_id"), F.lit(groups))
-        return [
-            postings.join(
-                F.broadcast(wanted if groups == 1 else wanted.filter(group == g)), F.col("term_id") == F.col("q_term")
-            ).select("query_id", "doc_id", (F.col("weight") * F.col("q_weight")).alias("product"))
-            for g in range(groups)
-        ]
-
-    def _in_cells(self, wanted: DataFrame, rows_per_cell: int) -> DataFrame:
-        """More queries than groups can hold: a frequent term is cut into cells by query and by
-        document, so that no task meets more than ``rows_per_cell`` rows of a term on either side."""
-        asked = wanted.groupBy("q_term").agg(F.count(F.lit(1)).alias("qf"))
-        cells = self.vocab.join(asked, F.col("term_id") == F.col("q_term")).select(
-            F.col("term_id").alias("cell_term"),
-            F.ceil(F.col("qf") / rows_per_cell).cast("int").alias("q_cells"),
-            F.ceil(F.col("df") / rows_per_cell).cast("int").alias("d_cells"),
-        )
-        cells, _ = broadcast_if_small(stored(cells, "term-cells", self.scratch))
-        left = self.postings.join(cells, F.col("term_id") == F.col("cell_term")).select(
-            "doc_id", "term_id", "weight",
-            F.pmod(F.xxhash64("doc_id"), F.col("d_cells")).cast("int").alias("d_cell"),
-            F.explode(F.sequence(F.lit(0), F.col("q_cells") - 1)).alias("q_cell"),
-        )
-        right = wanted.join(cells, F.col("q_term") == F.col("cell_term")).select(
-            "query_id", F.col("q_term").alias("term_id"), "q_weight",
-            F.pmod(F.xxhash64("query_id"), F.col("q_cells")).cast("int").alias("q_cell"),
-            F.explode(F.sequence(F.lit(0), F.col("d_cells") - 1)).alias("d_cell"),
-        )
-        return left.join(right, ["term_id", "q_cell", "d_cell"]).select(
+    @staticmethod
+    def _products(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+        """Products of weights by query and document. Only top-k rows are shuffled after this."""
+        return postings.join(F.broadcast(wanted), F.col("term_id") == F.col("q_term")).select(
             "query_id", "doc_id", (F.col("weight") * F.col("q_weight")).alias("product")
         )
 
@@ -188,5 +157,11 @@ class ConversationIndex:
 
 
 def _ranked(scores: DataFrame, top_k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id")
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
+
+
+def _bytes(wanted: DataFrame) -> int:
+    """The size of query vectors as a broadcast, by their rows and the length of their ids."""
+    width = F.octet_length(F.col("query_id").cast("string")) + 64
+    return wanted.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("n")).first()["n"]

@@ -10,30 +10,39 @@ from pyspark.sql import functions as F
 
 from carewise.functions.text import seeded_order
 
-DRIVER_SORT_ROWS = 100_000
+# Digits of the hash that one pass counts, and rows whose order is looked at one by one.
+DIGITS = 3
+LAST_ROWS = 1_000
 
 
-def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, driver_rows: int = DRIVER_SORT_ROWS) -> DataFrame:
-    """Exactly ``n`` rows (all, if there are fewer) in the seeded order of ``key``.
+def sample_n(df: DataFrame, n: int, key: str, seed: int = 42, last_rows: int = LAST_ROWS) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer) in the seeded order of the unique ``key``.
 
-    A large sample does not pass through the driver: counts per leading digits of the
-    hash tell which buckets are whole in the sample, and only the last one is cut.
+    Counts per leading digits of the hash lead to the last key of the sample, so the sample is a
+    filter: no row is shuffled, and only keys of the last few hundred rows are sorted.
     """
     ordered = df.withColumn("_order", seeded_order(F.col(key), seed))
-    if n <= driver_rows:
-        return ordered.orderBy("_order", key).limit(n).drop("_order")
-    bucketed = ordered.withColumn("_bucket", F.substring("_order", 1, 4))
-    taken, last = 0, None
-    for row in sorted(bucketed.groupBy("_bucket").count().collect()):  # at most 65,536 rows
-        if taken + row["count"] > n:
-            last = row["_bucket"]
+    keys = ordered.select("_order", F.col(key).alias("_key"))
+    prefix, wanted = "", n
+    while True:
+        head = F.substring("_order", 1, len(prefix) + DIGITS)
+        inside = keys.filter(F.col("_order").startswith(prefix)) if prefix else keys
+        counts = sorted(inside.groupBy(head.alias("head")).count().collect())  # at most 16 ** DIGITS rows
+        for row in counts:
+            if row["count"] >= wanted:
+                break
+            wanted -= row["count"]
+        else:
+            return df
+        prefix = row["head"]
+        if row["count"] <= last_rows or len(prefix) > 32 - DIGITS:
             break
-        taken += row["count"]
-    if last is None:
-        return df
-    whole = bucketed.filter(F.col("_bucket") < last)
-    cut = bucketed.filter(F.col("_bucket") == last).orderBy("_order", key).limit(n - taken)
-    return whole.unionByName(cut).drop("_order", "_bucket")
+    if wanted <= 0:
+        return df.limit(0)
+    last = keys.filter(F.col("_order").startswith(prefix)).orderBy("_order", "_key").limit(wanted)
+    bound = last.agg(F.max(F.struct("_order", "_key")).alias("b")).first()["b"]
+    within = (F.col("_order") < bound["_order"]) | ((F.col("_order") == bound["_order"]) & (F.col(key) <= F.lit(bound["_key"])))
+    return ordered.filter(within).drop("_order")
 
 
 def quotas(size: int, classes: Sequence[str]) -> dict[str, int]:
@@ -67,21 +76,20 @@ def balanced_sample(
 ) -> DataFrame:
     """A stratified sample, topped up from the rows not taken until ``size`` is reached."""
     drawn = stratified_sample(df, size, stratum, classes, key, seed)
-    if size > DRIVER_SORT_ROWS:
-        pool = df.join(drawn.select(key), key, "left_anti")
-        return drawn.unionByName(sample_n(pool, size - drawn.count(), key, seed))
-    taken = F.broadcast(drawn.select(key))  # at most ``size`` keys, which is bounded here
-    spare = sample_n(df.join(taken, key, "left_anti"), size, key, seed)
-    both = drawn.withColumn("_spare", F.lit(0)).unionByName(spare.withColumn("_spare", F.lit(1)))
-    return (
-        both.withColumn("_order", seeded_order(F.col(key), seed))
-        .orderBy("_spare", "_order", key)
-        .limit(size)
-        .drop("_spare", "_order")
-    )
+    pool = df.join(drawn.select(key), key, "left_anti")
+    return drawn.unionByName(sample_n(pool, size - drawn.count(), key, seed).select(*drawn.columns))
 
 
 def numbered(sample: DataFrame, pattern: str, key: str, seed: int = 42, name: str = "conversation_id") -> DataFrame:
-    """Shuffle a bounded sample and number its rows by ``pattern``, such as ``GOLDEN_%03d``."""
-    order = W.orderBy(seeded_order(F.col(key), seed + 1), F.col(key))
-    return sample.withColumn(name, F.format_string(pattern, F.row_number().over(order)))
+    """Shuffle a sample and number its rows by ``pattern``, such as ``GOLDEN_%03d``.
+
+    Rows are counted per leading digits of their hash; a number is a row's place among those of
+    the same digits, behind all rows of smaller ones, so no task orders the whole sample.
+    """
+    ordered = sample.withColumn("_order", seeded_order(F.col(key), seed + 1)).withColumn("_head", F.substring("_order", 1, 2))
+    counts = ordered.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_head", (F.sum("_n").over(W.orderBy("_head")) - F.col("_n")).alias("_before"))  # 256 rows
+    place = F.row_number().over(W.partitionBy("_head").orderBy("_order", key))
+    numbers = ordered.withColumn("_place", place).join(F.broadcast(before), "_head")
+    number = (F.col("_before") + F.col("_place")).cast("int")
+    return numbers.withColumn(name, F.format_string(pattern, number)).drop("_order", "_head", "_place", "_before")

@@ -15,8 +15,6 @@ from carewise.functions.rulebook import STOP_WORDS
 from carewise.functions.text import ngrams, tokens
 from carewise.session import broadcast_if_small, new_folder, stored
 
-JOIN_FIRST_TERMS = 1_000_000
-
 
 @dataclass(frozen=True)
 class TfidfSettings:
@@ -64,8 +62,8 @@ def term_counts(
 
     The texts are shuffled once by key; counting, and every later step per document, then
     runs where the document is. Spark sizes the tasks, unless their number is given for a
-    large table, whose texts grow many times when they are cut into terms. Unknown terms are dropped before counting, for which the
-    vocabulary is broadcast; one too large for that is joined after counting.
+    large table, whose texts grow many times when they are cut into terms. Terms are counted per
+    document before the vocabulary is joined, so a join by term moves no repeated terms.
     """
     texts = docs.select(F.col(key), F.col(text).alias("_text"))
     placed = texts.repartition(F.col(key)) if tasks is None else texts.repartition(tasks, F.col(key))
@@ -74,9 +72,7 @@ def term_counts(
     )
     terms = words.select(F.col(key), F.explode(ngrams(F.col("_words"), settings.low, settings.high)).alias("term"))
     known = vocab.select("term", "term_id", "idf")
-    if settings.max_features > JOIN_FIRST_TERMS:
-        return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).join(known, "term").drop("term")
-    return terms.join(known, "term").groupBy(key, "term_id").agg(F.count(F.lit(1)).alias("tf"), F.max("idf").alias("idf"))
+    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).join(known, "term").drop("term")
 
 
 def vocabulary(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame:

@@ -48,11 +48,10 @@ def test_pairing(spark):
 
 def test_much_answered_tweet_gives_the_same_pairs(spark):
     rows = sample_rows() + [(100 + i, "desk", False, "t", f"{REPLY} {i}", 1) for i in range(50)]
-    plain = C.pair_replies(tweets(spark, rows), "desk")
-    split = C.pair_replies(tweets(spark, rows), "desk", hot_parent_replies=10)
-    assert "UNION" in split._jdf.queryExecution().logical().toString().upper()
-    assert pair_ids(plain) == pair_ids(split) and plain.count() == 56
-    assert plain.exceptAll(split.select(plain.columns)).count() == 0
+    pairs = C.pair_replies(tweets(spark, rows), "desk")
+    assert pairs.filter("customer_tweet_id = 1").count() == 52 and pairs.count() == 56
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan  # the parents are a stored table, so a skewed join can be split
 
 
 def test_unique_conversations(spark):

@@ -115,9 +115,9 @@ def test_samples_are_exact_and_repeatable(spark, with_partitions, partitions):
     rows = spark.range(5000).repartition(partitions).withColumn("c", F.when(F.col("id") < 4000, "big").when(F.col("id") < 4900, "mid").otherwise("small"))
     ids = lambda df: sorted(r["id"] for r in df.collect())
     once = ids(sample_n(rows, 321, "id"))
-    assert len(once) == len(set(once)) == 321 and once == ids(sample_n(rows, 321, "id", driver_rows=0))
+    assert len(once) == len(set(once)) == 321 and once == ids(sample_n(rows, 321, "id", last_rows=0))
     assert once != ids(sample_n(rows, 321, "id", seed=1))
-    assert sample_n(rows, 6000, "id").count() == 5000 == sample_n(rows, 6000, "id", driver_rows=0).count()
+    assert sample_n(rows, 6000, "id").count() == 5000 == sample_n(rows, 6000, "id", last_rows=0).count()
     strata = stratified_sample(rows, 700, "c", ["big", "mid", "small"], "id").groupBy("c").count().collect()
     assert {r["c"]: r["count"] for r in strata} == {"big": 234, "mid": 233, "small": 100}
     full = balanced_sample(rows, 700, "c", ["big", "mid", "small"], "id")
@@ -130,7 +130,7 @@ def test_large_balanced_sample(spark, monkeypatch):
 
     rows = spark.range(3000).withColumn("c", F.when(F.col("id") < 2900, "big").otherwise("small"))
     small = sorted(r["id"] for r in balanced_sample(rows, 400, "c", ["big", "small"], "id").collect())
-    monkeypatch.setattr(sampling, "DRIVER_SORT_ROWS", 10)
+    monkeypatch.setattr(sampling, "DIGITS", 1)
     assert small == sorted(r["id"] for r in balanced_sample(rows, 400, "c", ["big", "small"], "id").collect())
 
 
