@@ -3,9 +3,10 @@
 Every text becomes its token ids and an end id. Only documents above the capacity are cut, into
 pieces of the capacity. Pieces are dealt to partitions of a fixed expected size; each is packed
 by best-fit decreasing, and dual-feasible functions give a lower bound on the sequences that any
-packing of it needs. Partitions that reach their bound are certified. From the others, the
-emptiest sequences are pooled, several partitions at a time, and packed again; a new packing is
-taken only if it saves a sequence. This repeats until the pools have merged.
+packing of it needs. Partitions that reach their bound are certified and give only their one
+emptiest sequence away. Those with a gap give their emptiest sequences, to pools of several
+partitions that are packed again; a new packing is taken only if it saves a sequence. This
+repeats until the pools have merged.
 
 Tokens are looked up per blank-separated word in a table of each Python worker; words that are
 new to it are encoded by the tokenizer in bulk. The ids equal those of encoding the whole text.
@@ -234,7 +235,7 @@ def packed(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     state = stored(run(items.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(parts)))), "packed")
     settled, base, pools = [], parts, parts
     while pools > 1:
-        is_open = (F.col("gap") > 0) & (F.col("emptiness") < POOLED_SEQUENCES)
+        is_open = (F.col("emptiness") == 0) | ((F.col("gap") > 0) & (F.col("emptiness") < POOLED_SEQUENCES))
         settled.append(state.filter(~is_open))
         pools = -(-pools // POOLED_PARTITIONS)
         # numbers of partitions and pools lie above the low bits of a sequence id

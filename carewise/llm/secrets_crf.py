@@ -46,7 +46,7 @@ FIT_WINDOWS = 2_000
 WINDOW_TOKENS = 32
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
-LENGTHS = (2, 4, 8, 12, 16, 24)
+LENGTHS = (2, 4, 8, 12, 16)
 CHANGES = (1, 2, 4, 8)
 NAMES = (
     ["bias", "letters", "digits", "both", "other"]
