@@ -8,8 +8,8 @@ emptiest sequence away. Those with a gap give their emptiest sequences, to pools
 partitions that are packed again; a new packing is taken only if it saves a sequence. This
 repeats until the pools have merged.
 
-Tokens are looked up per blank-separated word in a table of each Python worker; words that are
-new to it are encoded by the tokenizer in bulk. The ids equal those of encoding the whole text.
+Tokens are looked up per blank-separated word in a table of each task; words that are new to it
+ are encoded by the tokenizer in bulk. The ids equal those of encoding the whole text.
 
 Defined cases: a null or empty text is the end id alone; an empty table gives no rows; rows that
 repeat a doc_id are separate documents; other columns are not read.
@@ -37,8 +37,8 @@ END_ID = 0
 PARTITION_SEQUENCES = 4096
 POOLED_SEQUENCES = 512
 POOLED_PARTITIONS = 8
-# Words a Python worker remembers before it starts anew; some 150 bytes each.
-REMEMBERED_WORDS = 1_200_000
+# Words a task remembers before it starts anew; some 200 bytes each.
+REMEMBERED_WORDS = 900_000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -63,12 +63,15 @@ class Words:
         ends = np.zeros(max(vocabulary.values()) + 3, dtype=bool)
         ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.ends = ends
+        self.forget()
+
+    def forget(self) -> None:
         self.chunks: dict[str, bytes] = {"": b""}
         self.simple: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.chunks) + len(self.simple) > REMEMBERED_WORDS:
-            self.chunks, self.simple = {"": b""}, {"": b""}
+            self.forget()
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         new = set()
         for words in cut:
@@ -106,7 +109,8 @@ class Words:
 
 
 def worker_words(path: str) -> Words:
-    """The table of this Python worker, which lives as long as the worker."""
+    """The tokenizer of this Python worker, which lives as long as the worker; its table of words
+    is emptied after each task, so that idle workers hold no memory."""
     kept = sys.modules.setdefault("_carewise_words", types.ModuleType("_carewise_words")).__dict__
     if path not in kept:
         kept[path] = Words(path)
@@ -128,9 +132,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         end = np.array([end_id], dtype="<u4").tobytes()
+        words = worker_words(tokenizer)
         for part in sliced(batches):
             rows = []
-            encoded = worker_words(tokenizer).encode([t or "" for t in part.column("text").to_pylist()])
+            encoded = words.encode([t or "" for t in part.column("text").to_pylist()])
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded):
                 ids += end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
@@ -139,6 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     rows.append(row + (np.frombuffer(own, dtype="<u4").astype(np.int32),) if keep_ids else row)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        words.forget()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(work, PIECE_SCHEMA + ", ids array<int>" * keep_ids)
