@@ -32,39 +32,46 @@ def _exact(score: str) -> Column:
     return F.round(score, PLACES).cast(f"decimal(12,{PLACES})")
 
 
-def rater_agreement(rated: DataFrame, first: str, second: str, close: float = 0.5) -> DataFrame:
+def score_pairs(rated: DataFrame, first: str, second: str) -> DataFrame:
+    """(x, y, n): how many records have each pair of scores. All agreement follows from this table."""
+    known = rated.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
+    return known.groupBy(_exact(first).alias("x"), _exact(second).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _times(value: Column) -> Column:
+    """The sum over all records of a value of their pair, exact."""
+    return F.sum(value * F.col("n").cast("decimal(12,0)")).cast("double")
+
+
+def agreement_of(pairs: DataFrame, close: float = 0.5) -> DataFrame:
     """Sample size, both means, mean absolute difference and the share within ``close``."""
-    one, two = _exact(first), _exact(second)
-    gap = F.abs(one - two)
-
-    def mean(value: Column) -> Column:
-        return F.try_divide(F.sum(value).cast("double"), F.count(F.lit(1)))
-
-    return rated.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).agg(
-        F.count(F.lit(1)).alias("sample_size"),
-        F.round(mean(one), 2).alias("mean_first"),
-        F.round(mean(two), 2).alias("mean_second"),
-        F.round(mean(gap), 3).alias("mean_absolute_difference"),
-        F.round(mean(F.when(gap <= close, 1).otherwise(0)) * 100.0, 1).alias("agreement_percentage"),
+    gap, size = F.abs(F.col("x") - F.col("y")), F.sum("n")
+    return pairs.agg(
+        F.coalesce(size, F.lit(0)).alias("sample_size"),
+        F.round(F.try_divide(_times(F.col("x")), size), 2).alias("mean_first"),
+        F.round(F.try_divide(_times(F.col("y")), size), 2).alias("mean_second"),
+        F.round(F.try_divide(_times(gap), size), 3).alias("mean_absolute_difference"),
+        F.round(F.try_divide(F.sum(F.when(gap <= close, F.col("n")).otherwise(0)), size) * 100.0, 1).alias("agreement_percentage"),
     )
 
 
-def pearson(rated: DataFrame, first: str, second: str) -> DataFrame:
+def rater_agreement(rated: DataFrame, first: str, second: str, close: float = 0.5) -> DataFrame:
+    return agreement_of(score_pairs(rated, first, second), close)
+
+
+def pearson_of(pairs: DataFrame) -> DataFrame:
     """Pearson correlation, 3 places; null when a column is constant."""
-    known = rated.filter(F.col(first).isNotNull() & F.col(second).isNotNull()).select(
-        _exact(first).alias("x"), _exact(second).alias("y")
+    x, y, size = F.col("x"), F.col("y"), F.sum("n")
+    both, xx, yy = (_times(v) - _times(a) * _times(b) / size for v, a, b in ((x * y, x, y), (x * x, x, x), (y * y, y, y)))
+    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    return pairs.agg(
+        F.round(F.when(varies, F.try_divide(both, F.sqrt(xx) * F.sqrt(yy))), 3).alias("pearson"),
+        F.coalesce(size, F.lit(0)).alias("sample_size"),
     )
-    return known.agg(F.round(_correlation(), 3).alias("pearson"), F.count(F.lit(1)).alias("sample_size"))
 
 
-def _correlation() -> Column:
-    def total(value: Column) -> Column:
-        return F.sum(value).cast("double")
-
-    x, y, n = F.col("x"), F.col("y"), F.count(F.lit(1))
-    both, xx, yy = (total(v) - total(a) * total(b) / n for v, a, b in ((x * y, x, y), (x * x, x, x), (y * y, y, y)))
-    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    return F.when(varies, F.try_divide(both, F.sqrt(xx) * F.sqrt(yy)))
+def pearson(rated: DataFrame, first: str, second: str) -> DataFrame:
+    return pearson_of(score_pairs(rated, first, second))
 
 
 def average_ranks(counts: DataFrame, value: str) -> DataFrame:
@@ -89,20 +96,12 @@ def average_ranks(counts: DataFrame, value: str) -> DataFrame:
     )
 
 
-def spearman(rated: DataFrame, first: str, second: str) -> DataFrame:
+def spearman_of(pairs: DataFrame) -> DataFrame:
     """Spearman correlation, 3 places; null when a column is constant.
 
-    Rows are counted per pair of values first, so a frequent value is one row from there on.
-    Both mean ranks are (rows + 1) / 2, which leaves plain sums of products of deviations.
+    ``pairs`` is a stored table of counts, so a frequent value is one row. Both mean ranks are
+    (rows + 1) / 2, which leaves plain sums of products of deviations.
     """
-    known = rated.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
-    pairs = stored(
-        known.groupBy(F.col(first).cast("double").alias("x"), F.col(second).cast("double").alias("y")).agg(
-            F.count(F.lit(1)).alias("n")
-        ),
-        "score-pairs",
-    )
-
     def ranks(name: str) -> DataFrame:
         counts = pairs.groupBy(name).agg(F.sum("n").alias("n"))
         return average_ranks(counts, name).withColumnRenamed("rank", f"rank_{name}")
@@ -122,3 +121,7 @@ def spearman(rated: DataFrame, first: str, second: str) -> DataFrame:
         F.when(varies, F.round(F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")), 3)).alias("spearman"),
         "sample_size",
     )
+
+
+def spearman(rated: DataFrame, first: str, second: str) -> DataFrame:
+    return spearman_of(stored(score_pairs(rated, first, second), "score-pairs"))

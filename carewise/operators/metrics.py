@@ -134,7 +134,11 @@ def confusion_matrix(confusion: DataFrame) -> DataFrame:
 
 def compare_models(predictions: DataFrame, model: str, truth: str, predicted: str) -> DataFrame:
     """Accuracy and macro F1 per model, 4 places, for long (model, truth, predicted) rows."""
-    sums = class_sums(confusion_counts(predictions, truth, predicted, [model]), [model])
+    return compared(class_sums(confusion_counts(predictions, truth, predicted, [model]), [model]), model)
+
+
+def compared(sums: DataFrame, model: str) -> DataFrame:
+    """Accuracy and macro F1 per model from its class sums."""
     return sums.groupBy(model).agg(
         F.round(F.try_divide(F.sum("hits"), F.sum("support")), 4).alias("accuracy"),
         F.round(F.avg("f1"), 4).alias("macro_f1"),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
-from carewise.operators.agreement import pearson, rater_agreement, spearman
+from carewise.operators.agreement import agreement_of, pearson_of, score_pairs, spearman_of
 from carewise.operators.audit import audit_items, audit_rollup
 from carewise.operators.conversations import valid_unique_conversations
 from carewise.operators.escalation import escalate
@@ -24,7 +24,7 @@ from carewise.operators.intent import (
     taxonomy_table,
 )
 from carewise.operators.judge import CRITERIA, judge_means, judge_replies
-from carewise.operators.metrics import accuracy, binary_prf, compare_models, confusion_counts, macro_prf, weighted_prf
+from carewise.operators.metrics import accuracy, binary_prf, class_sums, compared, confusion_counts, macro_prf, weighted_prf
 from carewise.operators.replies import ground_replies
 from carewise.operators.retrieval import THRESHOLD, TOP_K, ConversationIndex, Retriever
 from carewise.operators.sampling import balanced_sample, numbered, sample_n
@@ -183,30 +183,42 @@ def _long(row: DataFrame, section: str, names: dict[str, str]) -> DataFrame:
     return row.select(F.lit(section).alias("section"), F.inline(pairs))
 
 
-def baseline_predictions(scored: DataFrame) -> DataFrame:
-    """(model, truth, predicted) of the scored intents and of both baselines, in one pass."""
+def _named_predictions(scored: DataFrame, *others: Column) -> DataFrame:
+    """(model, truth, predicted) of the scored intents and of both baselines, and of ``others``."""
     named = random_baseline(
-        keyword_baseline(scored.select("conversation_id", "customer_message", "ground_truth_intent", F.col("predicted_intent").alias("_main")))
-        .withColumnRenamed("predicted_intent", "_keyword"),
-        "conversation_id",
+        keyword_baseline(scored.withColumn("_main", F.col("predicted_intent"))).withColumnRenamed("predicted_intent", "_keyword"), "conversation_id"
     ).withColumnRenamed("predicted_intent", "_random")
+    models = {"main_agent": "_main", "baseline_1_random": "_random", "baseline_2_keyword": "_keyword"}
+    rows = [_prediction(model, "ground_truth_intent", F.col(column)) for model, column in models.items()]
+    return named.select(F.inline(F.array(*rows, *others)))
 
-    def one(model: str, predicted: str) -> Column:
-        return F.struct(F.lit(model).alias("model"), F.col("ground_truth_intent").alias("truth"), F.col(predicted).alias("predicted"))
 
-    models = F.array(one("main_agent", "_main"), one("baseline_1_random", "_random"), one("baseline_2_keyword", "_keyword"))
-    return named.select(F.inline(models))
+def _prediction(model: str, truth: str, predicted: Column) -> Column:
+    return F.struct(F.lit(model).alias("model"), F.col(truth).alias("truth"), predicted.alias("predicted"))
+
+
+def baseline_predictions(scored: DataFrame) -> DataFrame:
+    """(model, truth, predicted) of the scored intents and of both baselines, in one pass."""
+    return _named_predictions(scored.select("conversation_id", "customer_message", "ground_truth_intent", "predicted_intent"))
 
 
 def evaluate(scored: DataFrame, rated: DataFrame | None = None, first: str = "human_score", second: str = "judge_score") -> DataFrame:
     """All metrics as long rows (section, metric, value).
 
     ``rated`` holds two score columns of real raters; without it the agreement section is
-    left out. The scored records are read once per section, the confusion table once.
+    left out. The scored records are read twice, for all confusion tables and for the judge; all
+    agreement comes from one table of score pairs.
     """
-    confusion = stored(confusion_counts(scored, "ground_truth_intent", "predicted_intent"), "confusion")
-    decisions = scored.select("ground_truth_escalation", F.col("escalation.decision").alias("decision"))
-    escalations = stored(confusion_counts(decisions, "ground_truth_escalation", "decision"), "escalations")
+    policy = _prediction("escalation_policy", "ground_truth_escalation", F.col("decision"))
+    columns = ["conversation_id", "customer_message", "ground_truth_intent", "predicted_intent", "ground_truth_escalation"]
+    named = _named_predictions(scored.select(*columns, F.col("escalation.decision").alias("decision")), policy)
+    tables = stored(confusion_counts(named, "truth", "predicted", ["model"]), "confusion")
+
+    def of(model: str) -> DataFrame:
+        return tables.filter(F.col("model") == model).drop("model")
+
+    confusion, escalations = of("main_agent"), of("escalation_policy")
+    judged = judge_replies(scored)
 
     def rounded(df: DataFrame, *names: str) -> DataFrame:
         return df.select(*[F.round(n, 4).alias(n) for n in names])
@@ -220,23 +232,24 @@ def evaluate(scored: DataFrame, rated: DataFrame | None = None, first: str = "hu
         _long(rounded(accuracy(escalations), "accuracy"), "escalation_policy", {"accuracy": "accuracy"}),
         _long(rounded(binary_prf(escalations), "precision", "recall", "f1"), "escalation_policy",
               {"precision": "precision_escalate", "recall": "recall_escalate", "f1": "f1_escalate"}),
-        _long(judge_means(judge_replies(scored)), "judge",
+        _long(judge_means(judged), "judge",
               {"average_overall_score": "average_overall_score", **{f"mean_{c}": c for c in CRITERIA}}),
     ]
-    models = compare_models(baseline_predictions(scored), "model", "truth", "predicted").filter(F.col("model") != "main_agent")
+    models = compared(class_sums(tables.filter(F.col("model").startswith("baseline")), ["model"]), "model")
     measures = F.array(
         F.struct(F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value")),
         F.struct(F.lit("macro_f1").alias("metric"), F.col("macro_f1").alias("value")),
     )
     parts.append(models.select(F.col("model").alias("section"), F.inline(measures)))
     if rated is not None:
+        pairs = stored(score_pairs(rated, first, second), "score-pairs")
         parts += [
-            _long(rater_agreement(rated, first, second), "rater_agreement", {
+            _long(agreement_of(pairs), "rater_agreement", {
                 "sample_size": "sample_size",
                 "agreement_percentage": "agreement_pct_within_0_5",
                 "mean_absolute_difference": "mean_abs_difference",
             }),
-            _long(pearson(rated, first, second), "rater_agreement", {"pearson": "pearson_correlation"}),
-            _long(spearman(rated, first, second), "rater_agreement", {"spearman": "spearman_correlation"}),
+            _long(pearson_of(pairs), "rater_agreement", {"pearson": "pearson_correlation"}),
+            _long(spearman_of(pairs), "rater_agreement", {"spearman": "spearman_correlation"}),
         ]
     return reduce(DataFrame.unionByName, parts)

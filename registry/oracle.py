@@ -681,6 +681,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, conversation_id, similarity_scor
         "audit_escalation": f"WITH {AUDITED} SELECT conversation_id, status, reason FROM escalation_review",
         "audit_grounding": f"WITH {AUDITED} SELECT conversation_id, status, reason FROM grounding_review",
         "audit_items": f"WITH {AUDITED} SELECT conversation_id, item_verdict, item_score FROM items",
+        "audit_sample": f"WITH {AUDITED} SELECT conversation_id, item_verdict, item_score FROM items ORDER BY conversation_id LIMIT 5",
         "audit_rollup": f"WITH {AUDITED} {rollup('items')}",
         "audit_rollup_by_intent": f"WITH {AUDITED} {rollup('items', 'predicted_intent')}",
         "judge_replies": f"WITH {SCORED}, {JUDGED} SELECT * EXCLUDE (customer_message, grounded_reply) FROM judged",
@@ -733,6 +734,7 @@ SELECT event_id, round(least(CAST(0.96 AS DOUBLE), greatest(CAST(0.88 AS DOUBLE)
 c AS (SELECT intent, count(*) AS n FROM labelled GROUP BY intent)
 SELECT priority, default_escalation, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n, count(*) AS intents FROM taxonomy LEFT JOIN c USING (intent) GROUP BY ALL""",
         "score_batch_keywords": keyword_scored,
+        "score_batch_limit": f"SELECT * FROM ({keyword_scored}) ORDER BY conversation_id LIMIT 25",
         "stream_score": _stream_score(),
         "stream_audit_window": f"""WITH {EVENT_ITEMS}, {rollup_counts('items', 'window_start, window_end')},
 reports AS ({report('window_start, window_end')}) SELECT * FROM reports WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",

@@ -224,6 +224,12 @@ def judge_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.judge_replies(inputs.scored_table(spark, sf_dir))
 
 
+def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five audited items by id, which the report shows."""
+    items = audit.sample_audits(audit.audit_items(inputs.scored_table(spark, sf_dir)))
+    return items.select("conversation_id", "item_verdict", "item_score")
+
+
 def judge_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.judge_means(judge.judge_replies(inputs.scored_table(spark, sf_dir)))
 
@@ -284,11 +290,12 @@ def baseline_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two score columns: the judge's mean and half the audit score."""
+    """Two score columns in one projection: the judge's mean and half the audit score."""
     scored = inputs.scored_table(spark, sf_dir)
-    judged = judge.judge_replies(scored, keep=("customer_message", "grounded_reply"))
-    audited = audit.audit_items(scored).select("conversation_id", (F.col("item_score") / 2.0).alias("audit_score"))
-    return judged.withColumnRenamed("average_score", "judge_score").join(audited, "conversation_id")
+    needed = [c for c in scored.columns if c != "conversation_id"]
+    judged = judge.judge_replies(scored, keep=needed).withColumnRenamed("average_score", "judge_score")
+    audited = audit.audit_items(judged, keep=("customer_message", "grounded_reply", "judge_score"))
+    return audited.withColumn("audit_score", F.col("item_score") / 2.0)
 
 
 def rater_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -471,6 +478,12 @@ def score_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_scored(jobs.score_messages(labelled, _training(spark, sf_dir).model, _index(spark, sf_dir)))
 
 
+def score_batch_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring job on the first 25 messages by id, as its limit takes them."""
+    labelled = label_conversations(inputs.phrased(spark, sf_dir))
+    return _flat_scored(jobs.score_messages(labelled, KeywordModel(), _index(spark, sf_dir), limit=25))
+
+
 def score_batch_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scoring job with the keyword classifier, which SQL can follow."""
     labelled = label_conversations(inputs.phrased(spark, sf_dir))
@@ -529,6 +542,7 @@ QUERIES: dict[str, Query] = {
     "audit_escalation": _review("escalation_review"),
     "audit_grounding": _review("grounding_review"),
     "audit_items": audit_items,
+    "audit_sample": audit_sample,
     "audit_rollup": audit_rollup,
     "audit_rollup_by_intent": audit_rollup_by_intent,
     "judge_replies": judge_rows,
@@ -572,6 +586,7 @@ QUERIES: dict[str, Query] = {
     "topic_terms": topic_terms,
     "score_batch": score_batch,
     "score_batch_keywords": score_batch_keywords,
+    "score_batch_limit": score_batch_limit,
     "stream_score": stream_score,
     "stream_audit_window": stream_audit_window,
     "audit_window": audit_window,

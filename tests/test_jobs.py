@@ -73,7 +73,7 @@ def test_stream_equals_batch(spark, phrased, index, tmp_path):
     start_scoring(stream, KeywordModel(), index, out, str(tmp_path / "state")).awaitTermination()
     written = read_scored_stream(spark, out)
     assert written.select("batch_id").distinct().count() == 3
-    assert sorted(p.name for p in tmp_path.glob("state-scratch/*")) == ["query-vectors"]
+    assert sorted(p.name for p in tmp_path.glob("state-scratch/*")) == ["hits", "query-vectors"]
     expected = score_and_audit(messages, KeywordModel(), index)
     assert sorted(map(str, written.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
     # a restart finds nothing new and writes nothing twice
