@@ -63,15 +63,21 @@ def rule_intent(
     return first_match((found(lowered, i.regex), F.lit(i.name)) for i in ordered)
 
 
-def with_rule_intent(df: DataFrame, message: str = "customer_message", name: str = "rule_intent") -> DataFrame:
-    return df.withColumn("_low", F.lower(F.col(message))).withColumn(name, rule_intent(F.col("_low"))).drop("_low")
+def with_rule_intent(
+    df: DataFrame, message: str = "customer_message", name: str = "rule_intent", brand: str = R.DEFAULT_BRAND
+) -> DataFrame:
+    rule = rule_intent(F.col("_low"), R.taxonomy(brand))
+    return df.withColumn("_low", F.lower(F.col(message))).withColumn(name, rule).drop("_low")
 
 
 def label_conversations(
-    conversations: DataFrame, message: str = "customer_message", rules: Sequence[R.LabelRule] | None = None
+    conversations: DataFrame,
+    message: str = "customer_message",
+    rules: Sequence[R.LabelRule] | None = None,
+    brand: str = R.DEFAULT_BRAND,
 ) -> DataFrame:
     """Add intent, escalation, reply_keywords and ground_truth_notes by the labeller's rules."""
-    rules = R.label_rules() if rules is None else rules
+    rules = R.label_rules(brand) if rules is None else rules
 
     def outcome(rule: R.LabelRule) -> Column:
         return F.struct(
@@ -129,11 +135,13 @@ def class_weights(labelled: DataFrame, label: str = "intent") -> DataFrame:
     return counts.select("label", "n", share.alias("weight"))
 
 
-def keyword_baseline(df: DataFrame, message: str = "customer_message", default: str = R.GENERAL) -> DataFrame:
+def keyword_baseline(
+    df: DataFrame, message: str = "customer_message", default: str = R.GENERAL, brand: str = R.DEFAULT_BRAND
+) -> DataFrame:
     """Taxonomy match, or the default intent with low confidence."""
     matched = F.col("_rule")
     return (
-        with_rule_intent(df, message, "_rule")
+        with_rule_intent(df, message, "_rule", brand)
         .withColumn("predicted_intent", F.coalesce(matched, F.lit(default)))
         .withColumn("intent_confidence", F.when(matched.isNotNull(), KEYWORD_CONFIDENCE).otherwise(DEFAULT_CONFIDENCE))
         .drop("_rule")
@@ -158,9 +166,10 @@ class KeywordModel:
     """The keyword baseline behind the interface of the classifier."""
 
     default: str = R.GENERAL
+    brand: str = R.DEFAULT_BRAND
 
     def classify(self, messages: DataFrame, key: str, text: str) -> DataFrame:
-        predicted = keyword_baseline(messages, text, self.default)
+        predicted = keyword_baseline(messages, text, self.default, self.brand)
         blank = is_blank(F.col(text))
         return predicted.withColumn(
             "predicted_intent", F.when(blank, F.lit(R.GENERAL)).otherwise(F.col("predicted_intent"))
@@ -181,6 +190,7 @@ class IntentModel:
     labels: tuple[str, ...]
     intercepts: tuple[float, ...]
     settings: TfidfSettings
+    brand: str = R.DEFAULT_BRAND  # whose rules decide before the model
 
     @classmethod
     def fit(
@@ -192,6 +202,7 @@ class IntentModel:
         settings: TfidfSettings | None = None,
         c: float = INVERSE_REGULARISATION,
         max_iter: int = 1000,
+        brand: str = R.DEFAULT_BRAND,
     ) -> IntentModel:
         settings = settings or TfidfSettings(max_features=CLASSIFIER_TERMS)
         classes = class_weights(training.filter(F.col(label).isNotNull()), label).orderBy("label")
@@ -226,7 +237,7 @@ class IntentModel:
         by_term = [(i, [float(row[i]) for row in matrix]) for i in range(size)]
         coefficients = training.sparkSession.createDataFrame(by_term, "term_id int, coefficients array<double>")
         weights = stored(vocab.join(coefficients, "term_id").select("term", "term_id", "idf", "coefficients"), "weights")
-        return cls(broadcast_if_small(weights)[0], labels, tuple(intercepts), settings)
+        return cls(broadcast_if_small(weights)[0], labels, tuple(intercepts), settings, brand)
 
     def save(self, path: str) -> None:
         s = self.settings
@@ -234,6 +245,7 @@ class IntentModel:
         self.weights.sparkSession.range(1).select(
             F.lit(list(self.labels)).cast("array<string>").alias("labels"),
             F.lit(list(self.intercepts)).cast("array<double>").alias("intercepts"),
+            F.lit(self.brand).alias("brand"),
             F.struct(
                 F.lit(s.max_features).alias("max_features"),
                 F.lit(s.low).alias("low"),
@@ -256,6 +268,7 @@ class IntentModel:
             tuple(row["labels"]),
             tuple(row["intercepts"]),
             TfidfSettings(**{**settings, "stop_words": tuple(settings["stop_words"])}),
+            row["brand"],
         )
 
     def probabilities(self, messages: DataFrame, key: str, text: str, name: str = "probabilities") -> DataFrame:
@@ -286,7 +299,7 @@ class IntentModel:
         rows = (
             self.probabilities(messages, key, text, "_p")
             .withColumn("_low", comparison_key(F.col(text)))
-            .withColumn("_rule", rule_intent(F.col("_low")))
+            .withColumn("_rule", rule_intent(F.col("_low"), R.taxonomy(self.brand)))
             .withColumn("_at", F.array_position(names, F.col("_rule")).cast("int"))
             .withColumn("_best", F.array_max("_p"))
         )

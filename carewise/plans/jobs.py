@@ -67,9 +67,10 @@ def build_golden(
     seed: int = 42,
     classes: Sequence[str] | None = None,
     id_prefix: str = "GOLDEN",
+    brand: str = R.DEFAULT_BRAND,
 ) -> DataFrame:
     """Labelled, balanced evaluation records in shuffled order."""
-    labelled = stored(label_conversations(conversations), "labelled")
+    labelled = stored(label_conversations(conversations, brand=brand), "labelled")
     names = [i.name for i in R.taxonomy()] if classes is None else list(classes)
     drawn = balanced_sample(labelled, size, "intent", names, "conversation_id", seed)
     return numbered(drawn, f"{id_prefix}_%03d", "conversation_id", seed, "golden_id").select(
@@ -159,10 +160,12 @@ class TrainingResult:
     metrics: DataFrame  # accuracy, macro_f1, train_size, test_size
 
 
-def train_and_evaluate(labelled: DataFrame, evaluation: DataFrame, path: str | None = None, max_iter: int = 1000) -> TrainingResult:
+def train_and_evaluate(
+    labelled: DataFrame, evaluation: DataFrame, path: str | None = None, max_iter: int = 1000, brand: str = R.DEFAULT_BRAND
+) -> TrainingResult:
     """Train on what the evaluation set does not hold, then measure on it."""
     training = stored(disjoint_training(labelled, evaluation), "training")
-    model = IntentModel.fit(training, max_iter=max_iter)
+    model = IntentModel.fit(training, max_iter=max_iter, brand=brand)
     if path is not None:
         model.save(path)
     predicted = model.classify(evaluation, "conversation_id", "customer_message")
@@ -183,10 +186,10 @@ def _long(row: DataFrame, section: str, names: dict[str, str]) -> DataFrame:
     return row.select(F.lit(section).alias("section"), F.inline(pairs))
 
 
-def _named_predictions(scored: DataFrame, *others: Column) -> DataFrame:
+def _named_predictions(scored: DataFrame, *others: Column, brand: str = R.DEFAULT_BRAND) -> DataFrame:
     """(model, truth, predicted) of the scored intents and of both baselines, and of ``others``."""
     named = random_baseline(
-        keyword_baseline(scored.withColumn("_main", F.col("predicted_intent"))).withColumnRenamed("predicted_intent", "_keyword"), "conversation_id"
+        keyword_baseline(scored.withColumn("_main", F.col("predicted_intent")), brand=brand).withColumnRenamed("predicted_intent", "_keyword"), "conversation_id"
     ).withColumnRenamed("predicted_intent", "_random")
     models = {"main_agent": "_main", "baseline_1_random": "_random", "baseline_2_keyword": "_keyword"}
     rows = [_prediction(model, "ground_truth_intent", F.col(column)) for model, column in models.items()]
@@ -202,7 +205,9 @@ def baseline_predictions(scored: DataFrame) -> DataFrame:
     return _named_predictions(scored.select("conversation_id", "customer_message", "ground_truth_intent", "predicted_intent"))
 
 
-def evaluate(scored: DataFrame, rated: DataFrame | None = None, first: str = "human_score", second: str = "judge_score") -> DataFrame:
+def evaluate(
+    scored: DataFrame, rated: DataFrame | None = None, first: str = "human_score", second: str = "judge_score", brand: str = R.DEFAULT_BRAND
+) -> DataFrame:
     """All metrics as long rows (section, metric, value).
 
     ``rated`` holds two score columns of real raters; without it the agreement section is
@@ -211,7 +216,7 @@ def evaluate(scored: DataFrame, rated: DataFrame | None = None, first: str = "hu
     """
     policy = _prediction("escalation_policy", "ground_truth_escalation", F.col("decision"))
     columns = ["conversation_id", "customer_message", "ground_truth_intent", "predicted_intent", "ground_truth_escalation"]
-    named = _named_predictions(scored.select(*columns, F.col("escalation.decision").alias("decision")), policy)
+    named = _named_predictions(scored.select(*columns, F.col("escalation.decision").alias("decision")), policy, brand=brand)
     tables = stored(confusion_counts(named, "truth", "predicted", ["model"]), "confusion")
 
     def of(model: str) -> DataFrame:

@@ -279,3 +279,12 @@ def test_marks_and_joiners_are_word_edges(spark, text):
 def test_own_patterns_match_in_either_case(spark):
     one = spark.createDataFrame([("my bag is LOST".lower(),)], "t string")
     assert one.select(found(F.col("t"), r"\b(Bag|Case) is LOST\b").alias("hit")).first()["hit"]
+
+
+def test_another_brand_has_its_own_rules(spark):
+    messages = spark.createDataFrame([("1", "is acme available in town"), ("2", "charges from acme")], "conversation_id string, customer_message string")
+    own = intent.KeywordModel(brand="Acme").classify(messages, "conversation_id", "customer_message").orderBy("conversation_id")
+    assert own.first()["intent_confidence"] == 0.85
+    assert intent.KeywordModel().classify(messages, "conversation_id", "customer_message").orderBy("conversation_id").first()["intent_confidence"] == 0.4
+    labels = {r["conversation_id"]: r["intent"] for r in intent.label_conversations(messages, brand="Acme").collect()}
+    assert labels["2"] == R.FARE != intent.label_conversations(messages).filter("conversation_id = '2'").first()["intent"]
