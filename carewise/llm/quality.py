@@ -90,7 +90,7 @@ def fit_text_model(features: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
     share = min(1.0, rows / sum(counts.values()))
     chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(stored(chosen, "labelled"))
-    fitted = LogisticRegression(featuresCol="x", labelCol="good", regParam=1e-4, maxIter=60).fit(vectors)
+    fitted = LogisticRegression(featuresCol="x", labelCol="good", regParam=1e-4, maxIter=30).fit(vectors)
     return [float(c) for c in fitted.coefficients], float(fitted.intercept)
 
 

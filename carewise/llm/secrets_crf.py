@@ -358,6 +358,26 @@ def added_spans(text: str, field: Field, base: list[tuple[int, int, int]]) -> li
     return out
 
 
+def secrets_of(text: str | None, field: Field) -> list[tuple[int, int, int]]:
+    """(start, kind number, end) of the patterns' and the field's spans, in order."""
+    if not text:
+        return []
+    base = base_spans(text)
+    return sorted(base + added_spans(text, field, base))
+
+
+def redacted(text: str | None, spans: list[tuple[int, int, int]], mark: str) -> str | None:
+    """The text with a mark in place of its spans; overlapping spans share one."""
+    if not spans:
+        return text
+    out, at = [], 0
+    for start, _, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
 def find_secrets(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     """The documents with ``secrets``: structs (kind, start, end) by start, then kind."""
     docs = docs.drop("secrets")
@@ -367,32 +387,21 @@ def find_secrets(docs: DataFrame, field: Field, text: str = "text") -> DataFrame
 
     def work(batches):
         for part in sliced(batches, text):
-            found = []
-            for value in part.column(text).to_pylist():
-                base = base_spans(value) if value else []
-                spans = sorted(base + added_spans(value, field, base)) if value else []
-                found.append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in spans])
+            found = [
+                [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in secrets_of(value, field)] for value in part.column(text).to_pylist()
+            ]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, kind)], [*part.schema.names, "secrets"])
 
     return docs.mapInArrow(work, schema)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Documents with ``secrets`` whose spans are replaced by a mark; overlapping spans share one."""
-    schema = T.StructType([f for f in docs.schema.fields if f.name != "secrets"])
+def redact(docs: DataFrame, field: Field, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """The documents with a mark in place of every secret."""
 
     def work(batches):
         for part in sliced(batches, text):
-            texts = []
-            for value, spans in zip(part.column(text).to_pylist(), part.column("secrets").to_pylist()):
-                out, at = [], 0
-                for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= at:
-                        out += [value[at:s["start"]], mark]
-                    at = max(at, s["end"])
-                texts.append(value if not spans else "".join(out) + value[at:])
-            names = [n for n in part.schema.names if n != "secrets"]
-            columns = [pa.array(texts, pa.string()) if n == text else part.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            texts = [redacted(value, secrets_of(value, field), mark) for value in part.column(text).to_pylist()]
+            columns = [pa.array(texts, pa.string()) if n == text else part.column(n) for n in part.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, part.schema.names)
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(work, docs.schema)

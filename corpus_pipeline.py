@@ -14,7 +14,7 @@ from carewise.llm.ngram_join import similar_components
 from carewise.llm.packing import pack_documents
 from carewise.llm.quality import page_sites, quality
 from carewise.llm.queries import GOOD, LINE_LIMIT
-from carewise.llm.secrets_crf import find_secrets, learn, redact
+from carewise.llm.secrets_crf import learn, redact
 from carewise.session import broadcast_if_small, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -58,7 +58,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark."""
-    return _documents(redact(find_secrets(docs, learn(docs))))
+    return _documents(redact(docs, learn(docs)))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -316,8 +316,8 @@ def test_viterbi_and_marginals_by_enumeration():
 
 
 def test_redaction(spark, field):
-    found = C.find_secrets(rows_of(spark, ["a token=0123456789abcdef0123 b", None, "plain"]), field)
-    assert [r["text"] for r in C.redact(found).orderBy("doc_id").collect()] == ["a [SECRET] b", None, "plain"]
+    rows = rows_of(spark, ["a token=0123456789abcdef0123 b", None, "plain"])
+    assert [r["text"] for r in C.redact(rows, field).orderBy("doc_id").collect()] == ["a [SECRET] b", None, "plain"]
 
 
 # ------------------------------------------------------------ pieces
