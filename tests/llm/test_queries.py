@@ -53,3 +53,19 @@ def test_promised_columns(spark, name):
 
 def test_all_are_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+def test_secret_digests(spark):
+    """The digest columns restate the spans of the patterns."""
+    import hashlib
+
+    from carewise.llm.secrets_crf import KINDS, base_spans
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op7_secret_scans(spark, sf).collect():
+        spans = base_spans(texts[r["doc_id"]] or "")
+        joined = [f"{KINDS[k]}:{a}:{b}" for a, k, b in spans]
+        assert r["base_sha256"] == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in spans) for i in range(3)]
+        assert [s for s in r["spans"].split(",") if s and not s.startswith("crf")] == joined
