@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carewise.llm import language_id, piece_lattice
 from carewise.llm.common import read
-from carewise.llm.edit_embedding import fingerprint_edits
+from carewise.llm.edit_embedding import fingerprint_classes
 from carewise.llm.exact_dedup import exact_duplicates
 from carewise.llm.line_dedup import LineIndex
 from carewise.llm.ngram_join import similar_components
@@ -108,7 +108,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fingerprint_classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 URL_RULES = (

@@ -114,6 +114,58 @@ def test_near_duplicates_are_found(spark):
     assert len({groups[i] for i in range(30)}) == 30
 
 
+def with_edits(text, part, rng):
+    """The text with changes of single characters spread over it."""
+    own = list(text)
+    for at in rng.sample(range(len(own)), int(part * len(own))):
+        own[at] = rng.choice([own[at] + "x", "", "q"])
+    return "".join(own)
+
+
+def links_by_hand(texts, most_edits=0.1):
+    """The smallest index among the texts that links over shared bands lead to."""
+    prints = [set(E.bands(f) or [f]) for f in E.fingerprints(texts, E.walk_bits(E.SEED))]
+    least = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if prints[i] & prints[j] and E.edit_distance(texts[i], texts[j]) <= most_edits * max(len(texts[i]), len(texts[j])):
+            low, high = sorted((least[i], least[j]))
+            least = [low if x == high else x for x in least]
+    return least
+
+
+def test_near_duplicates_as_by_hand(spark):
+    """Edits spread over the text, and families of texts behind one common start, whose bands they share."""
+    rng = random.Random(12)
+    spread = [t for t in prose(8, 12, size=200) if len(t) > 300]
+    texts = spread + [with_edits(t, part, rng) for t in spread for part in (0.01, 0.03, 0.05)]
+    start = " ".join(prose(9, 2, size=60))[:120]
+    families = [start + t[:400] for t in prose(10, 12, size=200) if len(t) > 400]
+    texts += families + [with_edits(t, 0.02, rng) for t in families for _ in range(3)] + [texts[3], "", ""]
+    expected = links_by_hand(texts)
+    got = dict(map(tuple, E.near_duplicates(rows_of(spark, texts)).collect()))
+    assert [got[i] for i in range(len(texts))] == expected
+    classes = {r["doc_id"]: r["class_id"] for r in E.fingerprint_classes(rows_of(spark, texts)).collect()}
+    assert classes == got
+    assert sum(expected[len(spread) + i] < len(spread) for i in range(3 * len(spread))) > 2 * len(spread)
+
+
+def test_classes_of_repeated_and_null_ids(spark):
+    text, other = prose(11, 2, size=200)
+    rows = [(None, text), (4, text[:-2]), (4, other), (7, other + "z"), (9, "alone"), (9, "alone")]
+    got = E.fingerprint_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_chars"], r["class_id"]) for r in got), key=repr) == sorted(
+        [(None, len(text), None), (4, len(text) - 2, None), (4, len(other), 4), (7, len(other) + 1, 4), (9, 5, 9), (9, 5, 9)], key=repr)
+
+
+def test_bounds_of_the_distance():
+    rng = random.Random(13)
+    for _ in range(60):
+        a = "".join(rng.choices("abc ", k=rng.randint(0, 60)))
+        b = with_edits(a, rng.random(), rng) if rng.random() < 0.7 else "".join(rng.choices("abc ", k=rng.randint(0, 60)))
+        exact = E.edit_distance(a, b)
+        assert E.least_distance(a, b) <= exact and E.distance_within(a, b, 99) == (exact, True)
+
+
 # ------------------------------------------------------------ URLs
 
 URLS = [
