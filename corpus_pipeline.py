@@ -49,11 +49,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    groups = similar_components(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    gone = stored(groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "near-copies")
+    """Of each group of near duplicates one row stays, by the smallest id and then a hash of the text; null is the smallest id.
+
+    Rows are numbered when they are stored, so that rows that repeat an id or are null stay apart.
+    """
+    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = similar_components(numbered.select(F.col("_row").alias("doc_id"), "text"), width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    members = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component_id")
+    near = stored(groups.join(members, "component_id").select(F.col("doc_id").alias("_row"), "component_id"), "near-copies")
+    sent, _ = broadcast_if_small(near)
+    text = F.coalesce("text", F.lit(""))
+    order = F.struct(F.col("doc_id").isNotNull(), "doc_id", F.xxhash64(text), F.xxhash64(text, F.lit(1)), "_row")
+    ranked = numbered.join(sent, "_row").select("component_id", order.alias("order"))
+    first = ranked.groupBy("component_id").agg(F.min("order")["_row"].alias("_row"))
+    gone = stored(near.join(first, "_row", "left_anti").select("_row"), "gone")
     marked, _ = broadcast_if_small(gone)
-    return docs.join(marked, "doc_id", "left_anti").select(*COLUMNS)
+    return numbered.join(marked, "_row", "left_anti").select(*COLUMNS)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -509,3 +509,17 @@ def test_stages_on_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             table = stage(spark, table, SF)
         assert table.count() >= 0
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    """One row of each group stays, whatever the ids are, and no row of another group goes."""
+    words = [f"w{i}" for i in range(60)]
+    near, other = " ".join(words), " ".join(f"v{i}" for i in range(60))
+    alone = " ".join(f"u{i}" for i in range(60))
+    nulls = [" ".join(f"t{i}" for i in range(60)), " ".join(f"t{i}" for i in range(61))]
+    rows = [(1, near), (1, near), (2, near + " end"), (2, alone), (3, other), (3, other), (None, nulls[0]), (None, nulls[0]), (8, nulls[1]), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit(None).cast(k).alias(c) for c, k in (("lang", "string"), ("source", "string"), ("n_chars", "long"))))
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs.repartition(3), SF)
+    assert kept.columns == list(corpus_pipeline.COLUMNS)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(1, near), (2, alone), (3, other), (None, nulls[0]), (9, None), (9, None)], key=repr)
