@@ -6,7 +6,7 @@ that may contain it. Over a text, the bits of each language are counted, false p
 taken off by the fill of its filter, and the language with the largest corrected share decides.
 
 An n-gram is listed for a language if it is about as frequent there as anywhere. The lists are
-learned from a bounded sample of labelled documents, taken by a hash of the id.
+learned from a bounded sample of distinct labelled texts, taken by their hash.
 
 Defined cases: a text that is null or has no letter is "und" with score 0, as is every text when
 nothing was learned; equal shares go to the language with more training text, then to the
@@ -105,13 +105,13 @@ class LanguageFilters:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", documents: int = LEARN_DOCUMENTS, slots: int = SLOTS, seed: int = 5) -> LanguageFilters:
-    """Filters from about ``documents`` of the labelled rows of ``docs``."""
+    """Filters from about ``documents`` of the distinct labelled texts of ``docs``."""
     labelled = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
-    total = labelled.count()
+    total = labelled.agg(F.approx_count_distinct(F.xxhash64("text", "lang"), 0.02)).first()[0]
     share = int(min(1.0, documents / max(total, 1)) * 1_000_000)
-    sample = labelled.filter(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1_000_000)) < share)
+    sample = labelled.filter(F.pmod(F.xxhash64("text", "lang", F.lit(seed)), F.lit(1_000_000)) < share).dropDuplicates(["text", "lang"])
 
     def count(batches):
         for part in sliced(batches, most=SLICE_BYTES):

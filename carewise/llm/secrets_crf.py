@@ -325,13 +325,13 @@ def _windows(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def learn(docs: DataFrame, text: str = "text", documents: int = FIT_DOCUMENTS, windows: int = FIT_WINDOWS, seed: int = 29) -> Field:
-    """A field from at most ``windows`` stretches of about ``documents`` documents, taken by hash."""
-    total = docs.count()
+    """A field from at most ``windows`` stretches of about ``documents`` distinct texts, taken by hash."""
+    total = docs.agg(F.approx_count_distinct(F.xxhash64(F.col(text).cast("string")), 0.02)).first()[0]
     share = min(1.0, documents / max(total, 1))
     order = F.pmod(F.xxhash64(F.col(text), F.lit(seed)), F.lit(1 << 40))
     sample = docs.select(F.col(text).cast("string").alias("text"), order.alias("order")).filter(
         F.col("text").isNotNull() & (F.col("order") < int(share * (1 << 40)))
-    )
+    ).dropDuplicates(["text"])  # copies share an order, and would take all places
     rows = _windows(sample, seed).orderBy("order", "tokens").limit(windows).collect()
     return fit_field([(token_features(r["tokens"], r["file"]), r["tags"]) for r in rows if r["tokens"]])
 

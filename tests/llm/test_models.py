@@ -237,6 +237,13 @@ def test_more_languages_than_a_word_of_masks(spark):
     assert [name for name, _ in filters.identify([t for t, _ in rows])] == [name for _, name in rows]
 
 
+def test_copies_do_not_crowd_out_a_language(spark):
+    texts = [(t, "x" if i % 2 else "y") for i, t in enumerate(prose(14, 60))]
+    once, often = (spark.createDataFrame(texts + [("abc abd xyz " * 30, "x")] * n, "text string, lang string") for n in (1, 300))
+    expected, got = (L.learn(d, documents=70) for d in (once, often))
+    assert got.languages == expected.languages and np.array_equal(got.table, expected.table)
+
+
 # ------------------------------------------------------------ quality
 
 def test_quality_held_out(spark):
@@ -350,6 +357,16 @@ def test_stretches_decode_like_whole_texts(spark, field):
         assert C.added_spans(r["text"], field, base) == C.added_spans(r["text"], whole, base)
 
 
+def test_copies_do_not_crowd_out_the_sample(spark):
+    """Copies of a text without secrets that comes first in the sample."""
+    plain = [f"room {i} = 12 : the plain text has no value" for i in range(40)]
+    order = F.pmod(F.xxhash64(F.col("text"), F.lit(29)), F.lit(1 << 40))
+    first = rows_of(spark, plain).orderBy(order).first()["text"]
+    secrets = [f"the token=0123456789abcdef{i:04d} is here" for i in range(30)]
+    once, often = (C.learn(rows_of(spark, secrets + [first] * n), windows=80) for n in (1, 200))
+    assert often.weights[0, C.OUTSIDE] != 10 and np.array_equal(once.weights, often.weights)
+
+
 def test_viterbi_and_marginals_by_enumeration():
     rng = np.random.default_rng(3)
     scores, moves = rng.normal(size=(5, 3)), rng.normal(size=(3, 3))
