@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from carewise.llm import language_id, piece_lattice
+from carewise.llm.collocations import collocations
 from carewise.llm.common import read
 from carewise.llm.edit_embedding import fingerprint_classes
 from carewise.llm.exact_dedup import exact_duplicates
@@ -164,6 +165,44 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id
 FROM sets JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)
 """
 
+
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+), words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), grams AS (
+  SELECT lang, 1 AS k, unnest(w) AS phrase FROM words
+  UNION ALL SELECT lang, 2, unnest(list_transform(list_zip(w[:-2], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM words WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(list_zip(w[:-3], w[2:-2], w[3:]), lambda p: p[1] || ' ' || p[2] || ' ' || p[3])) FROM words WHERE len(w) > 2
+), counted AS MATERIALIZED (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM grams GROUP BY ALL
+), totals AS (SELECT lang, sum(f) AS n FROM counted WHERE k = 1 GROUP BY lang
+), candidates AS MATERIALIZED (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counted WHERE k > 1 AND f >= 10
+), halves AS MATERIALIZED (
+  SELECT lang, phrase, a, 1 AS cut, w[1] AS head, array_to_string(w[2:], ' ') AS rest FROM candidates
+  UNION ALL SELECT lang, phrase, a, 2, array_to_string(w[1:2], ' '), w[3] FROM candidates WHERE k = 3
+), cuts AS (
+  SELECT h.lang, h.phrase, a, cut, l.f AS l, r.f AS r, (1000000 * a * a) // (l.f * r.f) AS score
+  FROM halves h JOIN counted l ON l.lang = h.lang AND l.phrase = h.head JOIN counted r ON r.lang = h.lang AND r.phrase = h.rest
+), scored AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), covered AS (
+  SELECT lang, phrase, max(around) AS around FROM (
+    SELECT lang, array_to_string(w[1:2], ' ') AS phrase, a AS around FROM candidates WHERE k = 3
+    UNION ALL SELECT lang, array_to_string(w[2:3], ' '), a FROM candidates WHERE k = 3) GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM scored JOIN totals USING (lang) LEFT JOIN covered USING (lang, phrase)
+WHERE around IS NULL OR 100 * around < 50 * a
+QUALIFY rank <= 2000
+"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -175,6 +214,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_phrase_collocations": op11_phrase_collocations,
 }
 
 ORACLE_SQL = {
@@ -182,4 +222,5 @@ ORACLE_SQL = {
     "op3_url_filters": OP3_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
+    "op11_phrase_collocations": OP11_SQL,
 }
