@@ -4,28 +4,35 @@ Counts lie in streams that are kept in two orders. In prefix order a word is fol
 pairs and triples that begin with it, so one pass in lockstep meets the count of every left part
 and the extensions to the right. In suffix order, the same pass over the words read backwards
 meets right parts and extensions to the left. Both streams, again in prefix order, are merged.
-No count is ever looked up in a table in memory: a pass remembers one word, one pair and the pair's
-longest extension.
+No count is looked up in a table in memory: a pass remembers one word, one pair and the pair's most
+frequent extension.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from carewise.llm.common import sliced
 from carewise.session import filter_computed, shuffle_tasks, stored
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PIECE_ENDS = "[.,;:!?\\n\\x0B\\f\\r]"
+PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
 NO_LANGUAGE = "und"
 LEAST_COUNT = 10
 INSIDE_PERCENT = 50
 PHRASES = 2000
 SCALE = 1_000_000
+SLICE_BYTES = 8 << 20
+ROWS = 100_000
+FILTER_BITS = 1 << 28
 # A word that begins more phrases than this lies in several slices of a stream.
 SLICE_ROWS = 20_000
 
@@ -33,43 +40,160 @@ ORDERED = "lang string, slice int, first string, second string, third string, n
 NOTED = "lang string, first string, second string, third string, a long, one long, two long, extended long"
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole rows, gathered or cut to about ``SLICE_BYTES`` of text."""
+    held, total = [], 0
+    for part in sliced(batches, most=SLICE_BYTES):
+        held.append(part)
+        total += part.column("text").nbytes
+        if total >= SLICE_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, total = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+@dataclass
+class Places:
+    """The words of some texts one after the other, as numbers; a new piece is a new number too."""
+
+    langs: pa.Array
+    words: pa.Array
+    lang: np.ndarray
+    word: np.ndarray
+    piece: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Places:
+        text = pc.ascii_lower(batch.column("text").cast(pa.large_string()))
+        text = pc.replace_substring(pc.replace_substring_regex(text, PIECE_ENDS, "\n"), "\t", " ")
+        pieces = pc.split_pattern(text, "\n")
+        words = pc.split_pattern(pc.list_flatten(pieces), " ")
+        piece, word = np.asarray(pc.list_parent_indices(words)), pc.list_flatten(words)
+        there = pc.greater(pc.binary_length(word), 0)
+        coded, langs = word.filter(there).dictionary_encode(), batch.column("lang").dictionary_encode()
+        piece = piece[np.asarray(there)]
+        lang = np.asarray(langs.indices, dtype=np.int64)[np.asarray(pc.list_parent_indices(pieces))[piece]]
+        return cls(langs.dictionary, coded.dictionary, lang, np.asarray(coded.indices, dtype=np.int64), piece)
+
+    def counted(self, at: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+        """The different sequences of ``width`` words that begin at some places, and how often."""
+        size = len(self.words)
+        numbers = [self.word[at + k] for k in range(width)]
+        if len(self.langs) * float(size) ** width < 2.0**62:
+            key = self.lang[at]
+            for number in numbers:
+                key = key * size + number
+            key, n = np.unique(key, return_counts=True)
+            found = []
+            for _ in range(width):
+                key, number = np.divmod(key, size)
+                found.insert(0, number)
+            found.insert(0, key)
+        else:
+            both, n = np.unique(np.stack([self.lang[at], *numbers], 1), axis=0, return_counts=True)
+            found = list(both.T)
+        for start in range(0, len(n), ROWS):
+            cut = slice(start, start + ROWS)
+            lang, *words = (pa.array(f[cut]) for f in found)
+            taken = [self.langs.take(lang)] + [self.words.take(w).cast(pa.string()) for w in words]
+            empty = [pa.nulls(len(lang), pa.string())] * (3 - width)
+            yield pa.RecordBatch.from_arrays([*taken, *empty, pa.array(n[cut].astype(np.int64))], ["lang", "first", "second", "third", "n"])
+
+    def pairs(self) -> np.ndarray:
+        return np.flatnonzero(self.piece[:-1] == self.piece[1:])
+
+    def pair_keys(self, at: np.ndarray) -> np.ndarray:
+        return pair_keys(self.langs, self.words, self.lang[at], self.word[at], self.word[at + 1])
+
+
+def pair_keys(langs: pa.Array, words: pa.Array, lang: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each pair, from keys of its words."""
+    def keys(of: pa.Array) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(x) for x in of.cast(pa.binary()).to_pylist()), np.uint64, len(of))
+
+    word = keys(words)
+    x = keys(langs)[lang] * np.uint64(0x9E3779B97F4A7C15) + word[first] * np.uint64(0xC2B2AE3D27D4EB4F) + word[second]
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(27))
+
+
+def _slots(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [((keys >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 32)]
+
+
+@dataclass
+class PairFilter:
+    """A Bloom filter of the pairs that are frequent enough. It only spares triples their count that
+    can't be frequent; what it lets through by mistake is counted like the others. It has 16 bits a
+    pair and at most ``FILTER_BITS``, beyond which more is let through."""
+
+    bits: int
+    table: np.ndarray
+
+    @classmethod
+    def learn(cls, pairs: DataFrame) -> PairFilter:
+        size = pairs.count()
+        bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * size).bit_length()))
+
+        def places(batches):
+            for batch in batches:
+                kinds = [batch.column(c).dictionary_encode() for c in ("lang", "first", "second")]
+                words = pa.concat_arrays([kinds[1].dictionary, kinds[2].dictionary])
+                lang, first, second = (np.asarray(k.indices, dtype=np.int64) for k in kinds)
+                keys = pair_keys(kinds[0].dictionary, words, lang, first, second + len(kinds[1].dictionary))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_slots(keys, bits)))], ["slot"])
+
+        slots = pairs.select("lang", "first", "second").mapInArrow(places, "slot long")
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))
+        rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("mask")).toPandas()  # at most bits / 64 rows
+        table = np.zeros(bits // 64, dtype=np.uint64)
+        table[rows["at"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+        return cls(bits, table)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), dtype=bool)
+        for slot in _slots(keys, self.bits):
+            found &= (self.table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) != 0
+        return found
+
+
 def count_streams(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """(lang, first, second, third, n) for words, pairs and triples with n >= ``least``; what is
     shorter has null in its last places. One more row per language, without words, has n of all.
 
-    Every place of a piece gives one row, the word and the two that follow it within the piece.
-    Only sums of these rows are shuffled; pairs and words are sums of them again, over the same
-    exchange.
+    Words and pairs are counted first. Triples are counted where both of their pairs may be
+    frequent, since a triple is never more frequent than its pairs. Sums are made per slice of text
+    before they are shuffled, so that a hot word or pair is one row per slice.
     """
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    pieces = docs.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), F.explode(F.split(text, PIECE_ENDS)).alias("piece"))
-    words = pieces.select("lang", F.split(F.btrim("piece", F.lit(" \t")), "[ \\t]+").alias("w"))
-    size = F.size("w")
-    zipped = F.arrays_zip(
-        F.col("w").alias("first"),
-        F.slice("w", 2, F.greatest(size - 1, F.lit(0))).alias("second"),
-        F.slice("w", 3, F.greatest(size - 2, F.lit(0))).alias("third"),
-    )
-    places = words.filter(F.col("w")[0] != "").select("lang", F.inline(zipped))
-    triples = places.groupBy("lang", "first", "second", "third").agg(F.count(F.lit(1)).alias("n"))
-    # Conditions stay above the sums, so that all four parts share one exchange.
-    pairs = triples.groupBy("lang", "first", "second").agg(F.sum("n").alias("n")).withColumn("third", F.lit(None).cast("string"))
-    parts = [
-        filter_computed(triples, F.col("third").isNotNull() & (F.col("n") >= least)),
-        filter_computed(pairs, F.col("second").isNotNull() & (F.col("n") >= least)),
-        filter_computed(_short(triples, "lang", "first"), F.col("n") >= least),
-        _short(triples, "lang"),
-    ]
-    columns = ("lang", "first", "second", "third", "n")
-    out = parts[0].select(*columns)
-    for part in parts[1:]:
-        out = out.unionByName(part.select(*columns))
-    return out
-
-
-def _short(counted: DataFrame, *keys: str) -> DataFrame:
-    summed = counted.groupBy(*keys).agg(F.sum("n").alias("n"))
-    return summed.withColumns({c: F.lit(None).cast("string") for c in ("first", "second", "third") if c not in keys})
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"))
+    kind = "lang string, first string, second string, third string, n long"
+
+    def short(batches):
+        for batch in _slices(batches):
+            places = Places.of(batch)
+            yield from places.counted(np.arange(len(places.word)), 1)
+            yield from places.counted(places.pairs(), 2)
+
+    summed = rows.mapInArrow(short, kind).drop("third").groupBy("lang", "first", "second").agg(F.sum("n").alias("n"))
+    # The conditions stay above the sums, so that both parts share one exchange.
+    kept = filter_computed(summed, F.col("n") >= least)
+    totals = filter_computed(summed, F.col("second").isNull()).groupBy("lang").agg(F.sum("n").alias("n"))
+    nothing = F.lit(None).cast("string")
+    totals = totals.select("lang", nothing.alias("first"), nothing.alias("second"), "n")
+    counted = stored(kept.unionByName(totals), "words-and-pairs")
+    pairs = PairFilter.learn(counted.filter("second IS NOT NULL"))
+
+    def long(batches):
+        for batch in _slices(batches):
+            places = Places.of(batch)
+            at = places.pairs()
+            at = at[pairs.holds(places.pair_keys(at))]
+            # Two such pairs in a row; both lie within one piece.
+            yield from places.counted(at[:-1][at[1:] == at[:-1] + 1], 3)
+
+    triples = rows.mapInArrow(long, kind).groupBy("lang", "first", "second", "third").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return counted.withColumn("third", nothing).select("lang", "first", "second", "third", "n").unionByName(triples)
 
 
 def _annotated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from carewise.llm import language_id, piece_lattice
 from carewise.llm.collocations import collocations
 from carewise.llm.common import read
+from carewise.llm.conversation_repair import repair_digest
 from carewise.llm.edit_embedding import fingerprint_classes
 from carewise.llm.exact_dedup import exact_duplicates
+from carewise.llm.lattice_dedup import near_vectors
 from carewise.llm.line_dedup import LineIndex
 from carewise.llm.ngram_join import similar_components
 from carewise.llm.packing import pack_documents
@@ -203,6 +205,28 @@ WHERE around IS NULL OR 100 * around < 50 * a
 QUALIFY rank <= 2000
 """
 
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digest(read(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+OP13_SQL = """
+WITH RECURSIVE usable AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+  ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9
+), counted AS (SELECT a AS vec_id, count(*) AS n_links FROM links GROUP BY a
+), reach AS (SELECT vec_id, vec_id AS other FROM embeddings UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id) USING (vec_id) LEFT JOIN counted USING (vec_id)
+"""
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_document_fingerprints": op2_document_fingerprints,
@@ -215,6 +239,8 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_near_dedup": op13_embedding_near_dedup,
 }
 
 ORACLE_SQL = {
@@ -223,4 +249,5 @@ ORACLE_SQL = {
     "op4_ngram_jaccard_join": OP4_SQL,
     "op9_exact_dedup": OP9_SQL,
     "op11_phrase_collocations": OP11_SQL,
+    "op13_embedding_near_dedup": OP13_SQL,
 }

@@ -16,13 +16,15 @@ COLUMNS = {
     "op8_sentencepiece": {"doc_id": "bigint", "n_pieces": "bigint", "round_trip": "boolean"},
     "op10_best_fit_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint",
                               "sequence_id": "bigint", "offset": "bigint"},
+    "op12_conversation_repair": {"conv_id": "bigint", "gaps": "bigint", "blank": "bigint", "duplicate": "bigint", "truncated": "bigint",
+                                 "illegal": "bigint", "cost": "bigint", "audit": "string", "repaired_sha256": "string"},
 }
 
 
 @pytest.fixture(scope="module")
 def engine():
     connection = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "embeddings"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return connection
 
@@ -47,6 +49,8 @@ def test_promised_columns(spark, name):
     if name == "op10_best_fit_packing":
         bins = found.select("sequence_id").distinct().count()
         assert bins <= 1 + -(-found.agg({"length": "sum"}).first()[0] // 2048)
+    elif name == "op12_conversation_repair":
+        assert found.count() == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
     else:
         assert found.count() == 1000
 
