@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from carewise.functions import rulebook as R
 from carewise.functions.cascade import first_match, found
 from carewise.functions.text import comparison_key, is_blank
+from carewise.operators.descent import FEATURE_UNIT, descend
 from carewise.operators.tfidf import TfidfSettings, fit_vocabulary, vector_rows, weigh
 from carewise.session import broadcast_if_small, stored
 
@@ -178,6 +179,16 @@ class KeywordModel:
         )
 
 
+def _whole_rows(docs: DataFrame, key: str, vectors: DataFrame, size: int) -> DataFrame:
+    """Training rows in whole units, stored; feature ``size`` is the intercept."""
+    x = F.round(F.col("weight") * FEATURE_UNIT).cast("long")
+    grouped = vectors.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("term_id", x.alias("x")))).alias("_terms"))
+    one = F.array(F.struct(F.lit(size).alias("term_id"), F.lit(FEATURE_UNIT).cast("long").alias("x")))
+    terms = F.concat(F.coalesce("_terms", F.array().cast("array<struct<term_id:int,x:bigint>>")), one)
+    rows = docs.join(grouped, key, "left").select(F.col("_label").cast("int").alias("label"), F.col("_weight").alias("weight"), terms.alias("_terms"))
+    return stored(rows.select("label", "weight", F.col("_terms.term_id").alias("at"), F.col("_terms.x").alias("x")), "training-rows")
+
+
 @dataclass(frozen=True)
 class IntentModel:
     """TF-IDF and multinomial logistic regression, kept as tables.
@@ -203,7 +214,10 @@ class IntentModel:
         c: float = INVERSE_REGULARISATION,
         max_iter: int = 1000,
         brand: str = R.DEFAULT_BRAND,
+        steps: int | None = None,
     ) -> IntentModel:
+        """Fit with the engine's solver, up to ``max_iter`` rounds, or, when ``steps`` is given, with
+        that many gradient steps on whole numbers, which give the same model on any partitioning."""
         settings = settings or TfidfSettings(max_features=CLASSIFIER_TERMS)
         classes = class_weights(training.filter(F.col(label).isNotNull()), label).orderBy("label")
         rows = classes.collect()  # the labels are part of the model
@@ -217,6 +231,10 @@ class IntentModel:
         )
         vocab = fit_vocabulary(docs, text, settings)
         size = vocab.count()
+        if steps is not None:
+            total = float(sum(r["n"] for r in rows))  # what balanced weights add up to
+            matrix = descend(_whole_rows(docs, key, weigh(docs, key, text, vocab, settings), size), size + 1, len(labels), total, 1.0 / (c * total), steps)
+            return cls._of(training.sparkSession, vocab, labels, matrix[:-1].tolist(), matrix[-1].tolist(), settings, brand)
         table = vector_rows(docs, key, weigh(docs, key, text, vocab, settings), size, ("_label", "_weight"))
         total = sum(r["n"] * r["weight"] for r in rows)
         fitted = LogisticRegression(
@@ -234,8 +252,12 @@ class IntentModel:
         if len(labels) == 2:  # one logit, for the second class
             matrix = [[0.0] * size, matrix[0]]
             intercepts = [0.0, intercepts[0]]
-        by_term = [(i, [float(row[i]) for row in matrix]) for i in range(size)]
-        coefficients = training.sparkSession.createDataFrame(by_term, "term_id int, coefficients array<double>")
+        by_term = [[float(row[i]) for row in matrix] for i in range(size)]
+        return cls._of(training.sparkSession, vocab, labels, by_term, intercepts, settings, brand)
+
+    @classmethod
+    def _of(cls, spark: SparkSession, vocab: DataFrame, labels, by_term, intercepts, settings: TfidfSettings, brand: str) -> IntentModel:
+        coefficients = spark.createDataFrame(list(enumerate(by_term)), "term_id int, coefficients array<double>")
         weights = stored(vocab.join(coefficients, "term_id").select("term", "term_id", "idf", "coefficients"), "weights")
         return cls(broadcast_if_small(weights)[0], labels, tuple(intercepts), settings, brand)
 

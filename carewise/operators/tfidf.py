@@ -55,15 +55,12 @@ def term_stats(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame
     )
 
 
-def term_counts(
-    docs: DataFrame, key: str, text: str, vocab: DataFrame, settings: TfidfSettings, tasks: int | None = None
-) -> DataFrame:
-    """(key, term_id, tf, idf) for the terms of ``docs`` that ``vocab`` holds.
+def document_terms(docs: DataFrame, key: str, text: str, settings: TfidfSettings, tasks: int | None = None) -> DataFrame:
+    """(key, term, tf) for every term of ``docs``.
 
     The texts are shuffled once by key; counting, and every later step per document, then
     runs where the document is. Spark sizes the tasks, unless their number is given for a
-    large table, whose texts grow many times when they are cut into terms. Terms are counted per
-    document before the vocabulary is joined, so a join by term moves no repeated terms.
+    large table, whose texts grow many times when they are cut into terms.
     """
     texts = docs.select(F.col(key), F.col(text).alias("_text"))
     placed = texts.repartition(F.col(key)) if tasks is None else texts.repartition(tasks, F.col(key))
@@ -71,8 +68,12 @@ def term_counts(
         F.col(key), tokens(F.col("_text"), settings.stop_words, settings.strip_accents).alias("_words")
     )
     terms = words.select(F.col(key), F.explode(ngrams(F.col("_words"), settings.low, settings.high)).alias("term"))
-    known = vocab.select("term", "term_id", "idf")
-    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).join(known, "term").drop("term")
+    return terms.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def stats_of(counts: DataFrame) -> DataFrame:
+    """The statistics of ``term_stats`` from counted documents; those of several tables add up."""
+    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
 def vocabulary(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame:
@@ -81,9 +82,12 @@ def vocabulary(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame
     Ties are cut by term, so the table does not depend on partitioning. It has
     ``max_features`` rows at most.
     """
-    stats = term_stats(docs, text, settings).filter(F.col("df") >= settings.min_df)
-    kept = stats.orderBy(F.col("cf").desc(), "term").limit(settings.max_features)
-    total = docs.agg(F.count(F.lit(1))).scalar()
+    return vocabulary_of(term_stats(docs, text, settings), docs.agg(F.count(F.lit(1))).scalar(), settings)
+
+
+def vocabulary_of(stats: DataFrame, total: Column, settings: TfidfSettings) -> DataFrame:
+    """The vocabulary of ``total`` documents with these statistics."""
+    kept = stats.filter(F.col("df") >= settings.min_df).orderBy(F.col("cf").desc(), "term").limit(settings.max_features)
     return kept.select(
         "term",
         (F.row_number().over(W.orderBy("term")) - 1).alias("term_id"),
@@ -98,7 +102,13 @@ def weigh(
     docs: DataFrame, key: str, text: str, vocab: DataFrame, settings: TfidfSettings, tasks: int | None = None
 ) -> DataFrame:
     """Unit-length vectors of ``docs`` over ``vocab``; terms outside it are ignored."""
-    counts = term_counts(docs, key, text, vocab, settings, tasks)
+    return weigh_counts(document_terms(docs, key, text, settings, tasks), key, vocab, settings)
+
+
+def weigh_counts(counts: DataFrame, key: str, vocab: DataFrame, settings: TfidfSettings) -> DataFrame:
+    """The same from counted documents. Terms are counted before the vocabulary is joined, so that a
+    join by term moves no repeated terms."""
+    counts = counts.join(vocab.select("term", "term_id", "idf"), "term").drop("term")
     tf = F.lit(1.0) + F.log(F.col("tf").cast("double")) if settings.sublinear_tf else F.col("tf").cast("double")
     raw = counts.select(F.col(key), "term_id", (tf * F.col("idf")).alias("_raw"))
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(W.partitionBy(key)))

@@ -161,11 +161,16 @@ class TrainingResult:
 
 
 def train_and_evaluate(
-    labelled: DataFrame, evaluation: DataFrame, path: str | None = None, max_iter: int = 1000, brand: str = R.DEFAULT_BRAND
+    labelled: DataFrame,
+    evaluation: DataFrame,
+    path: str | None = None,
+    max_iter: int = 1000,
+    brand: str = R.DEFAULT_BRAND,
+    steps: int | None = None,
 ) -> TrainingResult:
     """Train on what the evaluation set does not hold, then measure on it."""
     training = stored(disjoint_training(labelled, evaluation), "training")
-    model = IntentModel.fit(training, max_iter=max_iter, brand=brand)
+    model = IntentModel.fit(training, max_iter=max_iter, brand=brand, steps=steps)
     if path is not None:
         model.save(path)
     predicted = model.classify(evaluation, "conversation_id", "customer_message")

@@ -46,12 +46,14 @@ def start_scoring(
     Batches follow one another, so the tables of a search are replaced by those of the next.
     """
     if isinstance(index, ConversationIndex):
-        index = replace(index, scratch=f"{checkpoint.rstrip('/')}-scratch")
+        index = replace(index.laid_out(), scratch=f"{checkpoint.rstrip('/')}-scratch")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()  # classified and searched
-        score_and_audit(batch, model, index, **options).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            score_and_audit(batch, model, index, **options).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
 
     return (
         messages.writeStream.foreachBatch(write)

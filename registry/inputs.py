@@ -54,6 +54,9 @@ PHRASES = (
     "\u200daccident\ufe0f on the bridge tonight",
 )
 
+# Gradient steps of the registered classifier.
+TRAINING_STEPS = 30
+
 # Faults on scored records by fault number (key modulo 97): from, to, what changes.
 FAULTS = 97
 REPLY_FAULTS = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from carewise.functions import rulebook as R
 from carewise.functions.text import SPACES
+from registry import training_sql
 from registry.inputs import FAULTS, PHRASES, REPLY_FAULTS
 
 SEED = 42
@@ -642,6 +643,30 @@ def _taxonomy_rows() -> str:
     return f"taxonomy(intent, ord, description, keywords, default_escalation, priority) AS (VALUES {rows})"
 
 
+def _training_queries() -> dict[str, str]:
+    model = training_sql.trained(PHRASED, labelled("phrased"), balanced, terms)
+    predicted = training_sql.classified("phrased", "predicted", terms, rule_case(_m))
+    tested = training_sql.classified("chosen", "tested", terms, rule_case(_m))
+    classify = f"WITH {model}, {predicted} SELECT conversation_id, predicted_intent, intent_confidence FROM predicted"
+    return {
+        "train_classifier": f"""WITH {model}
+SELECT term, intent AS label, round(c, 3) AS coefficient FROM model JOIN classes USING (k) WHERE term <> ''""",
+        "train_eval_report": f"""WITH {model}, {tested},
+answers AS (SELECT intent AS truth, predicted_intent AS predicted FROM chosen JOIN tested USING (conversation_id)), {per_class()}
+SELECT (SELECT round(avg(CASE WHEN truth = predicted THEN CAST(1 AS DOUBLE) ELSE 0 END), 4) FROM answers) AS accuracy,
+       (SELECT round(avg(f1), 4) FROM per_class) AS macro_f1, (SELECT count(*) FROM training) AS train_size, (SELECT count(*) FROM chosen) AS test_size""",
+        "classify": classify,
+        "classifier_roundtrip": classify,
+        "class_distribution": f"""WITH {model}, {training_sql.shares('phrased', 'predicted', terms)}
+SELECT conversation_id, intent AS label, round(p, 4) AS probability FROM predicted JOIN classes USING (k)""",
+        "score_batch": f"""WITH {model}, {predicted}, {INDEX}, {ASKED}, {search('asked', 'hits')},
+classified AS (
+  SELECT conversation_id, l.customer_message, l.intent AS ground_truth_intent, l.escalation AS ground_truth_escalation, p.predicted_intent, p.intent_confidence
+  FROM labelled l JOIN predicted p USING (conversation_id)
+), {escalated('classified', 'decided')}, {replied('decided', 'hits', 'grounded')} {FLAT_SCORED} grounded""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     keyword_scored = f"""WITH {PHRASED}, {INDEX}, {ASKED}, {search('asked', 'hits')}, {labelled('phrased')},
 matched AS (SELECT *, {rule_case(_m)} AS rule FROM labelled),
@@ -739,4 +764,4 @@ SELECT priority, default_escalation, CAST(sum(coalesce(n, 0)) AS BIGINT) AS n, c
         "stream_audit_window": f"""WITH {EVENT_ITEMS}, {rollup_counts('items', 'window_start, window_end')},
 reports AS ({report('window_start, window_end')}) SELECT * FROM reports WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
         "audit_window": f"WITH {EVENT_ITEMS} {rollup('items', 'window_start, window_end')}",
-    }
+    } | _training_queries()

@@ -40,6 +40,7 @@ from carewise.sources import tables
 from carewise.streaming.monitor import audit_windows, start_monitor
 from carewise.streaming.scoring import read_scored_stream, start_scoring
 from registry import inputs
+from registry.inputs import TRAINING_STEPS
 
 SEED = 42
 Query = Callable[[SparkSession, str], DataFrame]
@@ -428,7 +429,7 @@ def _trained(application: str, sf_dir: str) -> jobs.TrainingResult:
     spark = SparkSession.active()
     labelled = label_conversations(inputs.phrased(spark, sf_dir))
     golden = label_conversations(jobs.build_golden(inputs.phrased(spark, sf_dir), 20, SEED).select("conversation_id", "customer_message"))
-    return jobs.train_and_evaluate(labelled, golden)
+    return jobs.train_and_evaluate(labelled, golden, steps=TRAINING_STEPS)
 
 
 def _training(spark: SparkSession, sf_dir: str) -> jobs.TrainingResult:
@@ -498,7 +499,7 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf_dir)
     messages = inputs.stream_messages(turns)
     path = new_folder(spark, "stream-scored")
-    index = _index(spark, sf_dir).materialised()
+    index = _index(spark, sf_dir).laid_out()
     start_scoring(messages, KeywordModel(), index, path, f"{path}-checkpoint").awaitTermination()
     return read_scored_stream(spark, path).select(
         "conversation_id", "predicted_intent", "intent_confidence", F.col("escalation.decision").alias("decision"),

@@ -22,7 +22,7 @@ def phrased(spark):
 
 @pytest.fixture(scope="module")
 def index(spark):
-    return ConversationIndex.fit(inputs.pairs(spark, SF)).materialised()
+    return ConversationIndex.fit(inputs.pairs(spark, SF)).laid_out()
 
 
 def test_golden_set(spark, phrased):

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,3 +107,31 @@ def test_topics(spark):
         mine = sorted((r for r in topics if r["cluster"] == name), key=lambda r: r["rank"])
         assert [r["rank"] for r in mine] == [1, 2, 3, 4]
         assert all(a["weight"] >= b["weight"] for a, b in zip(mine, mine[1:]))
+
+
+def test_steps_come_near_the_solver_and_repeat_exactly(spark, with_partitions):
+    """The same bits on any partitioning, and nearly the classes of the engine's own solver."""
+    rows = frame(spark, [(f"{text} {extra}", label) for extra in ("today", "again", "it was late", "") for text, label in TEXTS])
+    fitted = []
+    for partitions in (1, 7):
+        with_partitions(partitions)
+        model = intent.IntentModel.fit(rows.repartition(partitions), steps=60)
+        fitted.append((sorted(map(tuple, model.weights.select("term", F.col("coefficients").cast("string")).collect())), model.intercepts))
+    assert fitted[0] == fitted[1]
+    solved = intent.IntentModel.fit(rows)
+    stepped, exact = ({r["conversation_id"]: r["distribution"] for r in m.class_distribution(rows, "conversation_id", "customer_message").collect()} for m in (model, solved))
+    assert max(abs(stepped[i][label] - exact[i][label]) for i in exact for label in exact[i]) < 0.03
+
+
+def test_sums_leave_a_task_in_time(spark, monkeypatch):
+    """A task whose rows weigh a lot gives its sums away in several parts; nothing changes."""
+    from carewise.operators import descent
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame(
+        [(rng.randrange(3), rng.uniform(0.2, 4.0), sorted(rng.sample(range(20), 3)) + [20], [rng.randrange(10**6) for _ in range(3)] + [10**6]) for _ in range(200)],
+        "label int, weight double, at array<int>, x array<long>").repartition(2)
+    whole = descent.descend(rows, 21, 3, 200.0, 0.01, 5)
+    monkeypatch.setattr(descent, "MOST_WEIGHT", 3)
+    assert (descent.descend(rows, 21, 3, 200.0, 0.01, 5) == whole).all() and whole.any()
+    assert not descent.descend(rows.limit(0), 21, 3, 200.0, 0.01, 2).any()

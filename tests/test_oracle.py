@@ -13,7 +13,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 SQL = oracle.oracle_sql()
 QUERIES = spark_queries.QUERIES
 ONE_ROW = {"review_manifest", "audit_rollup", "judge_means", "accuracy", "macro_prf", "weighted_prf", "binary_prf",
-           "rater_agreement", "pearson", "spearman"}
+           "rater_agreement", "pearson", "spearman", "train_eval_report"}
 
 
 @pytest.fixture(scope="module")

@@ -3,10 +3,15 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from carewise.operators import retrieval as RT
+from carewise.operators import topk
 from carewise.operators.tfidf import TfidfSettings, term_stats, vocabulary
+from carewise.operators.topk import best_hits
 
 STOPS = ("i", "my", "in", "the", "on", "up", "us", "we", "will", "a", "to", "and", "of", "it", "is")
 
@@ -105,7 +110,7 @@ def test_search_equals_brute_force(spark, corpus, kind):
     settings = TfidfSettings(stop_words=STOPS, **{
         "small vocabulary": {"max_features": 40, "min_df": 2}, "raw counts": {"sublinear_tf": False}
     }.get(kind, {}))
-    options = {"groups": {"broadcast_limit": 5_000}, "no self": {"exclude_self": True}}.get(kind, {})
+    options = {"groups": {"group_queries": 7}, "no self": {"exclude_self": True}}.get(kind, {})
     index = RT.ConversationIndex.fit(conversations(spark, [(k, m, r) for k, (m, r) in docs.items()]), settings)
     hits = index.search(queries(spark, *asked.items()), top_k=4, threshold=0.15, **options)
     got = sorted((r["query_id"], r["rank"], r["conversation_id"], r["similarity_score"]) for r in hits.collect())
@@ -126,17 +131,71 @@ def test_search_does_not_depend_on_partitioning(spark, corpus, with_partitions,
     assert sorted((r["query_id"], r["rank"], r["conversation_id"]) for r in hits) == [e[:3] for e in brute_force(texts, asked, settings, 4, 0.15)]
 
 
-def test_scores_are_summed_where_the_document_is(spark, corpus):
-    """Between the posting join and the top-k cut there is no shuffle of pairs."""
+def test_saved_blocks_are_read_in_place(spark, corpus, tmp_path):
+    """The search of a saved index shuffles its queries, not its blocks, and is one join for all of them."""
     docs, asked = corpus
-    index = RT.ConversationIndex.fit(conversations(spark, [(k, m, r) for k, (m, r) in docs.items()]), TfidfSettings(stop_words=STOPS))
-    asked_terms = spark.createDataFrame([("q", 1, 0.5)], "query_id string, q_term int, q_weight double")
-    products = index._products(index.postings.repartition(8, "doc_id"), asked_terms)
-    plan = index._best(products, 3, 0.15, False)._jdf.queryExecution().executedPlan().toString()
-    cut = plan.index("WindowGroupLimit")
-    after_sums = plan[plan.index("HashAggregate(keys=[query_id"):]
-    between = after_sums[: after_sums.index("BroadcastHashJoin")]
-    assert "Exchange" not in between and "Partial" in plan[cut - 200: cut + 2000]
+    RT.ConversationIndex.fit(conversations(spark, [(k, m, r) for k, (m, r) in docs.items()]), TfidfSettings(stop_words=STOPS)).save(str(tmp_path))
+    index = RT.ConversationIndex.load(spark, str(tmp_path))
+    vectors = spark.createDataFrame([("q", 1, 0.6), ("q", 2, 0.8)], "query_id string, term_id int, weight double")
+    hits = best_hits(index.blocks, index.places, vectors, index.parts, 3, 0.15)
+    hits.collect()
+    plan = hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FlatMapCoGroupsInArrow") == 1
+    assert "Exchange" not in plan[plan.rindex("ExistingRDD"): plan.index("carewise_blocks")]
+
+
+def test_append_equals_a_fresh_fit(spark, corpus, tmp_path):
+    docs, asked = corpus
+    rows = [(k, m, r) for k, (m, r) in docs.items()]
+    settings = TfidfSettings(stop_words=STOPS, max_features=60)
+    RT.ConversationIndex.fit(conversations(spark, rows[:50]), settings).save(str(tmp_path / "first"))
+    # A row that is there already is left out, a second one with its key too.
+    more = RT.ConversationIndex.load(spark, str(tmp_path / "first")).append(conversations(spark, [*rows[45:], rows[60]]))
+    more.save(str(tmp_path / "second"))
+    grown, fresh = RT.ConversationIndex.load(spark, str(tmp_path / "second")), RT.ConversationIndex.fit(conversations(spark, rows), settings)
+
+    def content(index):
+        postings = index.postings.join(index.vocab, "term_id").select("doc_id", "term", "df", "cf", "n_docs", F.round("weight", 9).alias("weight"))
+        return sorted(map(tuple, postings.collect()))
+
+    assert content(grown) == content(fresh) and grown.corpus.count() == len(rows)
+    assert sorted(grown.search(queries(spark, *asked.items())).collect()) == sorted(fresh.search(queries(spark, *asked.items())).collect())
+
+
+def part_of(vectors):
+    """A part with the blocks of a matrix."""
+    lists = [(t, np.flatnonzero(vectors[:, t]), vectors[:, t]) for t in range(vectors.shape[1]) if vectors[:, t].any()]
+    return topk.Part(pa.table({
+        "term_id": [t for t, _, _ in lists], "documents": pa.array([d for _, d, _ in lists], pa.list_(pa.int32())),
+        "weights": pa.array([v[d] for _, d, v in lists], pa.list_(pa.float64())), "most": [v.max() for _, _, v in lists]}))
+
+
+@pytest.mark.parametrize(("top_k", "threshold"), [(1, 0.6), (3, 0.15), (3, 0.4), (5, 1e-6), (200, 0.3)])
+def test_bounds_skip_products_and_lose_nothing(top_k, threshold):
+    """A skewed vocabulary: frequent terms weigh little, as in text."""
+    rng = np.random.default_rng(top_k)
+    often = 1 / np.arange(1, 301) ** 0.7
+
+    def vectors(n, density):
+        x = (rng.random((n, 300)) < density * often * 5) * rng.uniform(0.5, 1.5, (n, 300)) / np.sqrt(often)
+        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+    documents, asked = vectors(500, 0.5), vectors(600, 0.15)
+    documents[100:150] = documents[7]
+    asked[5] = documents[7]
+    own = np.where(rng.random(600) < 0.3, rng.integers(0, 500, 600), -1)
+    terms = [np.flatnonzero(x) for x in asked]
+    rows = pa.table({"terms": pa.array(terms, pa.list_(pa.int32())), "weights": pa.array([x[t] for x, t in zip(asked, terms)], pa.list_(pa.float64()))})
+    q, d, s, products = topk.best_of_part(part_of(documents), rows, own, top_k, threshold)
+    scores = np.floor(asked @ documents.T * 1e9 + 0.5) / 1e9
+    scores[own >= 0, own[own >= 0]] = -1
+    expected = []
+    for i in range(600):
+        best = np.lexsort((np.arange(500), -scores[i]))[:top_k]
+        expected += [(i, int(j)) for j in best if scores[i, j] >= threshold]
+    assert list(zip(q.tolist(), d.tolist())) == expected and np.allclose(s, scores[q, d], atol=2e-9)
+    everything = int(((asked > 0).sum(0) * (documents > 0).sum(0)).sum())
+    assert products < everything * (0.9 if threshold > 0.1 else 1.01)
 
 
 def test_threshold_counts_the_rounded_score(spark, corpus):
