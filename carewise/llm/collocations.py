@@ -65,7 +65,9 @@ class Places:
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Places:
-        text = pc.ascii_lower(batch.column("text").cast(pa.large_string()))
+        text = batch.column("text").cast(pa.large_string())
+        # A copy, since pyarrow lower-cases slices of a column wrongly.
+        text = pc.ascii_lower(pa.concat_arrays([text, text.slice(0, 0)]))
         text = pc.replace_substring(pc.replace_substring_regex(text, PIECE_ENDS, "\n"), "\t", " ")
         pieces = pc.split_pattern(text, "\n")
         words = pc.split_pattern(pc.list_flatten(pieces), " ")

@@ -72,8 +72,11 @@ def test_phrases_as_by_hand(spark, with_partitions, partitions):
 
 def test_words_in_slices(spark, monkeypatch):
     monkeypatch.setattr(P, "SLICE_ROWS", 2)
+    monkeypatch.setattr(P, "SLICE_BYTES", 700)
+    monkeypatch.setattr(P, "ROWS", 7)
+    monkeypatch.setattr(P, "FILTER_BITS", 1 << 6)  # lets nearly all through
     rng = random.Random(4)
-    rows = [(" ".join(rng.choice(["a", "a", f"b{rng.randint(0, 9)}"]) for _ in range(80)), "en") for _ in range(30)]
+    rows = [(" ".join(rng.choice(["Ä", "a", f"ßB{rng.randint(0, 9)}"]) for _ in range(80)), "en") for _ in range(30)]
     assert phrases_of(docs_of(spark, rows), least=2) == plain_phrases(rows, 2, 50, 2000)
 
 
