@@ -17,6 +17,7 @@ an empty table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +40,11 @@ LEAST_COUNT = 3
 SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 
-WORD = re.compile(r"[^\W\d_]+")
+# Numbers that are no digits, such as fractions and Roman numerals, are no letters either.
+NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+# The hash range in which a share of texts is taken; fine enough for any number of them.
+RANGE = 1 << 40
 
 
 def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +109,18 @@ class LanguageFilters:
         return [(self.languages[b], float(s)) if n else (UNKNOWN, 0.0) for b, s, n in zip(best.tolist(), score.tolist(), counts.tolist())]
 
 
+def share_of(wanted: int, total: int) -> int:
+    """The part of RANGE that holds about ``wanted`` of ``total`` hashes; never nothing."""
+    return min(RANGE, max(1, -(-wanted * RANGE // max(total, 1))))
+
+
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", documents: int = LEARN_DOCUMENTS, slots: int = SLOTS, seed: int = 5) -> LanguageFilters:
     """Filters from about ``documents`` of the distinct labelled texts of ``docs``."""
     labelled = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull()
     )
     total = labelled.agg(F.approx_count_distinct(F.xxhash64("text", "lang"), 0.02)).first()[0]
-    share = int(min(1.0, documents / max(total, 1)) * 1_000_000)
-    sample = labelled.filter(F.pmod(F.xxhash64("text", "lang", F.lit(seed)), F.lit(1_000_000)) < share).dropDuplicates(["text", "lang"])
+    sample = labelled.filter(F.pmod(F.xxhash64("text", "lang", F.lit(seed)), F.lit(RANGE)) < share_of(documents, total)).dropDuplicates(["text", "lang"])
 
     def count(batches):
         for part in sliced(batches, most=SLICE_BYTES):
