@@ -26,6 +26,8 @@ from carewise.session import stored
 
 # The text model is fitted on about this many labelled documents, chosen by a hash of the id.
 FIT_ROWS = 20_000
+# The hash range in which that share is taken; fine enough for any number of documents.
+RANGE = 1 << 40
 FEATURES = (
     "log_words", "word_length", "distinct_words", "same_as_before", "commonest_word", "capitals", "digits", "marks", "odd_marks",
     "stops", "line_length", "distinct_lines", "capital_words", "long_words", "short_words", "marked_words",
@@ -87,8 +89,8 @@ def fit_text_model(features: DataFrame, labels: DataFrame, rows: int = FIT_ROWS,
     counts = {r["good"]: r["count"] for r in labelled.groupBy("good").count().collect()}
     if len(counts) < 2:
         return [0.0] * len(FEATURES), 0.0
-    share = min(1.0, rows / sum(counts.values()))
-    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    share = min(RANGE, max(1, -(-rows * RANGE // sum(counts.values()))))
+    chosen = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(RANGE)) < share)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(stored(chosen, "labelled"))
     fitted = LogisticRegression(featuresCol="x", labelCol="good", regParam=1e-4, maxIter=30).fit(vectors)
     return [float(c) for c in fitted.coefficients], float(fitted.intercept)
@@ -169,11 +171,13 @@ def quality(docs: DataFrame, labels: DataFrame, sites: DataFrame, text: str = "t
 
 
 def page_sites(pages: DataFrame) -> DataFrame:
-    """(doc_id, host, path) from page addresses that end in the number of a document."""
+    """(doc_id, host, path) from page addresses that end in the number of a document; A-Z of hosts
+    are lower-cased, so that a site is one site."""
     url = F.col("url")
+    host = F.translate(F.regexp_extract(url, r"://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rest = F.regexp_extract(url, r"://([^/?#]*)([^?#]*)", 2)
     return pages.select(
         F.regexp_extract(rest, r"/([0-9]+)(/|[.][a-z]+)?$", 1).try_cast("long").alias("doc_id"),
-        F.regexp_extract(url, r"://([^/?#]*)", 1).alias("host"),
+        host.alias("host"),
         F.regexp_extract(rest, r"^(/[^/]*/)", 1).alias("path"),
     ).filter(F.col("doc_id").isNotNull()).select("doc_id", "host", "path")
