@@ -38,6 +38,8 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api")
 TOKEN = re.compile(r"[A-Za-z0-9_+/=.\-]+|[^\s]", re.ASCII)
 KEYWORDS = ("passw", "secret", "token", "api", "key", "auth", "bearer", "credential")
 KEYWORD = re.compile("|".join(KEYWORDS), re.IGNORECASE)
+WHITE = " \t\n\r\x0b\x0c"
+NEXT_WORD = re.compile(rf"[{WHITE}]*[^{WHITE}]*")
 STANDS_OUT = re.compile(r"[0-9=:+/_\"']+")
 AROUND = 6  # words on either side of what stands out
 
@@ -173,15 +175,17 @@ def plain_stretch(text: str, order: int) -> tuple[int, int]:
 
 
 def _blank_after(text: str, at: int) -> int:
-    """The first blank or line feed behind a position."""
-    a, b = text.find(" ", at + 1), text.find("\n", at + 1)
-    found = [x for x in (a, b) if x >= 0]
-    return min(found) if found else len(text)
+    """The end of the word at a position, or of the next one where that is white space."""
+    return NEXT_WORD.match(text, at).end()
 
 
 def _blank_before(text: str, at: int) -> int:
-    """The place behind the last blank or line feed that lies before a position by two or more."""
-    return max(text.rfind(" ", 0, max(at - 1, 0)), text.rfind("\n", 0, max(at - 1, 0))) + 1
+    """The start of the word before a position, across any white space."""
+    while at and text[at - 1] in WHITE:
+        at -= 1
+    while at and text[at - 1] not in WHITE:
+        at -= 1
+    return at
 
 
 # ------------------------------------------------------------ the field
