@@ -199,13 +199,38 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("lead"), pa.array(cosine)], ["row", "lead", "cosine"])
 
 
+def _singles(batch: pa.RecordBatch, alone: np.ndarray, cosine: float) -> list[tuple[int, int, int, int]]:
+    """Links of blocks of one member each, all at once."""
+    rows, vectors = [], []
+    for side in ("left", "right"):
+        column = batch.column(side)
+        starts = np.cumsum(np.append(0, np.asarray(pa.compute.list_value_length(column))))[:-1][alone]
+        members = column.flatten().take(pa.array(starts))
+        rows.append(np.asarray(members.field("row")))
+        vectors.append({unit.shape[1]: (own, unit) for own, unit in zip(*units(members.field("v")))})
+    a, b = (np.asarray(batch.column(c))[alone] for c in ("a", "b"))
+    out: list[tuple[int, int, int, int]] = []
+    for length, (own, unit) in vectors[0].items():
+        if length in vectors[1]:
+            other, second = vectors[1][length]
+            both, i, j = np.intersect1d(own, other, return_indices=True)
+            hit = both[np.einsum("ij,ij->i", unit[i], second[j]) >= cosine]
+            for side in rows:
+                out += zip(a[hit].tolist(), b[hit].tolist(), side[hit].tolist(), [1] * len(hit))
+    return out
+
+
 def _compared(cosine: float):
     """Links between two blocks of members: per member how many, on both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for i in range(batch.num_rows):
+            if not batch.num_rows:
+                continue
+            sizes = [np.asarray(pa.compute.list_value_length(batch.column(side))) for side in ("left", "right")]
+            alone = (sizes[0] == 1) & (sizes[1] == 1)
+            out = _singles(batch, np.flatnonzero(alone), cosine)
+            for i in np.flatnonzero(~alone).tolist():
                 sides = []
                 for side in ("left", "right"):
                     block = batch.column(side)[i].values
