@@ -540,3 +540,99 @@ def test_near_copies_of_repeated_and_null_ids(spark):
     assert kept.columns == list(corpus_pipeline.COLUMNS)
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted(
         [(1, near), (2, alone), (3, other), (None, nulls[0]), (9, None), (9, None)], key=repr)
+
+
+# ------------------------------------------------------------ shares, numbers, hosts, white space
+
+def test_shares_of_any_number():
+    """A sample is never empty, however many texts there are."""
+    for total in (0, 1, 19_999, 20_001, 10**6, 2 * 10**10, 10**14):
+        share = L.share_of(20_000, total)
+        assert 1 <= share <= L.RANGE and (total <= 20_000) == (share == L.RANGE)
+        if 20_000 < total <= 10**10:
+            assert share / L.RANGE * total == pytest.approx(20_000, rel=1e-3)
+
+
+def test_numbers_are_no_letters(spark):
+    docs = spark.createDataFrame([(i, text, lang) for i, (text, lang) in enumerate([("the cat and the dog " * 9, "en"), ("der hund und die katze " * 9, "de")])], "doc_id long, text string, lang string")
+    filters = L.learn(docs)
+    asked = rows_of(spark, ["\u00bd \u00b2 \u2167 \u0f33", "12 _ 3", "\u00bdthe\u00b2 cat", "\u00aa"])
+    found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in L.identify(asked, filters).collect()}
+    assert found[0] == found[1] == ("und", 0.0) and found[2][0] == "en" and found[3][0] in ("en", "de")
+
+
+def test_identification_by_plain_sets(spark):
+    """The bit-sliced filters against sets of n-grams, in which nothing is a false positive."""
+    rows = [(i, t, lang) for lang, seed in (("aa", 1), ("bb", 2), ("cc", 3)) for i, t in enumerate(prose(seed, 25, words=60))]
+    docs = spark.createDataFrame([(n, t, lang) for n, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    filters = L.learn(docs)
+    sizes, counts = {}, {}
+    for _, t, lang in rows:
+        plain = " " + " ".join(L.WORD.findall(t.lower())) + " "
+        for i in range(len(plain) - 2):
+            counts[lang, plain[i:i + 3]] = counts.get((lang, plain[i:i + 3]), 0) + 1
+            sizes[lang] = sizes.get(lang, 0) + 1
+    highest = {}
+    for (lang, gram), n in counts.items():
+        if n >= L.LEAST_COUNT:
+            highest[gram] = max(highest.get(gram, 0), n / sizes[lang])
+    sets = {lang: {g for (own, g), n in counts.items() if own == lang and n >= L.LEAST_COUNT and n / sizes[lang] >= L.PART_OF_HIGHEST * highest[g]} for lang in sizes}
+    asked = [" ".join(t.split()[:12]) for t in prose(1, 20, words=60) + prose(2, 20, words=60) + prose(9, 20)]
+    for text, (lang, score) in zip(asked, filters.identify(asked)):
+        plain = " " + " ".join(L.WORD.findall(text.lower())) + " "
+        grams = [plain[i:i + 3] for i in range(len(plain) - 2)]
+        share = {name: sum(g in sets[name] for g in grams) / len(grams) for name in filters.languages}
+        total = sum(share.values())
+        if total:
+            assert share[lang] == pytest.approx(max(share.values()), abs=0.01) and score == pytest.approx(share[lang] / total, abs=0.02)
+
+
+def test_hosts_in_either_case_are_one_site(spark):
+    pages = spark.createDataFrame([(1, "http://Site.Example/a/7.html"), (2, "http://site.example/a/8")], "page_id long, url string")
+    assert {r["host"] for r in Q.page_sites(pages).collect()} == {"site.example"}
+
+
+def test_posteriors_by_plain_loops(spark):
+    """p_site and p_good from sums over the other documents of a path and a host."""
+    rng = random.Random(6)
+    docs = rows_of(spark, [*prose(4, 60), None, ""])
+    labels = spark.createDataFrame([(i, rng.randrange(2)) for i in range(50)], "doc_id long, quality int")
+    sites = spark.createDataFrame([(i, f"h{i % 3}", f"/p{i % 7}/") for i in range(55)], "doc_id long, host string, path string")
+    got = {r["doc_id"]: r for r in Q.quality(docs, labels, sites).collect()}
+    p = {i: r["p_text"] for i, r in got.items()}
+    overall = sum(p.values()) / len(p)
+
+    def strength(groups, mean_of):
+        n = [len(g) for g in groups.values()]
+        rates = {k: sum(p[i] for i in g) / len(g) for k, g in groups.items()}
+        noise = sum((p[i] - rates[k]) ** 2 for k, g in groups.items() for i in g) / (sum(n) - len(n))
+        between = sum(len(g) * (rates[k] - mean_of(k)) ** 2 for k, g in groups.items())
+        excess = (between - (len(n) - 1) * noise) / (sum(n) - sum(x * x for x in n) / sum(n))
+        spread = sum(len(g) * mean_of(k) * (1 - mean_of(k)) for k, g in groups.items()) / sum(n)
+        return 1e6 if excess <= 0 else min(1e6, max(1.0, spread / excess - 1))
+
+    hosts, paths = {}, {}
+    for i in range(55):
+        hosts.setdefault(f"h{i % 3}", []).append(i)
+        paths.setdefault((f"h{i % 3}", f"/p{i % 7}/"), []).append(i)
+    at_hosts = strength(hosts, lambda k: overall)
+    rate = {h: (sum(p[i] for i in g) + at_hosts * overall) / (len(g) + at_hosts) for h, g in hosts.items()}
+    at_paths = strength(paths, lambda k: rate[k[0]])
+    for i, r in got.items():
+        site = overall
+        if i < 55:
+            own_host, own_path = hosts[f"h{i % 3}"], paths[f"h{i % 3}", f"/p{i % 7}/"]
+            host = (sum(p[j] for j in own_host if j != i) + at_hosts * overall) / (len(own_host) - 1 + at_hosts)
+            site = (sum(p[j] for j in own_path if j != i) + at_paths * host) / (len(own_path) - 1 + at_paths)
+        odds = sum(s * np.log(x / (1 - x)) for s, x in ((1, p[i]), (1, site), (-1, overall)))
+        assert r["p_site"] == pytest.approx(site) and r["p_good"] == pytest.approx(1 / (1 + np.exp(-odds)))
+
+
+def test_stretches_reach_across_white_space():
+    """Any run of white space parts words, and a stretch has its words on both sides."""
+    for gap in (" " * 14, "\n\n \t", "\t" * 9, " \r\n" * 5):
+        text = gap.join(["plain"] * 9 + ["password", "Zk3vQ9w1Xy7Lm2"] + ["plain"] * 9)
+        (start, end), = C.stretches(text)
+        inside = text[start:end].split()
+        assert "password" in inside and "Zk3vQ9w1Xy7Lm2" in inside and len(inside) >= 2 + 2 * (C.AROUND - 1)
+        assert text[start:end] == text[start:end].strip()
