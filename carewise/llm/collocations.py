@@ -30,8 +30,8 @@ LEAST_COUNT = 10
 INSIDE_PERCENT = 50
 PHRASES = 2000
 SCALE = 1_000_000
-SLICE_BYTES = 8 << 20
-ROWS = 100_000
+SLICE_BYTES = 4 << 20
+ROWS = 1 << 15
 FILTER_BITS = 1 << 28
 # A word that begins more phrases than this lies in several slices of a stream.
 SLICE_ROWS = 20_000
@@ -43,12 +43,13 @@ NOTED = "lang string, first string, second string, third string, a long, one lon
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole rows, gathered or cut to about ``SLICE_BYTES`` of text."""
     held, total = [], 0
-    for part in sliced(batches, most=SLICE_BYTES):
+    for part in sliced(batches, most=SLICE_BYTES // 4):
         held.append(part)
         total += part.column("text").nbytes
         if total >= SLICE_BYTES:
             yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
             held, total = [], 0
+            pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
@@ -75,6 +76,7 @@ class Places:
         there = pc.greater(pc.binary_length(word), 0)
         coded, langs = word.filter(there).dictionary_encode(), batch.column("lang").dictionary_encode()
         piece = piece[np.asarray(there)]
+        del text, words, word, there
         lang = np.asarray(langs.indices, dtype=np.int64)[np.asarray(pc.list_parent_indices(pieces))[piece]]
         return cls(langs.dictionary, coded.dictionary, lang, np.asarray(coded.indices, dtype=np.int64), piece)
 
