@@ -30,6 +30,8 @@ LEAST_COUNT = 10
 INSIDE_PERCENT = 50
 PHRASES = 2000
 SCALE = 1_000_000
+# Parts in which the phrases of a language are ranked first.
+SHARES = 64
 SLICE_BYTES = 4 << 20
 ROWS = 1 << 15
 FILTER_BITS = 1 << 28
@@ -316,8 +318,13 @@ def collocations(docs: DataFrame, least: int = LEAST_COUNT, inside_percent: int
     )
     kept = filter_computed(candidates, F.col("around") * 100 < F.col("a") * inside_percent).drop("around")
     scored = kept.mapInArrow(_scored, "lang string, phrase string, a long, l long, r long, score long")
-    order = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("long"))
+    order = (F.col("score").desc(), F.col("a").desc(), F.col("phrase"))
+    if phrases is not None:
+        # The best of each share of a language first, so that a language's last task has few rows.
+        scored = scored.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES)))
+        among = F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))
+        scored = scored.withColumn("place", among).filter(F.col("place") <= phrases).drop("share", "place")
+    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long"))
     if phrases is not None:
         ranked = ranked.filter(F.col("rank") <= phrases)
     # One row per language.
