@@ -51,7 +51,7 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executors
-    # the shared inputs of the queries are built first, so that no query's time holds them
+    # the shared inputs of the queries are built first; their time counts in the total, in no query's
     start = time.perf_counter()
     inputs.pairs(spark, sf_dir)
     inputs.scored_table(spark, sf_dir)
@@ -63,7 +63,7 @@ def main() -> None:
         seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "headline_queries_total",
-        "value": round(sum(seconds.values()), 3),
+        "value": round(preparation + sum(seconds.values()), 3),
         "unit": "sec",
         "queries": seconds,
         "preparation": preparation,

@@ -13,9 +13,14 @@ from pyspark.sql import types as T
 
 from carewise.functions.rulebook import STOP_WORDS
 from carewise.functions.text import ngrams, tokens
+from carewise.operators.termcount import COUNT_SCHEMA, counter
 from carewise.session import broadcast_if_small, new_folder, stored
 
 
+# Terms that a summary keeps for each one that the vocabulary wants.
+SUMMARY_TERMS = 20
+
+
 @dataclass(frozen=True)
 class TfidfSettings:
     """What counts as a term and how terms are weighted."""
@@ -33,26 +38,64 @@ def document_text(message: Column, reply: Column) -> Column:
     return F.concat(F.coalesce(message, F.lit("")), F.lit(" "), F.coalesce(reply, F.lit("")))
 
 
+def _counted(docs: DataFrame, text: str, settings: TfidfSettings, capacity: int | None = None) -> DataFrame:
+    words = docs.select(tokens(F.col(text), (), settings.strip_accents).alias("words"))
+    return words.mapInArrow(counter(settings.low, settings.high, tuple(settings.stop_words), capacity), COUNT_SCHEMA)
+
+
+def _added_up(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def term_stats(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame:
     """Document frequency and corpus frequency per term.
 
-    Within a document the terms are sorted, so the first of equal ones counts the document.
-    Only sums per term are shuffled, neither texts nor (document, term) pairs.
+    Words are found by the engine and counted batch by batch; only sums per term are shuffled,
+    neither texts nor (document, term) pairs.
     """
-    words = docs.select(tokens(F.col(text), settings.stop_words, settings.strip_accents).alias("_words"))
-    ordered = words.select(F.sort_array(ngrams(F.col("_words"), settings.low, settings.high)).alias("_terms"))
-    before = F.concat(
-        F.array(F.lit(None).cast("string")), F.slice("_terms", 1, F.greatest(F.size("_terms") - 1, F.lit(0)))
-    )
-    neighbours = ordered.select(F.inline(F.arrays_zip(F.col("_terms").alias("term"), before.alias("before"))))
-    return (
-        neighbours.filter(F.col("term").isNotNull())
-        .groupBy("term")
-        .agg(
-            F.count(F.when(~F.col("term").eqNullSafe(F.col("before")), 1)).alias("df"),
-            F.count(F.lit(1)).alias("cf"),
-        )
-    )
+    return _added_up(_counted(docs, text, settings))
+
+
+@dataclass(frozen=True)
+class FrequentTerms:
+    """Statistics in which the most frequent terms are exact, and how that is known.
+
+    ``error`` bounds what the summaries can have missed of any term, ``least`` is the smallest count
+    that is certain for the wanted number of terms, ``candidates`` how many terms may reach it.
+    ``certified`` says that no other term can; if not, all terms were counted.
+    """
+
+    stats: DataFrame
+    error: int
+    least: int
+    candidates: int | None
+    certified: bool
+
+
+def frequent_terms(docs: DataFrame, text: str, settings: TfidfSettings, capacity: int | None = None) -> FrequentTerms:
+    """The statistics of at least the ``max_features`` most frequent terms.
+
+    Every task sums up its documents in a summary of ``capacity`` terms, so that no more than that leaves
+    it however many different terms there are. If no task had to drop a term, these sums are exact.
+    Otherwise the terms that may be among the most frequent ones are counted again, exactly.
+    """
+    capacity = capacity or SUMMARY_TERMS * settings.max_features
+    summed = _counted(docs, text, settings, capacity).groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.sum("error").alias("error"))
+    summary = stored(summed, "term-summary")
+    error = summary.agg(F.coalesce(F.sum("error"), F.lit(0)).alias("e")).first()["e"]
+    terms = summary.filter("term IS NOT NULL").select("term", "df", "cf")
+    if not error:
+        return FrequentTerms(terms, 0, 0, None, True)
+    sure = terms.filter(F.col("df") >= settings.min_df).orderBy(F.col("cf").desc()).limit(settings.max_features)
+    row = sure.agg(F.count(F.lit(1)).alias("n"), F.min("cf").alias("least")).first()
+    least = row["least"] if row["n"] == settings.max_features else 0
+    if least <= error:
+        return FrequentTerms(term_stats(docs, text, settings), error, least, None, False)
+    able = stored(terms.filter(F.col("cf") + error >= least).select("term"), "candidates")
+    wanted, _ = broadcast_if_small(able)
+    again = _added_up(_counted(docs, text, settings).join(wanted, "term", "left_semi"))
+    return FrequentTerms(again, error, least, able.count(), True)
 
 
 def document_terms(docs: DataFrame, key: str, text: str, settings: TfidfSettings, tasks: int | None = None) -> DataFrame:
@@ -82,7 +125,7 @@ def vocabulary(docs: DataFrame, text: str, settings: TfidfSettings) -> DataFrame
     Ties are cut by term, so the table does not depend on partitioning. It has
     ``max_features`` rows at most.
     """
-    return vocabulary_of(term_stats(docs, text, settings), docs.agg(F.count(F.lit(1))).scalar(), settings)
+    return vocabulary_of(frequent_terms(docs, text, settings).stats, docs.agg(F.count(F.lit(1))).scalar(), settings)
 
 
 def vocabulary_of(stats: DataFrame, total: Column, settings: TfidfSettings) -> DataFrame:

@@ -48,3 +48,9 @@ SCORED = T.StructType([
     T.StructField("ground_truth_escalation", T.StringType()),
     T.StructField("expected_reply_keywords", T.StringType()),
 ])
+
+METRICS = T.StructType([
+    T.StructField("section", T.StringType()),
+    T.StructField("metric", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
-from carewise.sources.schemas import CONVERSATIONS, SCORED, TWEETS
+from carewise.sources.schemas import CONVERSATIONS, METRICS, SCORED, TWEETS
+from carewise.sources.splitcsv import scan_csv
 
 
 def _number(text: str) -> F.Column:
@@ -19,16 +20,14 @@ def read_tweets_csv(
     """Scan a tweet CSV by its column names; rows without a numeric id are skipped.
 
     All columns are read as text and cast, so nothing is inferred; others are not parsed.
-    Texts may span lines, for which a file must be read as a whole. Where none does, set
-    ``multi_line`` to False: large files are then split among the tasks.
+    Texts may span lines; large files are split among the tasks all the same. Where none does, set
+    ``multi_line`` to False, which saves the pass that counts quotes.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv(path)
-        .select(*TWEETS.fieldNames())
-    )
+    if multi_line:
+        raw = scan_csv(spark, path)
+    else:
+        raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    raw = raw.select(*TWEETS.fieldNames())
     return coerce_tweets(raw if max_rows is None else raw.limit(max_rows))
 
 
@@ -67,10 +66,9 @@ def write_conversations(conversations: DataFrame, path: str, fmt: str = "parquet
 
 
 def read_conversations(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    reader = spark.read.schema(CONVERSATIONS)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
-    return reader.format(fmt).load(path)
+        return scan_csv(spark, path, CONVERSATIONS)
+    return spark.read.schema(CONVERSATIONS).format(fmt).load(path)
 
 
 def write_scored(scored: DataFrame, path: str) -> None:
@@ -99,3 +97,8 @@ def review_manifest(scored: DataFrame, source: str = "Primary Agent") -> DataFra
 def write_metrics(metrics: DataFrame, path: str) -> None:
     """Long metric rows or report rows as JSON lines."""
     metrics.write.mode("overwrite").json(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Long metric rows as ``write_metrics`` leaves them."""
+    return spark.read.schema(METRICS).json(path)

@@ -731,6 +731,7 @@ substr(grounded_reply, 1, 75) || '...' AS grounded_reply, audit_score, judge_sco
         "pearson": f"WITH {RATED} {PEARSON}",
         "spearman": f"WITH {RATED} {SPEARMAN}",
         "metrics_summary": _metrics_summary(),
+        "metrics_roundtrip": _metrics_summary(),
         "sample_n": f"SELECT doc_id, lang, n_chars FROM documents ORDER BY {seeded('doc_id')}, doc_id LIMIT 250",
         "stratified_sample": f"WITH {balanced('documents', 501, 'lang', LANGUAGES, 'doc_id', False)} SELECT doc_id, lang FROM drawn",
         "balanced_sample": f"WITH {balanced('documents', 501, 'lang', LANGUAGES, 'doc_id')} SELECT doc_id, lang FROM chosen",

@@ -319,6 +319,13 @@ def metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.evaluate(inputs.scored_table(spark, sf_dir), _rated(spark, sf_dir), "audit_score", "judge_score")
 
 
+def metrics_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics written to their sink and read back."""
+    path = new_folder(spark, "metrics")
+    tables.write_metrics(metrics_summary(spark, sf_dir), path)
+    return tables.read_metrics(spark, path)
+
+
 # --- samples ---
 
 def sample_of_n(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,6 +570,7 @@ QUERIES: dict[str, Query] = {
     "pearson": pearson,
     "spearman": spearman,
     "metrics_summary": metrics_summary,
+    "metrics_roundtrip": metrics_roundtrip,
     "sample_n": sample_of_n,
     "stratified_sample": stratified,
     "balanced_sample": topped_up,

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from carewise.operators import retrieval as RT
 from carewise.operators import topk
-from carewise.operators.tfidf import TfidfSettings, term_stats, vocabulary
+from carewise.operators import termcount
+from carewise.operators.tfidf import TfidfSettings, frequent_terms, term_stats, vocabulary, vocabulary_of
 from carewise.operators.topk import best_hits
 
 STOPS = ("i", "my", "in", "the", "on", "up", "us", "we", "will", "a", "to", "and", "of", "it", "is")
@@ -213,3 +214,46 @@ def test_term_statistics(spark):
     vocab = {r["term"]: r for r in vocabulary(docs, "t", settings).collect()}
     assert sorted(vocab) == ["fare", "trip"] and vocab["trip"]["term_id"] == 1
     assert vocab["fare"]["idf"] == pytest.approx(math.log(4 / 2) + 1) and vocab["fare"]["n_docs"] == 3
+
+
+def plain_terms(texts, low, high, stops):
+    df, cf = Counter(), Counter()
+    for text in texts:
+        kept = [w for w in re.findall(r"\w\w+", (text or "").lower()) if w not in stops]
+        grams = Counter(" ".join(kept[i:i + n]) for n in range(low, high + 1) for i in range(len(kept) - n + 1))
+        cf.update(grams)
+        df.update(grams.keys())
+    return {t: (df[t], cf[t]) for t in cf}
+
+
+@pytest.mark.parametrize(("low", "high"), [(1, 1), (1, 2), (2, 3), (1, 4)])
+def test_counted_terms(spark, low, high, monkeypatch):
+    monkeypatch.setattr(termcount, "HELD_ROWS", 30)
+    rng = random.Random(high)
+    texts = [" ".join(rng.choices(["fare", "trip", "the", "of", "card", "bag", "x", "b\u00e4r"], k=rng.randint(0, 12))) for _ in range(60)] + [None, "", "the of", "fare"]
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").repartition(3)
+    settings = TfidfSettings(low=low, high=high, stop_words=("the", "of"), strip_accents=False)
+    got = {r["term"]: (r["df"], r["cf"]) for r in term_stats(docs, "t", settings).collect()}
+    assert got == plain_terms(texts, low, high, ("the", "of"))
+
+
+@pytest.mark.parametrize(("words", "capacity", "certified"), [(30, 500, True), (3000, 60, True), (3000, 4, False)])
+def test_summaries_miss_no_frequent_term(spark, monkeypatch, words, capacity, certified):
+    """Rare terms in great number: the summaries drop them, and the frequent ones are still exact."""
+    monkeypatch.setattr(termcount, "HELD_ROWS", 300)
+    rng = random.Random(words)
+    often = [f"often{i}" for i in range(20)]
+    texts = [" ".join(rng.choices(often, weights=range(1, 21), k=12) + [f"rare{rng.randrange(words)}" for _ in range(6 if certified else 60)]) for _ in range(400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        docs = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+        settings = TfidfSettings(high=1, stop_words=(), max_features=10, min_df=2)
+        found = frequent_terms(docs, "t", settings, capacity)
+        exact = vocabulary_of(term_stats(docs, "t", settings), F.lit(len(texts)), settings)
+        own = vocabulary_of(found.stats, F.lit(len(texts)), settings)
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, exact.collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found.certified == certified and (found.error > 0) == (words == 3000)
+    if found.error and certified:
+        assert 10 <= found.candidates < 200 and found.least > found.error
