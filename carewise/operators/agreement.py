@@ -11,7 +11,8 @@ from carewise.session import stored
 
 # Distinct values that one task ranks.
 RANGE_VALUES = 100_000
-# Scores count with this many decimals and are added as decimals, so that sums are exact.
+# Means and moments take scores with this many decimals and add them as decimals, so that sums are
+# exact; scores have to stay below 1e8. Ranks are those of the scores as they are.
 PLACES = 4
 COMPARISON_SNIPPET = 75
 
@@ -35,7 +36,7 @@ def _exact(score: str) -> Column:
 def score_pairs(rated: DataFrame, first: str, second: str) -> DataFrame:
     """(x, y, n): how many records have each pair of scores. All agreement follows from this table."""
     known = rated.filter(F.col(first).isNotNull() & F.col(second).isNotNull())
-    return known.groupBy(_exact(first).alias("x"), _exact(second).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return known.groupBy(F.col(first).cast("double").alias("x"), F.col(second).cast("double").alias("y")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _times(value: Column) -> Column:
@@ -45,11 +46,12 @@ def _times(value: Column) -> Column:
 
 def agreement_of(pairs: DataFrame, close: float = 0.5) -> DataFrame:
     """Sample size, both means, mean absolute difference and the share within ``close``."""
-    gap, size = F.abs(F.col("x") - F.col("y")), F.sum("n")
+    x, y, size = _exact("x"), _exact("y"), F.sum("n")
+    gap = F.abs(x - y)
     return pairs.agg(
         F.coalesce(size, F.lit(0)).alias("sample_size"),
-        F.round(F.try_divide(_times(F.col("x")), size), 2).alias("mean_first"),
-        F.round(F.try_divide(_times(F.col("y")), size), 2).alias("mean_second"),
+        F.round(F.try_divide(_times(x), size), 2).alias("mean_first"),
+        F.round(F.try_divide(_times(y), size), 2).alias("mean_second"),
         F.round(F.try_divide(_times(gap), size), 3).alias("mean_absolute_difference"),
         F.round(F.try_divide(F.sum(F.when(gap <= close, F.col("n")).otherwise(0)), size) * 100.0, 1).alias("agreement_percentage"),
     )
@@ -61,9 +63,9 @@ def rater_agreement(rated: DataFrame, first: str, second: str, close: float = 0.
 
 def pearson_of(pairs: DataFrame) -> DataFrame:
     """Pearson correlation, 3 places; null when a column is constant."""
-    x, y, size = F.col("x"), F.col("y"), F.sum("n")
+    x, y, size = _exact("x"), _exact("y"), F.sum("n")
     both, xx, yy = (_times(v) - _times(a) * _times(b) / size for v, a, b in ((x * y, x, y), (x * x, x, x), (y * y, y, y)))
-    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
     return pairs.agg(
         F.round(F.when(varies, F.try_divide(both, F.sqrt(xx) * F.sqrt(yy))), 3).alias("pearson"),
         F.coalesce(size, F.lit(0)).alias("sample_size"),

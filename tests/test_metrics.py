@@ -143,3 +143,14 @@ def test_strata_outside_the_classes_only_top_up(spark):
 def test_numbering(spark):
     got = [r["conversation_id"] for r in numbered(spark.range(12), "G_%03d", "id").orderBy("conversation_id").collect()]
     assert got[0] == "G_001" and got[-1] == "G_012"
+
+
+def test_ranks_of_close_scores(spark):
+    """Scores that differ in the tenth place have ranks of their own; sums take four places."""
+    rng = random.Random(12)
+    xs = [0.5 + rng.randrange(10**5) * 1e-10 for _ in range(300)]
+    ys = [x * x + rng.randrange(50) * 1e-10 for x in xs]
+    rated = spark.createDataFrame(list(zip(xs, ys)), "a double, b double").repartition(3)
+    exact = brute_spearman(xs, ys)
+    assert exact > 0.9 and agreement.spearman(rated, "a", "b").first()["spearman"] == pytest.approx(exact, abs=6e-4)
+    assert agreement.pearson(rated, "a", "b").first()["pearson"] is None  # constant with four places
