@@ -8,8 +8,8 @@ emptiest sequence away. Those with a gap give their emptiest sequences, to pools
 partitions that are packed again; a new packing is taken only if it saves a sequence. This
 repeats until the pools have merged.
 
-Tokens are looked up per different blank-separated word of a slice in a table of each task; words
-that are new to it are encoded by the tokenizer in bulk. The ids equal those of encoding the whole text.
+Tokens are looked up per blank-separated word in a table of each task; words that are new to it
+are encoded by the tokenizer in bulk. The ids equal those of encoding the whole text.
 
 Defined cases: a null or empty text is the end id alone; an empty table gives no rows; rows that
 repeat a doc_id are separate documents; other columns are not read.
@@ -22,6 +22,7 @@ import re
 import sys
 import types
 import zlib
+from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +38,22 @@ END_ID = 0
 PARTITION_SEQUENCES = 4096
 POOLED_SEQUENCES = 512
 POOLED_PARTITIONS = 8
-# What the words that a task remembers may take before it starts anew, and what a word takes
-# besides its letters and ids: entries and objects of two tables.
-REMEMBERED_BYTES = 96 << 20
-WORD_BYTES = 250
-SLICE_BYTES = 1 << 20
+# What the words that a task remembers may take before it starts anew, and what an entry takes
+# besides the word's letters and ids.
+REMEMBERED_BYTES = 144 << 20
+WORD_BYTES = 150
+SLICE_BYTES = 4 << 20
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 # ------------------------------------------------------------ tokens
 
+def _size(words: Collection[str]) -> int:
+    """What an entry per word takes at most: a letter has four bytes of ids at the most."""
+    return WORD_BYTES * len(words) + 5 * sum(map(len, words))
+
+
 class Words:
     """Token ids of texts through a table of words; ids are kept as little-endian 32-bit bytes.
 
@@ -71,42 +77,41 @@ class Words:
     def forget(self) -> None:
         self.chunks: dict[str, bytes] = {"": b""}
         self.simple: dict[str, bytes] = {"": b""}
-        self.held = 0
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each has.
+        self.held = self.simple_held = 0
 
-        Each different word is looked up once; its ids are then copied to its places.
-        """
+    def encode(self, texts: list[str]) -> list[bytes]:
         if self.held > REMEMBERED_BYTES:
-            self.forget()
-        plain = texts.cast(pa.large_string())
-        plain = pa.concat_arrays([plain, plain.slice(0, 0)])  # kernels get a column of its own, not a slice
-        words = pa.compute.split_pattern(pa.compute.replace_substring(plain, "\n", " "), " ")
-        coded = pa.compute.list_flatten(words).dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        self._learn({name for name in names if name not in self.chunks})
-        known = [self.chunks[name] for name in names]
-        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat, starts = np.frombuffer(b"".join(known), dtype="<u4"), np.cumsum(sizes) - sizes
-        codes = np.asarray(coded.indices)
-        per_word = sizes[codes]
-        ends = np.cumsum(per_word)
-        ids = flat[np.repeat(starts[codes] - (ends - per_word), per_word) + np.arange(ends[-1] if len(ends) else 0)]
-        lengths = np.asarray(pa.compute.list_value_length(words), dtype=np.int64)
-        return ids, np.add.reduceat(per_word, np.cumsum(lengths) - lengths)
+            # Most of a table are words with marks; the parts they are made of cost more to find out again.
+            self.chunks, self.held = {"": b""}, self.simple_held
+            if self.simple_held > REMEMBERED_BYTES // 2:
+                self.forget()
+        cut = [t.replace("\n", " ").split(" ") for t in texts]
+        new = set()
+        for words in cut:
+            new.update(words)
+        new.difference_update(self.chunks)
+        self._learn(new)
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
     def _learn(self, new: set[str]) -> None:
-        parts, other, plain = {}, [], set()
+        parts, other, plain = [], [], set()
+        match = self.SIMPLE.fullmatch
         for word in new:
-            match = self.SIMPLE.fullmatch(word)
-            if match:
-                parts[word] = pair = (match[1].lower(), match[2])
-                plain.update(pair)
+            found = match(word)
+            if found:
+                letters, marks = found.groups()
+                letters = letters.lower()
+                parts.append((word, letters, marks))
+                plain.add(letters)
+                plain.add(marks)
             else:
                 other.append(word)
         plain.difference_update(self.simple)
-        ordered = sorted(plain)
+        ordered = list(plain)
+        own = _size(ordered)
+        self.simple_held += own
+        self.held += own
         for i in range(0, len(ordered), 1000):
             block = ordered[i:i + 1000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -115,9 +120,10 @@ class Words:
                 self.simple.update(zip(block, (ids[a:b].tobytes() for a, b in zip([0, *stops], stops))))
             else:
                 self.simple.update(zip(block, self._singly(block)))
-        self.chunks.update((word, self.simple[a] + self.simple[b]) for word, (a, b) in parts.items())
+        simple = self.simple
+        self.chunks.update([(word, simple[letters] + simple[marks]) for word, letters, marks in parts])
         self.chunks.update(zip(other, self._singly(other)))
-        self.held += sum(WORD_BYTES + 2 * len(word) + len(self.chunks[word]) for word in new)
+        self.held += _size(new)
 
     def _singly(self, words: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -147,19 +153,19 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        end = np.array([end_id], dtype="<u4").tobytes()
         words = worker_words(tokenizer)
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int32())] * keep_ids
         try:
             for part in sliced(batches, most=SLICE_BYTES):
-                rows, at = [], 0
-                found, counts = words.encode(pa.compute.fill_null(part.column("text"), ""))
-                for doc_id, n in zip(part.column("doc_id").to_pylist(), counts.tolist()):
-                    ids = np.append(found[at:at + n], np.uint32(end_id))
-                    at += n
-                    for piece, start in enumerate(range(0, len(ids), capacity)):
-                        own = ids[start:start + capacity]
-                        row = (doc_id, piece, start, len(own), zlib.crc32(own.tobytes()))
-                        rows.append(row + (own.astype(np.int32),) if keep_ids else row)
+                rows = []
+                encoded = words.encode([t or "" for t in part.column("text").to_pylist()])
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded):
+                    ids += end
+                    for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                        own = ids[start:start + 4 * capacity]
+                        row = (doc_id, piece, start // 4, len(own) // 4, zlib.crc32(own))
+                        rows.append(row + (np.frombuffer(own, dtype="<u4").astype(np.int32),) if keep_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
         finally:
             words.forget()
