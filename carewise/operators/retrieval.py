@@ -92,8 +92,8 @@ class ConversationIndex:
         """The same index with its blocks as stored tables, for several searches in one session."""
         if self.blocks is not None:
             return self
-        parts = part_count(self.corpus.count(), shuffle_tasks(self.corpus.sparkSession))
         postings = stored(self.postings, "postings", self.scratch)
+        parts = part_count(self.corpus.count(), postings.count(), shuffle_tasks(self.corpus.sparkSession))
         blocks, places = blocks_of(postings, parts)
         return replace(
             self, postings=postings, parts=parts,

@@ -16,21 +16,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-# Documents of a part, queries of a group, and queries that share one table of scores.
-PART_DOCUMENTS = 4096
-GROUP_QUERIES = 8192
+# Most documents and postings of a part, most queries and terms of a group.
+PART_DOCUMENTS = 32_768
+PART_POSTINGS = 4_000_000
+GROUP_QUERIES = 65_536
+GROUP_TERMS = 2_000_000
+# Parts that an index has at least, if its size and the number of tasks allow.
+LEAST_PARTS = 24
+# Queries and terms that travel in one row.
+BUNDLE_QUERIES = 256
+BUNDLE_TERMS = 65_536
+# Queries that share one table of scores, documents of it, cells of the table of weights, and terms added at once.
 TILE = 256
+SLAB = 2048
+# Documents of the first slab of a part, which give the others a floor.
+FIRST_SLAB = 192
+DENSE_CELLS = 16_000_000
+ADDED_TERMS = 256
+# Terms that can't add more than this share of what a document must reach are looked up for few documents only.
+LEFT_SHARE = 0.15
 # Scores count with this many places, for the threshold as for the order.
 SCORE_PLACES = 9
-SLACK = 1e-7
+# Most that one product or sum of single precision is off, of values up to 1.
+SINGLE_ERROR = 1.2e-7
 
 BLOCK_SCHEMA = "part int, term_id int, documents array<int>, weights array<double>, most double"
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def part_count(documents: int, tasks: int) -> int:
-    return max(tasks, -(-documents // PART_DOCUMENTS))
+def part_count(documents: int, postings: int, tasks: int) -> int:
+    """Parts of an index. Their number grows with the documents only where parts would get too large: queries go to every part."""
+    return max(1, min(tasks, LEAST_PARTS), -(-documents // PART_DOCUMENTS), -(-postings // PART_POSTINGS))
 
 
 def part_of(parts: int):
@@ -55,16 +72,42 @@ class Part:
 
     def __init__(self, blocks: pa.Table):
         documents, weights = (blocks.column(c).combine_chunks() for c in ("documents", "weights"))
-        starts = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(documents), dtype=np.int64))])
+        self.sizes = np.asarray(pa.compute.list_value_length(documents), dtype=np.int64)
         self.documents, self.weights = np.asarray(documents.flatten()), np.asarray(weights.flatten())
-        self.starts, self.sizes = starts[:-1], np.diff(starts)
+        self.rows = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.most = np.asarray(blocks.column("most").combine_chunks())
         self.row_of = {t: i for i, t in enumerate(blocks.column("term_id").to_pylist())}
         self.size = int(self.documents.max()) + 1 if len(self.documents) else 0
 
-    def block(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        cut = slice(self.starts[row], self.starts[row] + self.sizes[row])
-        return self.documents[cut], self.weights[cut]
+
+class Slab:
+    """Some documents of a part: postings by block, and the longest blocks as rows of a table in single precision."""
+
+    def __init__(self, part: Part, first: int, end: int):
+        inside = (part.documents >= first) & (part.documents < end)
+        self.first, self.width = first, end - first
+        self.rows, self.documents, self.weights = part.rows[inside], part.documents[inside].astype(np.int64) - first, part.weights[inside]
+        self.keys = self.rows * self.width + self.documents  # ascending, as blocks list documents by number
+        self.sizes = np.bincount(self.rows, minlength=len(part.sizes))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        longest = np.argsort(-self.sizes, kind="stable")[:DENSE_CELLS // self.width]
+        self.place = np.full(len(part.sizes), -1)
+        self.place[longest] = np.arange(len(longest))
+        self.dense = np.zeros((len(longest), self.width), dtype=np.float32)
+        held = self.place[self.rows] >= 0
+        self.dense[self.place[self.rows[held]], self.documents[held]] = self.weights[held]
+
+    def exact(self, row: np.ndarray, document: np.ndarray) -> np.ndarray:
+        """The weights of terms in documents."""
+        keys = row * self.width + document
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.weights[at], 0.0)
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of some stretches one after the other, and which stretch each comes from."""
+    which = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes), which
 
 
 def _order(part: Part, owner: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -82,93 +125,110 @@ def _order(part: Part, owner: np.ndarray, row: np.ndarray, weight: np.ndarray) -
         return back - np.repeat(behind, np.diff(np.append(-1, ends)))
 
     length = np.sqrt(np.maximum(from_here(weight * weight), 0.0))
-    return owner, row, weight, np.minimum(from_here(weight * part.most[row]), length), length
+    return owner, row, weight, np.minimum(from_here(weight * part.most[row]), length)
+
 
+def _leading(query: np.ndarray, score: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places by query and falling score, and the rank of each within its query. Of equal scores the earlier one leads."""
+    order = np.lexsort((-score, query))
+    return order, np.arange(len(order)) - np.searchsorted(query[order], query[order])
 
-def best_of_tile(part: Part, owner: np.ndarray, row: np.ndarray, weight: np.ndarray, own: np.ndarray, top_k: int, threshold: float):
-    """(query, document, score) of the best documents of a part, and how many products it took.
 
-    ``own`` is the document a query must not find, or -1. Products of a query's short blocks are
-    summed up first, until the terms left can't reach the threshold alone: a document that none of
-    the short blocks holds is out. The others are out when their sum and what the left terms may add
-    stay below the threshold or below the k-th best sum so far. What they may add is at most their
-    bound, and the length of the query's left terms times the length that the document has left. Left
-    terms are looked up one after the other, only for documents that are still in.
+def best_of_tile(slab: Slab, owner, row, weight, bound, own: np.ndarray, floor: np.ndarray, top_k: int, threshold: float):
+    """(query, document, score) of the best documents of a slab, and how many products it took.
+
+    ``own`` is the document a query must not find, or a negative number; ``floor`` is what a document must
+    reach, the threshold or what the query has found elsewhere. A query's terms are added up in single precision for all documents of the slab, those of short
+    blocks first, until the terms left can add but a share of the floor. Documents stay in whose sum and what
+    the left terms may add reach the floor or the k-th best sum; only for these the left terms are looked up. What is
+    then among the best, give or take the error of single precision, gets its exact score.
     """
-    owner, row, weight, bound, length = _order(part, owner, row, weight)
     tile = len(own)
-    scores, spent = np.zeros((tile, part.size)), np.zeros((tile, part.size))
-    must = bound >= threshold - SLACK
-    products = int(part.sizes[row[must]].sum())
-    by_block = np.argsort(row[must], kind="stable")
-    q, r, w = owner[must][by_block], row[must][by_block], weight[must][by_block]
-    for at in _runs(r):
-        documents, weights = part.block(r[at][0])
-        cells = np.ix_(q[at], documents)
-        scores[cells] += np.outer(w[at], weights)
-        spent[cells] += weights * weights
-    banned = np.flatnonzero(own >= 0)
-    scores[banned, own[banned]] = -1.0
-    pair_q, pair_d = np.nonzero(scores > 0)
-    found, room = scores[pair_q, pair_d], np.maximum(1.0 - spent[pair_q, pair_d], 0.0)
-    floor = np.full(tile, threshold)
-    if part.size > top_k:
-        floor = np.maximum(floor, np.partition(scores, -top_k, axis=1)[:, -top_k])
-    left = np.flatnonzero(~must)
-    step = left - left[np.searchsorted(owner[left], owner[left])]  # the place among the left terms of its query
-    column = np.zeros(part.size)
-    for number in range(int(step.max()) + 2 if len(left) else 1):
-        now = left[step == number]
-        most, reach = np.zeros(tile), np.zeros(tile)
-        most[owner[now]], reach[owner[now]] = bound[now], length[now]
-        kept = found + np.minimum(most[pair_q], reach[pair_q] * np.sqrt(room)) >= floor[pair_q] - SLACK
-        pair_q, pair_d, found, room = pair_q[kept], pair_d[kept], found[kept], room[kept]
-        begins = np.searchsorted(pair_q, np.arange(tile + 1))
-        now = now[np.argsort(row[now], kind="stable")]
-        for at in _runs(row[now]):
-            documents, weights = part.block(row[now[at][0]])
-            column[documents] = weights
-            for i in now[at]:
-                cut = slice(begins[owner[i]], begins[owner[i] + 1])
-                met = column[pair_d[cut]]
-                found[cut] += weight[i] * met
-                room[cut] = np.maximum(room[cut] - met * met, 0.0)
-                products += cut.stop - cut.start
-            column[documents] = 0.0
-    rounded = np.floor(found * 10.0**SCORE_PLACES + 0.5) / 10.0**SCORE_PLACES
-    good = rounded >= threshold
-    pair_q, pair_d, rounded = pair_q[good], pair_d[good], rounded[good]
-    order = np.lexsort((pair_d, -rounded, pair_q))
-    pair_q, pair_d, rounded = pair_q[order], pair_d[order], rounded[order]
-    best = np.arange(len(pair_q)) - np.searchsorted(pair_q, pair_q) < top_k
-    return pair_q[best], pair_d[best], rounded[best], products
-
-
-def _runs(values: np.ndarray) -> list[slice]:
-    """The stretches of equal values."""
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]]).tolist() if len(values) else []
-    return [slice(a, b) for a, b in zip(cuts, cuts[1:])]
+    place = slab.place[row]
+    now = (bound >= LEFT_SHARE * floor[owner]) | (place < 0)
+    left = np.flatnonzero(~now)
+    rest = np.zeros(tile)
+    np.maximum.at(rest, owner[left], bound[left])
+    begins = np.searchsorted(owner, np.arange(tile + 1))
+    length = np.sqrt(np.bincount(owner, weight * weight, tile))
+    slack = SINGLE_ERROR * (np.diff(begins) + 4) * np.maximum(length, 1.0) + 10.0**-SCORE_PLACES
+
+    scores = np.zeros((tile, slab.width), dtype=np.float32)
+    near = np.flatnonzero(now & (place >= 0))
+    cuts, narrow = np.searchsorted(owner[near], np.arange(tile + 1)), weight[near].astype(np.float32)
+    for i in np.flatnonzero(np.diff(cuts)).tolist():
+        for a in range(cuts[i], cuts[i + 1], ADDED_TERMS):
+            b = min(a + ADDED_TERMS, cuts[i + 1])
+            scores[i] += narrow[a:b] @ slab.dense.take(place[near[a:b]], axis=0)
+    short = np.flatnonzero(place < 0)
+    at, which = _spread(slab.starts[row[short]], slab.sizes[row[short]])
+    np.add.at(scores.reshape(-1), owner[short][which] * slab.width + slab.documents[at], (weight[short][which] * slab.weights[at]).astype(np.float32))
+    products = int(slab.sizes[row[now]].sum())
+
+    banned = np.flatnonzero((own >= slab.first) & (own < slab.first + slab.width))
+    scores[banned, own[banned] - slab.first] = -1.0
+    if slab.width > top_k:
+        # Where an earlier slab has raised the floor, that is enough.
+        new = np.flatnonzero(floor <= threshold)
+        floor[new] = np.maximum(floor[new], np.partition(scores[new], -top_k, axis=1)[:, -top_k])
+    least = np.maximum(floor - rest - slack, np.finfo(np.float32).tiny).astype(np.float32)
+    cells = np.flatnonzero(scores >= least[:, None])
+    query, document = cells // slab.width, cells % slab.width
+    found = scores.reshape(-1)[cells].astype(np.float64)
+
+    behind = np.searchsorted(owner[left], np.arange(tile + 1))
+    at, which = _spread(behind[query], behind[query + 1] - behind[query])
+    added = slab.dense[place[left[at]], document[which]]
+    found += np.bincount(which, weight[left[at]] * added, len(found))
+    products += int(np.count_nonzero(added))
+    order, rank = _leading(query, found, top_k)
+    last = order[rank == top_k - 1]
+    floor[query[last]] = np.maximum(floor[query[last]], found[last] - slack[query[last]])
+    kept = found >= floor[query] - slack[query]
+    query, document = query[kept], document[kept]
+
+    at, which = _spread(begins[query], begins[query + 1] - begins[query])
+    exact = np.bincount(which, weight[at] * slab.exact(row[at], document[which]), len(query))
+    products += len(at)
+    return query, document + slab.first, np.floor(exact * 10.0**SCORE_PLACES + 0.5) / 10.0**SCORE_PLACES, products
 
 
 def best_of_part(part: Part, queries: pa.Table, own: np.ndarray, top_k: int, threshold: float):
-    """The best documents of a part for a group of queries (terms, weights), tile by tile."""
+    """The best documents of a part for a group of queries (terms, weights), slab by slab and tile by tile.
+
+    What a query has found in one slab is what documents of the next must reach.
+    """
     terms, weights = (queries.column(c).combine_chunks() for c in ("terms", "weights"))
     sizes = np.asarray(pa.compute.list_value_length(terms), dtype=np.int64)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     row = np.fromiter((part.row_of.get(t, -1) for t in terms.flatten().to_pylist()), np.int64, len(owner))
-    weight = np.asarray(weights.flatten())
     known = row >= 0
-    owner, row, weight = owner[known], row[known], weight[known]
-    found, products = [], 0
-    for start in range(0, len(sizes), TILE):
-        a, b = np.searchsorted(owner, [start, start + TILE])
-        if a < b:
-            q, d, s, n = best_of_tile(part, owner[a:b] - start, row[a:b], weight[a:b], own[start:start + TILE], top_k, threshold)
-            found.append((q + start, d, s))
-            products += n
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), products
-    return *(np.concatenate(c) for c in zip(*found)), products
+    empty = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    if not known.any():
+        return *empty, 0
+    owner, row, weight, bound = _order(part, owner[known], row[known], np.asarray(weights.flatten())[known])
+    floor, found, products = np.full(len(sizes), float(threshold)), [], 0
+    cuts = [0, *range(min(FIRST_SLAB, SLAB), part.size, SLAB), part.size]
+    for first, end in zip(cuts, cuts[1:]):
+        slab = Slab(part, first, end)
+        parts = []
+        for start in range(0, len(sizes), TILE):
+            a, b = np.searchsorted(owner, [start, start + TILE])
+            if a < b:
+                cut = slice(start, start + TILE)
+                q, d, s, n = best_of_tile(slab, owner[a:b] - start, row[a:b], weight[a:b], bound[a:b], own[cut], floor[cut].copy(), top_k, threshold)
+                parts.append((q + start, d, s))
+                products += n
+        q, d, s = (np.concatenate(c) for c in zip(*parts))
+        order, rank = _leading(q, s, top_k)
+        kept = order[(rank < top_k) & (s[order] >= threshold)]
+        last = order[rank == top_k - 1]
+        floor[q[last]] = np.maximum(floor[q[last]], s[last])
+        found.append((q[kept], d[kept], s[kept]))
+    q, d, s = (np.concatenate(c) for c in zip(*found))
+    order, rank = _leading(q, s, top_k)
+    best = order[rank < top_k]
+    return q[best], d[best], s[best], products
 
 
 def best_hits(
@@ -183,35 +243,42 @@ def best_hits(
 ) -> DataFrame:
     """(query_id, doc_id, score): the best documents of every part for every query.
 
-    ``vectors`` has (query_id, term_id, weight). Parts stay where they are: the queries, a row each,
-    go to every part. Above ``group_queries`` queries, parts meet each group of queries in a task
-    of its own. A part has a bounded number of documents whatever they hold, so that a term or
+    ``vectors`` has (query_id, term_id, weight). Parts stay where they are: the queries, bundled in rows,
+    go to every part. Above ``group_queries`` queries, or so many terms, parts meet each group of queries
+    in a task of its own. A part has a bounded number of documents and postings, so that a term or
     query that everybody uses makes no task larger than the others.
     """
     kind = dict(vectors.dtypes)["query_id"]
     rows = vectors.groupBy("query_id").agg(F.collect_list("term_id").alias("terms"), F.collect_list("weight").alias("weights"))
-    groups = max(1, -(-vectors.agg(F.count_distinct("query_id").alias("n")).first()["n"] // group_queries))
-    asked = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    keys = ["part"]
+    size = vectors.agg(F.count_distinct("query_id").alias("queries"), F.count(F.lit(1)).alias("terms")).first()
+    groups = max(1, -(-size["queries"] // group_queries), -(-size["terms"] // GROUP_TERMS))
+    bundles = groups * max(1, -(-size["queries"] // (groups * BUNDLE_QUERIES)), -(-size["terms"] // (groups * BUNDLE_TERMS)))
+    own = [F.lit(-1).alias("own_part"), F.lit(-1).alias("own")]
     if exclude_self:
-        own = places.select(F.col("doc_id").alias("query_id"), F.col("part").alias("own_part"), "number")
-        asked = asked.join(own, (asked["query_id"] == own["query_id"]) & (asked["part"] == own["own_part"]), "left").select(
-            rows["query_id"], "terms", "weights", "part", F.coalesce("number", F.lit(-1)).alias("own"))
-    else:
-        asked = asked.withColumn("own", F.lit(-1))
+        placed = places.select(F.col("doc_id").alias("own_id"), F.col("part").alias("own_part"), F.col("number").alias("own"))
+        rows = rows.join(placed, rows["query_id"] == placed["own_id"], "left")
+        own = [F.coalesce("own_part", F.lit(-1)).alias("own_part"), F.coalesce("own", F.lit(-1)).alias("own")]
+    bundled = rows.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(bundles)).cast("int").alias("bundle")).agg(
+        F.collect_list(F.struct("query_id", "terms", "weights", *own)).alias("queries"))
+    asked = bundled.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    keys = ["part"]
     if groups > 1:
         keys = ["part", "cell"]
-        asked = asked.withColumn("cell", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+        asked = asked.withColumn("cell", F.pmod("bundle", F.lit(groups)))
         blocks = blocks.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = asked.select(*keys, "queries")
 
-    def meet(queries: pa.Table, own_blocks: pa.Table) -> pa.Table:
+    def meet(bundles: pa.Table, own_blocks: pa.Table) -> pa.Table:
+        queries = bundles.column("queries").combine_chunks().flatten()
         names = ["query_id", "part", "number", "score"]
-        if not queries.num_rows or not own_blocks.num_rows:
-            empty = [pa.array([], queries.schema.field("query_id").type), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.float64())]
+        if not len(queries) or not own_blocks.num_rows:
+            empty = [queries.field("query_id")[:0], pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.float64())]
             return pa.table(empty, names=names)
-        own = np.asarray(queries.column("own").combine_chunks(), dtype=np.int64)
-        q, d, s, _ = best_of_part(Part(own_blocks), queries, own, top_k, threshold)
-        return pa.table([queries.column("query_id").take(pa.array(q)), pa.array(np.full(len(q), own_blocks.column("part")[0].as_py()), pa.int32()),
+        number = own_blocks.column("part")[0].as_py()
+        own = np.where(np.asarray(queries.field("own_part")) == number, np.asarray(queries.field("own"), dtype=np.int64), -1)
+        table = pa.table([queries.field("terms"), queries.field("weights")], names=["terms", "weights"])
+        q, d, s, _ = best_of_part(Part(own_blocks), table, own, top_k, threshold)
+        return pa.table([queries.field("query_id").take(pa.array(q)), pa.array(np.full(len(q), number), pa.int32()),
                          pa.array(d, pa.int32()), pa.array(s)], names=names)
 
     met = asked.groupBy(*keys).cogroup(blocks.groupBy(*keys)).applyInArrow(meet, f"query_id {kind}, part int, number int, score double")

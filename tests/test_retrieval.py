@@ -199,6 +199,40 @@ def test_bounds_skip_products_and_lose_nothing(top_k, threshold):
     assert products < everything * (0.9 if threshold > 0.1 else 1.01)
 
 
+@pytest.mark.parametrize("cells", [0, 40 * 70, 10**6])
+def test_slabs_and_short_blocks_lose_nothing(monkeypatch, cells):
+    """A part of several slabs, whose blocks are rows of a table or lists; tied copies lie in different slabs."""
+    monkeypatch.setattr(topk, "SLAB", 70)
+    monkeypatch.setattr(topk, "DENSE_CELLS", cells)
+    monkeypatch.setattr(topk, "ADDED_TERMS", 4)
+    rng = np.random.default_rng(cells)
+    x = (rng.random((500, 90)) < 0.2) * rng.uniform(0.1, 1.0, (500, 90))
+    x[::9] = x[3]
+    x[20], x = 0.0, x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    own = np.where(rng.random(500) < 0.5, np.arange(500), -1)
+    terms = [np.flatnonzero(v) for v in x]
+    rows = pa.table({"terms": pa.array(terms, pa.list_(pa.int32())), "weights": pa.array([v[t] for v, t in zip(x, terms)], pa.list_(pa.float64()))})
+    q, d, s, _ = topk.best_of_part(part_of(x), rows, own, 3, 0.2)
+    scores = np.floor(x @ x.T * 1e9 + 0.5) / 1e9
+    scores[own >= 0, own[own >= 0]] = -1
+    ranked = [(i, int(j)) for i in range(500) for j in np.lexsort((np.arange(500), -scores[i]))[:3] if scores[i, j] >= 0.2]
+    assert list(zip(q.tolist(), d.tolist())) == ranked and len(ranked) > 1400
+
+
+def test_queries_travel_in_bundles(spark, corpus, monkeypatch):
+    """The rows that go to the parts are bundles, and the parts of an index don't grow with the number of tasks."""
+    docs, asked = corpus
+    assert topk.part_count(540_000, 42_000_000, 600) == topk.part_count(90_000, 7_000_000, 100) == topk.LEAST_PARTS
+    assert topk.part_count(10, 10**8, 4) == 25 and topk.part_count(0, 0, 200) >= 1
+    monkeypatch.setattr(topk, "BUNDLE_QUERIES", 3)
+    monkeypatch.setattr(topk, "GROUP_TERMS", 50)
+    index = RT.ConversationIndex.fit(conversations(spark, [(k, m, r) for k, (m, r) in docs.items()]), TfidfSettings(stop_words=STOPS))
+    hits = index.search(queries(spark, *asked.items()), top_k=4, exclude_self=True).collect()
+    texts = {k: f"{m} {r}" for k, (m, r) in docs.items()}
+    expected = brute_force(texts, asked, TfidfSettings(stop_words=STOPS), 4, 0.15, exclude_self=True)
+    assert sorted((r["query_id"], r["rank"], r["conversation_id"]) for r in hits) == [e[:3] for e in expected]
+
+
 def test_threshold_counts_the_rounded_score(spark, corpus):
     docs, asked = corpus
     index = RT.ConversationIndex.fit(conversations(spark, [("a", "fare", "trip"), ("b", "card", "bag")]), TfidfSettings(high=1, stop_words=()))
