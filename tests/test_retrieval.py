@@ -271,6 +271,20 @@ def test_counted_terms(spark, low, high, monkeypatch):
     assert got == plain_terms(texts, low, high, ("the", "of"))
 
 
+def test_long_texts_are_counted_in_pieces(monkeypatch):
+    """No more words than the bound are counted at once, but for a document that is longer alone."""
+    seen, count = [], termcount.count_terms
+    monkeypatch.setattr(termcount, "COUNTED_WORDS", 10)
+    monkeypatch.setattr(termcount, "count_terms", lambda words, *rest: seen.append(words) or count(words, *rest))
+    rng = random.Random(3)
+    texts = [rng.choices(["fare", "trip", "the", "card"], k=rng.choice([0, 3, 5, 25])) for _ in range(50)] + [None]
+    batches = [pa.record_batch({"words": pa.array(part, pa.list_(pa.string()))}) for part in (texts[:30], texts[30:])]
+    tables = [pa.Table.from_batches([b]) for b in termcount.counter(1, 2, ("the",), None)(iter(batches))]
+    got = {r["term"]: (r["df"], r["cf"]) for r in pa.concat_tables(tables).to_pylist()}
+    assert got == plain_terms([" ".join(t or ()) for t in texts], 1, 2, ("the",))
+    assert len(seen) > 20 and all(len(w) == 1 or len(w.flatten()) <= 10 for w in seen)
+
+
 @pytest.mark.parametrize(("words", "capacity", "certified"), [(30, 500, True), (3000, 60, True), (3000, 4, False)])
 def test_summaries_miss_no_frequent_term(spark, monkeypatch, words, capacity, certified):
     """Rare terms in great number: the summaries drop them, and the frequent ones are still exact."""
