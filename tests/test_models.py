@@ -1,10 +1,12 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from carewise.functions import rulebook as R
-from carewise.operators import intent
+from carewise.operators import descent, intent
 from carewise.operators.topics import discover_topics
 from carewise.operators.tfidf import TfidfSettings
 from carewise.plans import jobs
@@ -135,3 +137,26 @@ def test_sums_leave_a_task_in_time(spark, monkeypatch):
     monkeypatch.setattr(descent, "MOST_WEIGHT", 3)
     assert (descent.descend(rows, 21, 3, 200.0, 0.01, 5) == whole).all() and whole.any()
     assert not descent.descend(rows.limit(0), 21, 3, 200.0, 0.01, 2).any()
+
+
+@pytest.mark.parametrize("taken", [1, 7, 10**6])
+def test_gradient_sums_in_pieces(monkeypatch, taken):
+    """Rows are multiplied a bounded number of features at a time; the sums stay those of all rows."""
+    longest, errors = [], descent.errors
+    monkeypatch.setattr(descent, "TAKEN_FEATURES", taken)
+    monkeypatch.setattr(descent, "errors", lambda margins, *rest: longest.append(len(margins)) or errors(margins, *rest))
+    rng = np.random.default_rng(5)
+    at = [[*sorted(rng.choice(20, rng.integers(0, 6), replace=False).tolist()), 20] for _ in range(60)]
+    x = [rng.integers(1, 10**6, len(a)).tolist() for a in at]
+    label, weight = rng.integers(0, 3, 60), rng.uniform(0.5, 2, 60)
+    c = rng.integers(-10**9, 10**9, (21, 3))
+    batch = pa.record_batch({"label": pa.array(label, pa.int32()), "weight": weight, "at": pa.array(at, pa.list_(pa.int32())), "x": pa.array(x, pa.list_(pa.int64()))})
+    g = np.zeros(63, dtype=np.int64)
+    for part in descent._sums(c)(iter([batch, batch.slice(0, 0), batch.slice(40)])):
+        g[part.column("at").to_numpy()] += part.column("g").to_numpy()
+    dense = np.zeros((60, 21), dtype=np.int64)
+    for i in range(60):
+        dense[i, at[i]] = x[i]
+    dense, label, weight = (np.concatenate([v, v[40:]]) for v in (dense, label, weight))
+    assert np.array_equal(g.reshape(21, 3), dense.T @ errors(dense @ c, label, weight))
+    assert max(longest) <= max(1, taken)
