@@ -413,6 +413,29 @@ def test_n_best_as_by_enumeration(pieces, text):
         assert pieces.decode(np.frombuffer(ids, dtype="<u4").tolist()) == text.replace(S.MARK, " ")
 
 
+@pytest.mark.parametrize("best", [1, 3, 5])
+def test_parts_side_by_side_as_one_by_one(best, monkeypatch):
+    """All short parts of a batch are searched in one go, with the lists of single searches, ties included."""
+    pieces = S.Pieces(S.default_model(), best)
+    # few different scores, so that many segmentations are equally good
+    pieces.normal = {p: (float(len(p) // 2), i) for p, (_, i) in pieces.normal.items()}
+    pieces.starts |= pieces.normal
+    pieces._grow_tree()
+    rng = random.Random(4)
+    parts = ["".join(rng.choices("aehinorst\u00e9", k=rng.randint(2, 40))) for _ in range(800)] + ["a", "\U0001f600"]
+    alone = [pieces.search(p) for p in parts]
+    calls, search = [], S.Pieces.search
+    monkeypatch.setattr(S.Pieces, "search", lambda self, part: calls.append(part) or search(self, part))
+    assert pieces.search_all(parts) == alone
+    assert calls and all(len(p) == 1 or len(p) > S.SHORT_PART for p in calls)
+    texts = [" ".join(parts[i:i + 9]) for i in range(0, 90, 9)] + [""]
+    del calls[:]
+    together = pieces.encode_all(texts)
+    assert all(len(p) == 1 or len(p) > S.SHORT_PART for p in calls)
+    pieces.forget()
+    assert [pieces.encode(t) for t in texts] == together
+
+
 def test_pieces_round_trip(spark):
     texts = [None, "", *prose(9, 20), "é\u0001\ttab  ", "x" * 30_000, "▁"]
     rows = {r["doc_id"]: r for r in S.decode(S.encode(rows_of(spark, texts))).collect()}
