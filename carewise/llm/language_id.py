@@ -41,17 +41,26 @@ SLICE_BYTES = 1 << 20
 UNKNOWN = "und"
 
 # Numbers that are no digits, such as fractions and Roman numerals, are no letters either.
-NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{NUMBERS}]+")
+# A pattern that names them all would compare every character with each of them.
+NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(r"[^\W\d_]+")
 # The hash range in which a share of texts is taken; fine enough for any number of them.
 RANGE = 1 << 40
 
 
+def letter_runs(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    if not text.isascii():
+        for number in NUMBERS.intersection(text):
+            text = text.replace(number, " ")
+    return WORD.findall(text)
+
+
 def text_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n-grams of letters and word ends, and how many each text has."""
     plain = []
     for t in texts:
-        words = WORD.findall((t or "").lower())
+        words = letter_runs((t or "").lower())
         plain.append(f" {' '.join(words)} " if words else "")
     sizes = np.fromiter(map(len, plain), dtype=np.int64, count=len(plain))
     points = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)

@@ -4,6 +4,8 @@ import bisect
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -584,6 +586,24 @@ def test_numbers_are_no_letters(spark):
     assert found[0] == found[1] == ("und", 0.0) and found[2][0] == "en" and found[3][0] in ("en", "de")
 
 
+def test_letter_runs_in_the_time_of_a_plain_pattern():
+    every = "".join(f"a{chr(i)}b" for i in range(0x110000))
+    runs = [(k, "".join(g)) for k, g in itertools.groupby(every, str.isalpha)]
+    assert L.letter_runs(every) == [r for k, r in runs if k]
+    text = " ".join(prose(5, 2_000, words=40)) + " \u00e9"
+
+    def seconds(work):
+        taken = []
+        for _ in range(3):
+            start = time.perf_counter()
+            work()
+            taken.append(time.perf_counter() - start)
+        return min(taken)
+
+    plain = seconds(lambda: re.findall(r"[^\W\d_]+", text))
+    assert seconds(lambda: L.letter_runs(text)) < 4 * plain
+
+
 def test_identification_by_plain_sets(spark):
     """The bit-sliced filters against sets of n-grams, in which nothing is a false positive."""
     rows = [(i, t, lang) for lang, seed in (("aa", 1), ("bb", 2), ("cc", 3)) for i, t in enumerate(prose(seed, 25, words=60))]
