@@ -438,6 +438,13 @@ def test_parts_side_by_side_as_one_by_one(best, monkeypatch):
     assert [pieces.encode(t) for t in texts] == together
 
 
+def test_decoded_at_once_as_one_by_one(pieces):
+    found = [pieces.encode(t)[0][1] for t in ["", "the cat", " x\n\u00e9", "\U0001f600\ud800", ""]]
+    found.append(np.array([pieces.byte_ids[b] for b in S.MARK.encode() * 2], dtype="<u4").tobytes())
+    assert pieces.decode_all(found) == [pieces.decode(np.frombuffer(f, dtype="<u4").tolist()) for f in found]
+    assert pieces.decode_all([]) == [] and pieces.decode_all([b""]) == [""]
+
+
 def test_pieces_round_trip(spark):
     texts = [None, "", *prose(9, 20), "é\u0001\ttab  ", "x" * 30_000, "▁"]
     rows = {r["doc_id"]: r for r in S.decode(S.encode(rows_of(spark, texts))).collect()}
