@@ -168,6 +168,60 @@ def test_bounds_of_the_distance():
         assert E.least_distance(a, b) <= exact and E.distance_within(a, b, 99) == (exact, True)
 
 
+def test_distance_in_a_band():
+    rng = random.Random(21)
+    for _ in range(400):
+        a = "".join(rng.choices("abc ", k=rng.randint(0, 300)))
+        b = with_edits(a, rng.random() / 4, rng) if rng.random() < 0.8 else "".join(rng.choices("abc ", k=rng.randint(0, 300)))
+        exact, most = E.edit_distance(a, b), rng.randint(0, 60)
+        assert E.banded_distance(a, b, most) == min(exact, most + 1)
+        distance, known = E.distance_within(a, b, most)
+        assert distance == exact if known else most < distance <= exact
+
+
+def test_profiles_lose_no_link():
+    rng = random.Random(22)
+    texts = ["".join(rng.choices("ab c", k=rng.choice([0, 2, 30, 31, 32, 33, 500, 3000]))) for _ in range(30)] + ["a" * 700, "a" * 650]
+    texts += [with_edits(t, 0.05, rng) for t in texts]
+    opened = [E._opened(E.gram_profile(t)) for t in texts]
+    for text, own in zip(texts, opened):
+        shared = E._shared_most(own, opened)
+        for other, most in zip(texts, shared.tolist()):
+            assert E._bound(max(len(text), len(other)), abs(len(text) - len(other)), most) <= E.edit_distance(text, other)
+
+
+def test_pairs_of_a_band_are_few():
+    import pyarrow as pa
+
+    rng = random.Random(23)
+    texts = ["".join(rng.choices("abcdefghijkl mnopq", k=1000)) for _ in range(60)]
+    texts += [with_edits(t, 0.04, rng) for t in texts[:3]]
+    texts.sort(key=len)
+    n = len(texts)
+    columns = {
+        "band": [7] * n, "node": list(range(n)), "component": list(range(n)), "size": list(map(len, texts)), "least": [0] * n, "most": [1 << 40] * n,
+        "profile": list(map(E.gram_profile, texts)),
+    }
+    found = {p for b in E._open_pairs(iter([pa.RecordBatch.from_pydict(columns)]), 0.1) for p in zip(*(b.column(c).to_pylist() for c in "ab"))}
+    near = {(i, j) for i, j in itertools.combinations(range(n), 2) if E.edit_distance(texts[i], texts[j]) <= 0.1 * max(len(texts[i]), len(texts[j]))}
+    assert len(near) == 3 and near <= found and len(found) < 6
+
+
+def test_texts_packed_and_unpacked():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [3, 1, 2], "text": ["", "ä\0😀" * 900, "b"]})
+    assert pa.Table.from_batches(E._unpacked(E._packed([batch]))).to_pydict() == batch.to_pydict()
+
+
+def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
+    from carewise.session import FREE_SHUFFLES, stored
+
+    before = spark.conf.get(FREE_SHUFFLES)
+    kept = stored(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counts", str(tmp_path))
+    assert kept.count() == 7 and spark.conf.get(FREE_SHUFFLES) == before
+
+
 # ------------------------------------------------------------ URLs
 
 URLS = [
