@@ -492,6 +492,26 @@ def test_parts_side_by_side_as_one_by_one(best, monkeypatch):
     assert [pieces.encode(t) for t in texts] == together
 
 
+@pytest.mark.parametrize("best", [1, 2, 3, 5])
+def test_words_put_together_at_once(best):
+    """The scores of the n best and the ids of the best are those of the lists put together one by one."""
+    pieces = S.Pieces(S.default_model(), best)
+    rng = random.Random(8)
+    letters = "etaoin \n.,3-\u00e9\u4e16\U0001f600" + S.MARK
+    batches = [["", *["".join(rng.choices(letters, k=rng.choice([1, 2, 9, 60, 400]))) for _ in range(12)], "x" * 90] for _ in range(3)] + [["", ""], []]
+    calls = []
+    pieces.search_all = lambda parts, search=pieces.search_all: calls.append(len(parts)) or search(parts)
+    for texts in batches:
+        sizes, ids, scores = pieces.encode_best(texts)
+        assert not calls  # nothing is searched part by part in lists
+        alone = pieces.encode_all(texts)
+        del calls[:]
+        assert scores == [[s for s, _ in found] for found in alone]
+        assert ids.tobytes() == b"".join(found[0][1] for found in alone)
+        assert sizes.tolist() == [len(found[0][1]) // 4 for found in alone]
+        assert pieces.decode_flat(sizes, ids) == pieces.decode_all([found[0][1] for found in alone])
+
+
 def test_decoded_at_once_as_one_by_one(pieces):
     found = [pieces.encode(t)[0][1] for t in ["", "the cat", " x\n\u00e9", "\U0001f600\ud800", ""]]
     found.append(np.array([pieces.byte_ids[b] for b in S.MARK.encode() * 2], dtype="<u4").tobytes())
