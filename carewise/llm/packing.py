@@ -18,14 +18,13 @@ repeat a doc_id are separate documents; other columns are not read.
 from __future__ import annotations
 
 import json
-import re
 import sys
 import types
 import zlib
-from collections.abc import Collection
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,30 +37,38 @@ END_ID = 0
 PARTITION_SEQUENCES = 4096
 POOLED_SEQUENCES = 512
 POOLED_PARTITIONS = 8
-# What the words that a task remembers may take before it starts anew, and what an entry takes
-# besides the word's letters and ids.
-REMEMBERED_BYTES = 144 << 20
-WORD_BYTES = 150
+# What the words that a task remembers may take, letters and ids, before it starts anew.
+REMEMBERED_BYTES = 24 << 20
 SLICE_BYTES = 4 << 20
+# Words that the tokenizer gets as one text.
+JOINED_WORDS = 1000
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 # ------------------------------------------------------------ tokens
 
-def _size(words: Collection[str]) -> int:
-    """What an entry per word takes at most: a letter has four bytes of ids at the most."""
-    return WORD_BYTES * len(words) + 5 * sum(map(len, words))
+def _gathered(ids: np.ndarray, edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ids between the edges of the given numbers one behind the other, and their edges."""
+    sizes = edges[which + 1] - edges[which]
+    out = np.concatenate(([0], np.cumsum(sizes)))
+    kind = np.int32 if max(out[-1], len(ids)) < 1 << 31 else np.int64
+    places = np.repeat((edges[which] - out[:-1]).astype(kind), sizes)
+    places += np.arange(out[-1], dtype=kind)
+    return ids[places], out
 
 
 class Words:
-    """Token ids of texts through a table of words; ids are kept as little-endian 32-bit bytes.
+    """Token ids of texts through a table of words, which is an Arrow array beside the runs of ids.
 
     A text may be cut at blanks and line feeds, since no token and no normalisation crosses one.
     Words of plain letters and closing punctuation are cut again between the two, in lower case.
+    The different words of some texts are looked up at once.
     """
 
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|%*#]*)")
+    LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?|%*#"
+    SIMPLE = rf"\A(?P<letters>[{LETTERS}]+)(?P<marks>[{MARKS}]*)\z"
+    PART = rf"\A(?:[{LETTERS}]+|[{MARKS}]+)\z"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,59 +82,61 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.simple: dict[str, bytes] = {"": b""}
-        self.held = self.simple_held = 0
+        self.words = pa.array([""], pa.string())
+        self.ids = np.zeros(0, dtype="<u4")
+        # the ids of a word lie from its edge to the next
+        self.edges = np.zeros(2, dtype=np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.held > REMEMBERED_BYTES:
-            # Most of a table are words with marks; the parts they are made of cost more to find out again.
-            self.chunks, self.held = {"": b""}, self.simple_held
-            if self.simple_held > REMEMBERED_BYTES // 2:
-                self.forget()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set()
-        for words in cut:
-            new.update(words)
-        new.difference_update(self.chunks)
-        self._learn(new)
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
-
-    def _learn(self, new: set[str]) -> None:
-        parts, other, plain = [], [], set()
-        match = self.SIMPLE.fullmatch
-        for word in new:
-            found = match(word)
-            if found:
-                letters, marks = found.groups()
-                letters = letters.lower()
-                parts.append((word, letters, marks))
-                plain.add(letters)
-                plain.add(marks)
-            else:
-                other.append(word)
-        plain.difference_update(self.simple)
-        ordered = list(plain)
-        own = _size(ordered)
-        self.simple_held += own
-        self.held += own
-        for i in range(0, len(ordered), 1000):
-            block = ordered[i:i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
-            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        """The ids of every text as little-endian 32-bit bytes."""
+        if self.words.nbytes + self.ids.nbytes + self.edges.nbytes > REMEMBERED_BYTES:
+            self.forget()
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " "), " ")
+        found = cut.flatten().dictionary_encode()
+        ids, edges = _gathered(*self._of_words(found.dictionary), found.indices.to_numpy())
+        stops = (4 * edges[cut.offsets.to_numpy()]).tolist()
+        whole = ids.tobytes()
+        return [whole[a:b] for a, b in zip(stops, stops[1:])]
+
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words one behind the other, and their edges."""
+        simple = pc.extract_regex(words, self.SIMPLE)
+        letters = pc.coalesce(pc.utf8_lower(pc.struct_field(simple, "letters")), words)
+        marks = pc.coalesce(pc.struct_field(simple, "marks"), "")
+        parts = pa.concat_arrays([letters, marks]).dictionary_encode()
+        known = pc.index_in(parts.dictionary, value_set=self.words)
+        first = len(self.words)
+        self._learn(parts.dictionary.filter(known.is_null()))
+        places = known.fill_null(-1).to_numpy().astype(np.int64)
+        places[places < 0] = np.arange(first, len(self.words))
+        ids, edges = _gathered(self.ids, self.edges, places[parts.indices.to_numpy().reshape(2, -1).T.ravel()])
+        return ids, edges[::2]
+
+    def _learn(self, new: pa.Array) -> None:
+        simple = pc.match_substring_regex(new, self.PART)
+        joined, other = new.filter(simple), new.filter(pc.invert(simple))
+        ids, sizes = [self.ids], []
+        for i in range(0, len(joined), JOINED_WORDS):
+            block = joined.slice(i, JOINED_WORDS).to_pylist()
+            own = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[own]) + 1
             if len(stops) == len(block):
-                self.simple.update(zip(block, (ids[a:b].tobytes() for a, b in zip([0, *stops], stops))))
+                ids.append(own)
+                sizes.append(np.diff(stops, prepend=0))
             else:
-                self.simple.update(zip(block, self._singly(block)))
-        simple = self.simple
-        self.chunks.update([(word, simple[letters] + simple[marks]) for word, letters, marks in parts])
-        self.chunks.update(zip(other, self._singly(other)))
-        self.held += _size(new)
-
-    def _singly(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+                self._singly(block, ids, sizes)
+        self._singly(other.to_pylist(), ids, sizes)
+        edges = np.cumsum(np.concatenate([self.edges[-1:], *sizes]))
+        # in the order of the new words
+        learnt, runs = _gathered(np.concatenate(ids), edges, np.argsort(np.argsort(~simple.to_numpy(zero_copy_only=False), kind="stable")))
+        self.words = pa.concat_arrays([self.words, new])
+        self.ids = np.concatenate([self.ids, learnt])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + runs[1:]])
+
+    def _singly(self, words: list[str], ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids.append(np.array([i for own in found for i in own], dtype="<u4"))
+        sizes.append(np.array(list(map(len, found)), dtype=np.int64))
 
 
 def worker_words(path: str) -> Words:

@@ -537,6 +537,30 @@ def test_ids_are_those_of_whole_texts(spark):
     assert [got[i] for i in range(len(texts))] == [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
 
 
+def test_word_table_is_small_and_exact(monkeypatch):
+    """Words are kept in arrays, some 40 bytes each; ids stay those of whole texts when the table starts anew."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    rng = random.Random(12)
+    letters = "etaoinshrdlu\u00e9\u00dfÀÖ"
+    texts = [" ".join("".join(rng.choices(letters, k=9)) + rng.choice(["", ".", ",", "!?", "###"]) for _ in range(500)) for _ in range(120)]
+    words = P.Words(P.default_tokenizer())
+    before = pa.total_allocated_bytes()
+    tracemalloc.start()
+    words.encode(texts)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 60_000 * 80
+    monkeypatch.setattr(P, "REMEMBERED_BYTES", 2000)
+    whole = Tokenizer.from_file(P.default_tokenizer())
+    odd = ["", " ", "\n\n a", "J\u030c ab\u0301c. İx ÷a ÿ... ...", "a.b x1. .a a\u00adb <|endoftext|>!", "\x00 a\rb\tc d\u3000e", *texts[:2], *prose(13, 4)]
+    for some in (odd, [], odd[::-1], [""]):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in words.encode(some)] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def check_sequences(rows, capacity):
     sequences = {}
     for r in rows:
