@@ -207,6 +207,29 @@ def test_pairs_of_a_band_are_few():
     assert len(near) == 3 and near <= found and len(found) < 6
 
 
+def test_profiles_go_only_where_a_partner_is_near():
+    """Entries of a band that are near to none by size and distance to the head get no profile, and no pair is lost."""
+    import pyarrow as pa
+
+    rng = random.Random(29)
+    texts = ["".join(rng.choices("abc de", k=rng.choice([50, 53, 80, 200, 203, 400]))) for _ in range(40)]
+    texts += [with_edits(t, 0.04, rng) for t in texts[:12]] + ["x" * 30, "x" * 900]
+    rows = sorted((i % 40 % 3 if i < 52 else 4, len(t), i, t) for i, t in enumerate(texts))
+    numbers = [i for _, _, i, _ in rows]
+    columns = {"band": [b for b, *_ in rows], "node": numbers, "component": [i % 7 for i in numbers], "size": [n for _, n, *_ in rows],
+               "least": [10 * (i % 3) for i in numbers], "most": [10 * (i % 3) if i % 2 else 1 << 40 for i in numbers]}
+    profiles = {i: E.gram_profile(t) for _, _, i, t in rows}
+
+    def met(batch):
+        with_profile = batch.append_column("profile", pa.array([profiles[i] for i in batch.column("node").to_pylist()]))
+        return sorted(p for b in E._open_pairs(iter([with_profile.slice(0, 9), with_profile.slice(9)]), 0.1) for p in zip(*(b.column(c).to_pylist() for c in "ab")))
+
+    whole = pa.RecordBatch.from_pydict(columns)
+    kept = pa.Table.from_batches(list(E._with_partners(iter([whole.slice(0, 7), whole.slice(7)]), 0.1))).combine_chunks().to_batches()[0]
+    assert kept.schema.names == ["band", *E.ENTRY] and 0 < kept.num_rows < len(texts) - 1
+    assert met(kept) == met(whole) and met(whole)
+
+
 def test_stored_tables_leave_no_shuffle_files(spark, tmp_path):
     from carewise.session import FREE_SHUFFLES, stored
 
