@@ -528,6 +528,43 @@ def test_words_put_together_at_once(best):
         assert pieces.decode_flat(sizes, ids) == pieces.decode_all([found[0][1] for found in alone])
 
 
+@pytest.mark.parametrize("best", [1, 2, 3, 5])
+@pytest.mark.parametrize("tied", [False, True])
+def test_all_n_best_are_put_together_at_once(best, tied):
+    """The ids of the second best on too are those of the lists put together one by one, ties included."""
+    pieces = S.Pieces(S.default_model(), best)
+    if tied:
+        pieces.normal = {p: (float(len(p) // 2), i) for p, (_, i) in pieces.normal.items()}
+        pieces.starts |= pieces.normal
+        pieces._grow_tree()
+    rng = random.Random(14)
+    letters = "etaoin \n.,3-\u00e9\u4e16\U0001f600" + S.MARK
+    batches = [["", *["".join(rng.choices(letters, k=rng.choice([1, 2, 3, 9, 60, 400]))) for _ in range(40)], "x" * 90] for _ in range(3)] + [["", ""], []]
+    for texts in batches:
+        sizes, ids, scores = pieces.encode_lists(texts, best)
+        alone = pieces.encode_all(texts)
+        assert scores == [[s for s, _ in found] for found in alone]
+        assert [[n for n in own if n] for own in sizes.tolist()] == [[len(own) // 4 for _, own in found if own] for found in alone]
+        assert ids.tobytes() == b"".join(own for found in alone for _, own in found)
+
+
+def test_query_gives_every_segmentation(spark, tmp_path):
+    """The query's rows hold the n best segmentations, not the best one alone."""
+    from carewise.llm import queries
+
+    texts = [None, "", "a", *prose(15, 12), " x\n\u00e9", "\u2581 1", "aaaa aaaa"]
+    rows_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = S.Pieces(S.default_model(), S.BEST)
+    rows = {r["doc_id"]: r for r in queries.op8_sentencepiece(spark, str(tmp_path)).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        best, *others = [np.frombuffer(own, dtype="<u4").tolist() for _, own in pieces.encode(text or "")]
+        assert rows[i]["ids_sha256"] == hashlib.sha256(",".join(map(str, best)).encode()).hexdigest()
+        assert rows[i]["other_ids_sha256"] == hashlib.sha256(str(others).replace(" ", "").encode()).hexdigest()
+    got = {r["doc_id"]: r["other_ids"] for r in S.encode(rows_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [[np.frombuffer(own, dtype="<u4").tolist() for _, own in pieces.encode(t or "")[1:]] for t in texts]
+
+
 def test_decoded_at_once_as_one_by_one(pieces):
     found = [pieces.encode(t)[0][1] for t in ["", "the cat", " x\n\u00e9", "\U0001f600\ud800", ""]]
     found.append(np.array([pieces.byte_ids[b] for b in S.MARK.encode() * 2], dtype="<u4").tobytes())
