@@ -1,13 +1,14 @@
-"""The training of the classifier in SQL, step by step, and the queries that use its model."""
+"""The training of the classifier in SQL, up to the optimum or step by step, and the queries that use its model."""
 
 from __future__ import annotations
 
 from carewise.functions import rulebook as R
-from carewise.operators.descent import COEFFICIENT_UNIT, ERROR_UNIT, FEATURE_UNIT, RATE, TINY
+from carewise.operators.descent import COEFFICIENT_UNIT, ERROR_UNIT, FEATURE_UNIT, RATE, STEEPEST, TINY
 from carewise.operators.intent import CLASSIFIER_TERMS, INVERSE_REGULARISATION
 from registry.inputs import TRAINING_STEPS
 
 GOLDEN_SIZE = 20
+MOMENTUM = 0.9
 
 
 def number(value: float) -> str:
@@ -37,8 +38,8 @@ state_{n} AS MATERIALIZED (
 )"""
 
 
-def trained(phrased: str, labelled: str, balanced, terms, steps: int = TRAINING_STEPS) -> str:
-    """CTEs up to ``model`` (term, k, c); the intercept is the term without letters."""
+def _training(phrased: str, labelled: str, balanced, terms) -> str:
+    """CTEs up to ``train_raw``, the terms of the training texts."""
     golden = balanced("labelled", GOLDEN_SIZE, "intent", [i.name for i in R.taxonomy()], "conversation_id")
     return f"""{phrased}, {labelled}, {golden},
 training AS MATERIALIZED (
@@ -56,7 +57,12 @@ train_vocab AS MATERIALIZED (
   SELECT term, ln((1 + (SELECT count(*) FROM training)) / (1 + df)) + 1 AS idf
   FROM (SELECT term, count(*) AS df, sum(tf) AS cf FROM train_terms GROUP BY term ORDER BY cf DESC, term LIMIT {CLASSIFIER_TERMS})
 ),
-train_raw AS (SELECT conversation_id, term, (1 + ln(tf)) * idf AS raw FROM train_terms JOIN train_vocab USING (term)),
+train_raw AS (SELECT conversation_id, term, (1 + ln(tf)) * idf AS raw FROM train_terms JOIN train_vocab USING (term))"""
+
+
+def trained(phrased: str, labelled: str, balanced, terms, steps: int = TRAINING_STEPS) -> str:
+    """CTEs up to ``model`` (term, k, c); the intercept is the term without letters."""
+    return f"""{_training(phrased, labelled, balanced, terms)},
 train_x AS MATERIALIZED (
   SELECT conversation_id, term, CAST(round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY conversation_id)) * {number(FEATURE_UNIT)}) AS BIGINT) AS x FROM train_raw
   UNION ALL SELECT conversation_id, '', {FEATURE_UNIT} FROM training
@@ -67,6 +73,45 @@ state_0 AS MATERIALIZED (
 model AS MATERIALIZED (SELECT term, k, c / {number(COEFFICIENT_UNIT)} AS c FROM state_{steps})"""
 
 
+def fitted(phrased: str, labelled: str, balanced, terms) -> str:
+    """Recursive CTEs up to ``model`` (term, k, c) at the optimum, by steps with momentum until no slope is
+    above ``STEEPEST``. A term's steps go by a bound of its second derivatives."""
+    return f"""{_training(phrased, labelled, balanced, terms)},
+train_numbers AS MATERIALIZED (SELECT term, row_number() OVER (ORDER BY term) AS term_id FROM train_vocab UNION ALL SELECT '', 0),
+train_values AS MATERIALIZED (
+  SELECT row_id, term_id, x, sum(x) OVER (PARTITION BY row_id) AS length, label, weight
+  FROM (
+    SELECT conversation_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY conversation_id)) AS x FROM train_raw
+    UNION ALL SELECT conversation_id, '', 1 FROM training
+  )
+  JOIN train_numbers USING (term) JOIN (SELECT *, row_number() OVER (ORDER BY conversation_id) AS row_id FROM train_rows) USING (conversation_id)
+),
+train_bounds AS MATERIALIZED (
+  SELECT term_id, ridge, sum(weight * x * length) / (2 * any_value(total)) + ridge AS most
+  FROM (SELECT *, CASE WHEN term_id = 0 THEN 0 ELSE 1 / ({number(INVERSE_REGULARISATION)} * total) END AS ridge FROM train_values, train_total) GROUP BY term_id, ridge
+),
+optimum(term_id, k, c, ahead, steepest) USING KEY (term_id, k) AS (
+  SELECT term_id, k, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM train_bounds, classes
+  UNION
+  SELECT term_id, k, ahead - slope / most, ahead - slope / most + {number(MOMENTUM)} * (ahead - slope / most - c), max(abs(slope)) OVER ()
+  FROM (
+    SELECT o.*, most, g + ridge * ahead AS slope
+    FROM optimum o JOIN train_bounds USING (term_id) JOIN (
+      SELECT term_id, k, sum(x * error) / any_value(total) AS g
+      FROM train_values JOIN (
+        SELECT row_id, k, weight * (power / sum(power) OVER (PARTITION BY row_id) - CASE WHEN k = label THEN 1 ELSE 0 END) AS error
+        FROM (
+          SELECT *, exp(m - max(m) OVER (PARTITION BY row_id)) AS power
+          FROM (SELECT row_id, label, weight, k, sum(x * ahead) AS m FROM train_values JOIN optimum USING (term_id) GROUP BY ALL)
+        )
+      ) USING (row_id), train_total GROUP BY term_id, k
+    ) USING (term_id, k)
+    WHERE steepest > {number(STEEPEST)}
+  )
+),
+model AS MATERIALIZED (SELECT term, k, c FROM optimum JOIN train_numbers USING (term_id))"""
+
+
 def shares(source: str, name: str, terms) -> str:
     """(conversation_id, k, p) of the messages of ``source``."""
     return f"""{terms(source, 'conversation_id', 'customer_message', f'{name}_terms')},

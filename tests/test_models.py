@@ -125,6 +125,63 @@ def test_steps_come_near_the_solver_and_repeat_exactly(spark, with_partitions):
     assert max(abs(stepped[i][label] - exact[i][label]) for i in exact for label in exact[i]) < 0.03
 
 
+def test_optimum_leaves_no_slope_on_any_partitioning(spark, with_partitions):
+    """The whole training ends at the optimum: the loss over all rows, worked out densely, has no slope left."""
+    texts = [f"{text} {extra}" for extra in ("today", "again", "it was late", "") for text, _ in TEXTS]
+    rows = frame(spark, [(text, TEXTS[i % len(TEXTS)][1]) for i, text in enumerate(texts)])
+    fitted = []
+    for partitions in (1, 7):
+        with_partitions(partitions)
+        model = intent.IntentModel.fit(rows.repartition(partitions), optimum=True)
+        weights = model.weights.orderBy("term_id").collect()
+        fitted.append(np.array([r["coefficients"] for r in weights] + [list(model.intercepts)]))
+    assert np.abs(fitted[0] - fitted[1]).max() < 1e-9
+    c, size = fitted[0], len(weights)
+    x, labels, n = np.zeros((len(texts), size + 1)), [], rows.count()
+    x[:, size] = 1.0
+    ids = {r["conversation_id"]: i for i, r in enumerate(rows.collect())}
+    for r in intent.weigh(rows, "conversation_id", "customer_message", model.weights.select("term", "term_id", "idf"), model.settings).collect():
+        x[ids[r["conversation_id"]], r["term_id"]] = r["weight"]
+    labels = np.array([model.labels.index(r["intent"]) for r in rows.collect()])
+    weight = n / (len(model.labels) * np.bincount(labels)[labels])
+    share = np.exp(x @ c)
+    share /= share.sum(axis=1, keepdims=True)
+    share[np.arange(n), labels] -= 1.0
+    ridge = np.full((size + 1, 1), 1.0 / (intent.INVERSE_REGULARISATION * n))
+    ridge[-1] = 0.0
+    assert np.abs(x.T @ (weight[:, None] * share) / n + ridge * c).max() < 1e-11
+
+
+def test_registered_training_goes_on_to_the_optimum(spark, monkeypatch):
+    """The query's training is no fixed number of steps."""
+    from registry import spark_queries
+
+    calls = []
+    own = frame(spark, TEXTS * 2)
+    monkeypatch.setattr(spark_queries.inputs, "phrased", lambda *_: own.drop("intent"))
+    monkeypatch.setattr(spark_queries, "label_conversations", lambda rows: rows.join(own.select("conversation_id", "intent"), "conversation_id"))
+    monkeypatch.setattr(spark_queries.jobs, "build_golden", lambda rows, *_: rows.limit(1))
+    monkeypatch.setattr(intent, "minimise", lambda *a, solve=intent.minimise: calls.append(a) or solve(*a))
+    spark_queries._trained.cache_clear()
+    try:
+        rows = spark_queries.train_classifier(spark, "own rows")
+        assert rows.columns == ["term", "label", "coefficient"] and rows.count() > 0
+    finally:
+        spark_queries._trained.cache_clear()
+    assert len(calls) == 1 and calls[0][-1] == 1000  # rounds at most
+
+
+def test_rounds_that_do_not_suffice_warn():
+    scale = np.array([[1.0], [50.0]])
+
+    def bowl(c):
+        return float((scale * (c - 3) ** 2).sum() / 2 + (c ** 4).sum()), scale * (c - 3) + 4 * c ** 3
+
+    with pytest.warns(UserWarning, match="did not converge"):
+        descent.lbfgs(bowl, np.ones((2, 1)), 2)
+    assert np.abs(bowl(descent.lbfgs(bowl, np.ones((2, 1)), 100))[1]).max() <= descent.STEEPEST
+
+
 def test_sums_leave_a_task_in_time(spark, monkeypatch):
     """A task whose rows weigh a lot gives its sums away in several parts; nothing changes."""
     from carewise.operators import descent
