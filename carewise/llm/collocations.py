@@ -35,6 +35,8 @@ SHARES = 64
 SLICE_BYTES = 4 << 20
 ROWS = 1 << 15
 FILTER_BITS = 1 << 28
+# Words of 64 bits of the filter that come to the driver as one row.
+PART_MASKS = 1 << 14
 # A word that begins more phrases than this lies in several slices of a stream.
 SLICE_ROWS = 20_000
 
@@ -152,10 +154,19 @@ class PairFilter:
 
         slots = pairs.select("lang", "first", "second").mapInArrow(places, "slot long")
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("slot").bitwiseAND(63).cast("int"))
-        rows = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("mask")).toPandas()  # at most bits / 64 rows
-        table = np.zeros(bits // 64, dtype=np.uint64)
-        table[rows["at"].to_numpy(dtype=np.int64)] = rows["mask"].to_numpy(dtype=np.int64).view(np.uint64)
-        return cls(bits, table)
+        masks = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("mask"))
+
+        def packed(rows: pa.Table) -> pa.Table:
+            at, part = np.asarray(rows["at"]), np.zeros(PART_MASKS, dtype=np.int64)
+            part[at % PART_MASKS] = np.asarray(rows["mask"])
+            return pa.table({"part": pa.array([int(at[0]) // PART_MASKS]), "masks": pa.array([part.tobytes()], pa.binary())})
+
+        # The driver gets bytes, a task's parts at a time, never a row per mask.
+        grouped = masks.groupBy(F.expr(f"at div {PART_MASKS}").alias("part")).applyInArrow(packed, "part long, masks binary")
+        table = np.zeros(max(bits // 64, PART_MASKS), dtype=np.uint64)
+        for row in stored(grouped, "pair-filter").toLocalIterator():
+            table[row["part"] * PART_MASKS:][:PART_MASKS] = np.frombuffer(row["masks"], dtype=np.uint64)
+        return cls(bits, table[: bits // 64])
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         found = np.ones(len(keys), dtype=bool)

@@ -80,6 +80,28 @@ def test_words_in_slices(spark, monkeypatch):
     assert phrases_of(docs_of(spark, rows), least=2) == plain_phrases(rows, 2, 50, 2000)
 
 
+def test_filter_comes_to_the_driver_as_bytes(spark, monkeypatch, with_partitions):
+    """The driver gets a row for many words of the filter, which holds just the bits of its pairs."""
+    with_partitions(3)
+    monkeypatch.setattr(P, "PART_MASKS", 64)
+    rows = [("en" if i % 3 else "und", f"w{i % 70}", f"v{i // 70}") for i in range(5000)]
+    made, store = [], P.stored
+    monkeypatch.setattr(P, "stored", lambda df, *a: made.append(store(df, *a)) or made[-1])
+    monkeypatch.setattr("pyspark.sql.DataFrame.toPandas", lambda self: pytest.fail("rows of the filter go to the driver"))
+    found = P.PairFilter.learn(spark.createDataFrame(rows, "lang string, first string, second string").repartition(4))
+    assert [df.count() <= found.bits // 64 // 64 for df in made] == [True]
+    import pyarrow as pa
+
+    kinds = [pa.array(c).dictionary_encode() for c in zip(*rows)]
+    words = pa.concat_arrays([kinds[1].dictionary, kinds[2].dictionary])
+    lang, first, second = (np.asarray(k.indices, dtype=np.int64) for k in kinds)
+    keys = P.pair_keys(kinds[0].dictionary, words, lang, first, second + len(kinds[1].dictionary))
+    table = np.zeros(found.bits // 64, dtype=np.uint64)
+    for slot in P._slots(keys, found.bits):
+        np.bitwise_or.at(table, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+    assert np.array_equal(found.table, table) and found.holds(keys).all()
+
+
 def test_counts_past_64_bits():
     import pyarrow as pa
 
